@@ -7,9 +7,30 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.bpe import encode_texts
 from tagweave.llm.leak import find_leaks
+from tagweave.llm.mojibake import damaged, train
 from tagweave.session import table
 
 
+def _named(df: DataFrame, name: str, ident: str) -> DataFrame:
+    return df.select(F.lit(name).alias("tab_name"), F.col(ident).cast("long").alias("row_id"), *[c for c in df.columns if c != ident])
+
+
+def _p5(spark: SparkSession, sf: str, restored: str | None) -> DataFrame:
+    places, blocks = table(spark, sf, "geonames"), table(spark, sf, "html_blocks")
+    counts = train([(places, "main_name"), (places, "alternatenames"), (blocks, "tokens")])
+    a = damaged(places, "row_id", "alternatenames", counts, restored, spoofed=False)
+    b = damaged(blocks, "block_id", "tokens", counts, restored)
+    return _named(a, "geonames", "row_id").unionByName(_named(b, "html_blocks", "block_id"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5(spark, sf, None)
+
+
+def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5(spark, sf, "restored")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -18,7 +39,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
 _P7 = """
 WITH d AS (
   SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
