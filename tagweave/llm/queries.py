@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.bpe import encode_texts
 from tagweave.llm.leak import find_leaks
+from tagweave.llm.lookalike import canonical, find_lookalikes
 from tagweave.llm.mojibake import damaged, train
 from tagweave.session import table
 
@@ -15,6 +16,20 @@ def _named(df: DataFrame, name: str, ident: str) -> DataFrame:
     return df.select(F.lit(name).alias("tab_name"), F.col(ident).cast("long").alias("row_id"), *[c for c in df.columns if c != ident])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "place_names")
+    a = find_lookalikes(table(spark, sf, "geonames"), "row_id", ["main_name", "asciiname"], names)
+    b = find_lookalikes(table(spark, sf, "html_blocks"), "block_id", ["tokens"], names)
+    return _named(a, "geonames", "row_id").unionByName(_named(b, "html_blocks", "row_id"))
+
+
+def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "place_names")
+    a = canonical(table(spark, sf, "geonames"), "row_id", "main_name", names)
+    b = canonical(table(spark, sf, "html_blocks"), "block_id", "tokens", names)
+    return _named(a, "geonames", "row_id").unionByName(_named(b, "html_blocks", "block_id"))
+
+
 def _p5(spark: SparkSession, sf: str, restored: str | None) -> DataFrame:
     places, blocks = table(spark, sf, "geonames"), table(spark, sf, "html_blocks")
     counts = train([(places, "main_name"), (places, "alternatenames"), (blocks, "tokens")])
@@ -39,7 +54,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
 _P7 = """
 WITH d AS (
   SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
