@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagweave.llm.bpe import encode_texts
 from tagweave.llm.leak import find_leaks
 from tagweave.llm.lookalike import canonical, find_lookalikes
+from tagweave.llm.markup import clean_rows, rows_with_markup
 from tagweave.llm.mojibake import damaged, train
 from tagweave.session import table
 
@@ -16,6 +17,18 @@ def _named(df: DataFrame, name: str, ident: str) -> DataFrame:
     return df.select(F.lit(name).alias("tab_name"), F.col(ident).cast("long").alias("row_id"), *[c for c in df.columns if c != ident])
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    a = rows_with_markup(table(spark, sf, "documents"), "doc_id", "text")
+    b = rows_with_markup(table(spark, sf, "html_blocks"), "block_id", "tokens", "elem")
+    return _named(a, "documents", "doc_id").unionByName(_named(b, "html_blocks", "block_id"))
+
+
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    a = clean_rows(table(spark, sf, "documents"), "doc_id", "text")
+    b = clean_rows(table(spark, sf, "html_blocks"), "block_id", "tokens", elem="elem")
+    return _named(a, "documents", "doc_id").unionByName(_named(b, "html_blocks", "block_id"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "place_names")
     a = find_lookalikes(table(spark, sf, "geonames"), "row_id", ["main_name", "asciiname"], names)
@@ -54,7 +67,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
 _P7 = """
 WITH d AS (
   SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
