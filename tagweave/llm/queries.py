@@ -10,6 +10,7 @@ from tagweave.llm.leak import find_leaks
 from tagweave.llm.lookalike import canonical, find_lookalikes
 from tagweave.llm.markup import clean_rows, rows_with_markup
 from tagweave.llm.mojibake import damaged, train
+from tagweave.llm.pii import find_rows, redact_rows, train as train_pii
 from tagweave.session import table
 
 
@@ -67,7 +68,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return find_rows(docs, "doc_id", "text", train_pii(docs, "doc_id", "text", table(spark, sf, "html_blocks")))
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return redact_rows(docs, "doc_id", "text", train_pii(docs, "doc_id", "text", table(spark, sf, "html_blocks")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_restored": p5_restored, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
 _P7 = """
 WITH d AS (
   SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
