@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -540,14 +540,25 @@ def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterati
     return know
 
 
+def _sample(df: DataFrame, ident: str, where: Column, n: int) -> DataFrame:
+    """The ``n`` rows of smallest hash.  A cut of the hash that leaves about
+    ``2 n`` rows is taken first, so that tasks send no more than that."""
+    kept = df.where(where)
+    total = kept.count()
+    h = F.xxhash64(F.col(ident).cast("string"))
+    if total > 2 * n:
+        kept = kept.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * n / total))).cast("long"))
+    return kept.withColumn("__h", h).orderBy("__h").limit(n)
+
+
 def train(documents: DataFrame, doc_id: str, text: str, blocks: DataFrame | None = None, sample_documents: int = SAMPLE_DOCUMENTS, sample_blocks: int = SAMPLE_BLOCKS) -> Knowledge:
     """Fit on at most ``sample_documents`` texts and ``sample_blocks`` tagged
     blocks, both chosen by hash."""
-    docs = documents.select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("t")).where(F.length("t").between(1, 4000)).orderBy("h").limit(sample_documents)
+    docs = _sample(documents, doc_id, F.length(text).between(1, 4000), sample_documents).select(F.col(text).alias("t"))
     texts = [r.t for r in docs.collect()]
     tagged: list[tuple[list[str], list[str]]] = []
     if blocks is not None:
-        rows = blocks.where(F.array_contains("tags", "B-PER") & (F.size("tokens") < 60)).select(F.xxhash64(F.col("block_id").cast("string")).alias("h"), "tokens", "tags").orderBy("h").limit(sample_blocks)
+        rows = _sample(blocks, "block_id", F.array_contains("tags", "B-PER") & (F.size("tokens") < 60), sample_blocks).select("tokens", "tags")
         tagged = [(list(r.tokens), list(r.tags)) for r in rows.collect() if None not in r.tokens and len(r.tokens) == len(r.tags)]
     return fit(tagged, texts)
 
