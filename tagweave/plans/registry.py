@@ -10,10 +10,10 @@ from pathlib import Path
 
 from pyspark import SparkContext
 
-from tagweave.plans import general
+from tagweave.plans import general, tagging
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **tagging.QUERIES}
+SQL = {**general.SQL, **tagging.SQL}
 
 
 def ship_package(sc: SparkContext) -> None:
