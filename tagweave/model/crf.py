@@ -241,17 +241,27 @@ def n_best(S: np.ndarray, T: np.ndarray, n: int) -> list[list[int]]:
     """List Viterbi: each state keeps its ``n`` best partial paths."""
     if not len(S):
         return [[]]
-    L = S.shape[1]
-    beams = [[(float(S[0, k]), [k])] for k in range(L)]
-    for row in S[1:]:
-        new = []
-        for k in range(L):
-            options = [(s + T[path[-1], k] + row[k], path + [k]) for beam in beams for s, path in beam]
-            options.sort(key=lambda x: -x[0])
-            new.append(options[:n])
-        beams = new
-    options = sorted((o for beam in beams for o in beam), key=lambda x: -x[0])
-    return [path for _, path in options[:n]]
+    t, L = S.shape
+    best = np.full((L, n), -np.inf)
+    best[:, 0] = S[0]
+    back = np.zeros((t, L, n), np.int64)
+    for i in range(1, t):
+        options = (best[:, :, None] + T[:, None, :]).reshape(L * n, L)
+        order = np.argsort(-options, axis=0, kind="stable")[:n]
+        back[i] = order.T
+        best = np.take_along_axis(options, order, axis=0).T + S[i][:, None]
+    flat = best.reshape(-1)
+    out = []
+    for end in np.argsort(-flat, kind="stable")[:n]:
+        if flat[end] == -np.inf:
+            break
+        path, state = [], int(end)
+        for i in range(t - 1, -1, -1):
+            label, rank = divmod(state, n)
+            path.append(label)
+            state = int(back[i, label, rank]) if i else 0
+        out.append(path[::-1])
+    return out
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, c1: float, iterations: int, tolerance: float, history: list[float], memory: int = 8) -> np.ndarray:

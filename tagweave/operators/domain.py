@@ -36,7 +36,7 @@ def registered_domain(url: Column, suffixes: list[str] | None = None) -> Column:
     for k in range(1, deepest + 1):  # the longest suffix wins
         tail = F.when(n > k, F.array_join(F.slice(labels, n - k + 1, k), "."))
         out = F.when(F.array_contains(known, tail), F.array_join(F.slice(labels, n - k, k + 1), ".")).otherwise(out)
-    return F.when(url.isNull(), F.lit("")).otherwise(out)
+    return F.when(url.isNull() | F.array_contains(known, host(url)), F.lit("")).otherwise(out)
 
 
 def guess_domain(links: DataFrame, doc_id: str, url: str, blacklist: list[str] | None = None) -> DataFrame:

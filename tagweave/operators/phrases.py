@@ -27,7 +27,7 @@ def sequences(tokens: DataFrame, token: str = "token") -> DataFrame:
 
 def lexicon_lengths(lexicon: DataFrame, name: str = "name") -> list[int]:
     """Numbers of words that occur in the lexicon (a few values)."""
-    rows = lexicon.select(F.size(F.split(F.col(name), " ")).alias("n")).distinct().collect()
+    rows = lexicon.where(F.col(name).isNotNull()).select(F.size(F.split(F.col(name), " ")).alias("n")).distinct().collect()
     return sorted(r.n for r in rows)
 
 

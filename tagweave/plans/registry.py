@@ -10,10 +10,10 @@ from pathlib import Path
 
 from pyspark import SparkContext
 
-from tagweave.plans import general, tagging
+from tagweave.plans import general, pages, tagging
 
-QUERIES = {**general.QUERIES, **tagging.QUERIES}
-SQL = {**general.SQL, **tagging.SQL}
+QUERIES = {**general.QUERIES, **tagging.QUERIES, **pages.QUERIES}
+SQL = {**general.SQL, **tagging.SQL, **pages.SQL}
 
 
 def ship_package(sc: SparkContext) -> None:

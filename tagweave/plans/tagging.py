@@ -524,7 +524,7 @@ def merge_top_n(spark: SparkSession, sf: str) -> DataFrame:
 
 _HOST = r"lower(regexp_replace(regexp_extract({0}, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)', 1), '\.+$', ''))"
 _SUF = "[" + ", ".join(f"'{s}'" for s in domain.SUFFIXES) + "]"
-_DOM = f"""CASE WHEN len(l) > 2 AND list_contains({_SUF}, array_to_string(l[len(l)-1:], '.')) THEN array_to_string(l[len(l)-2:], '.') WHEN len(l) > 1 AND list_contains({_SUF}, l[len(l)]) THEN array_to_string(l[len(l)-1:], '.') ELSE '' END"""
+_DOM = f"""CASE WHEN list_contains({_SUF}, array_to_string(l, '.')) THEN '' WHEN len(l) > 2 AND list_contains({_SUF}, array_to_string(l[len(l)-1:], '.')) THEN array_to_string(l[len(l)-2:], '.') WHEN len(l) > 1 AND list_contains({_SUF}, l[len(l)]) THEN array_to_string(l[len(l)-1:], '.') ELSE '' END"""
 
 
 @query(f"WITH h AS (SELECT page_id, string_split({_HOST.format('url')}, '.') AS l FROM pages WHERE url IS NOT NULL) SELECT page_id, {_DOM} AS domain FROM h")
