@@ -15,8 +15,10 @@ W = r"\s\x1c-\x1f\x85\p{Z}"
 _RULE = (
     rf"[{W}]+|“|[\"”]|``|…|\.\.\.|--|,(?=\P{{Nd}}|\z)|\.(?=\n?\z|\n\")|[;#$£%&|!?\[\](){{}}<>]|'(?=[{W}])|''"
 )
+#: What can't begin a separator or sign, so needs no look-ahead.
+_PLAIN = rf"[^{W}“\"”`….,\-;#$£%&|!?\[\](){{}}<>']"
 #: The pieces of a text cover it completely.
-PIECES = rf"(?:{_RULE})|(?:(?!{_RULE})[\s\S])++"
+PIECES = rf"(?:{_PLAIN}++|(?!{_RULE})[\s\S])++|{_RULE}"
 
 
 def _col(c: Column | str) -> Column:
@@ -27,20 +29,24 @@ def word_tokens(text: Column | str) -> Column:
     """Array of word tokens: quotes become ````` `` ````` or ``''``, an ellipsis ``...``;
     contractions, ``:``, ``@``, ``/`` and ``-`` don't split, a comma between
     digits and a dot before more text neither."""
-    pieces = F.regexp_extract_all(_col(text), F.lit(PIECES), F.lit(0))
-
-    def named(p: Column, i: Column) -> Column:
-        before = F.try_element_at(pieces, i)  # 1-based: the piece before
-        opens = (i == 0) | before.rlike(rf"[{W}(\[{{<]\z")
-        return (
-            F.when(p == '"', F.when(opens, F.lit("``")).otherwise(F.lit("''")))
-            .when(p == "“", F.lit("``"))
-            .when(p == "”", F.lit("''"))
-            .when(p == "…", F.lit("..."))
-            .otherwise(p)
-        )
-
-    return F.filter(F.transform(pieces, named), lambda p: ~p.rlike(rf"\A[{W}]*\z"))
+    found = F.regexp_extract_all(_col(text), F.lit(PIECES), F.lit(0))
+
+    def cut(pieces: Column) -> Column:
+        def named(p: Column, i: Column) -> Column:
+            before = F.try_element_at(pieces, i)  # 1-based: the piece before
+            opens = (i == 0) | before.rlike(rf"[{W}(\[{{<]\z")
+            return (
+                F.when(p == '"', F.when(opens, F.lit("``")).otherwise(F.lit("''")))
+                .when(p == "“", F.lit("``"))
+                .when(p == "”", F.lit("''"))
+                .when(p == "…", F.lit("..."))
+                .otherwise(p)
+            )
+
+        return F.filter(F.transform(pieces, named), lambda p: ~p.rlike(rf"\A[{W}]"))
+
+    # bound to a lambda variable, so that the text is cut once
+    return F.element_at(F.transform(F.array(found), cut), 1)
 
 
 def default_tokens(text: Column | str) -> Column:

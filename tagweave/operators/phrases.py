@@ -67,7 +67,10 @@ def best_ranges(matches: DataFrame) -> DataFrame:
 
 
 def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", token: str = "token") -> DataFrame:
-    return best_ranges(find_matches(sequences(tokens, token), lexicon, name))
+    """Best ranges of a token table, or of sequences ``(doc_id, tokens)`` as they
+    come from texts, which needs no shuffle to gather them."""
+    seqs = tokens if "tokens" in tokens.columns else sequences(tokens, token)
+    return best_ranges(find_matches(seqs, lexicon, name))
 
 
 def phrase_flags(tokens: DataFrame, lexicon: DataFrame, feature: str, name: str = "name", lower: bool = False) -> DataFrame:

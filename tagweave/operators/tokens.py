@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from tagweave.functions.text import default_tokens, word_tokens
 
-_W = r"\s"
 _RULE = r"\s+|“|[\"”]|``|…|\.\.\.|--|,(?=\D|$)|\.(?=\n?\Z|\n\")|[;#$£%&|!?\[\](){}<>]|'(?=\s)|''"
-_PIECES = re.compile(rf"(?:{_RULE})|(?:(?!{_RULE})[\s\S])+")
+_PLAIN = r"[^\s“\"”`….,\-;#$£%&|!?\[\](){}<>']"
+_PIECES = re.compile(rf"(?:{_PLAIN}++|(?!{_RULE})[\s\S])++|{_RULE}")
 _NAMES = {"“": "``", "”": "''", "…": "..."}
 
 
@@ -50,6 +50,11 @@ def text_tokens(df: DataFrame, doc_id: str, text: str, keep_commas: bool = False
     return df.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens).alias("pos", "token"))
 
 
+def text_sequences(df: DataFrame, doc_id: str, text: str, keep_commas: bool = False) -> DataFrame:
+    """``(doc_id, tokens)``: a text's tokens as one array, without a shuffle."""
+    return df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), (word_tokens if keep_commas else default_tokens)(text).alias("tokens"))
+
+
 def text_tokens_positions(df: DataFrame, doc_id: str, text: str, keep_commas: bool = False) -> DataFrame:
     """``(doc_id, pos, token, position, length)``."""
     drop = () if keep_commas else (",", ";")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import features as ft
 from tagweave.functions.text import default_tokens, label_key, natural_key, smart_join, substrings
 from tagweave.operators import chains, cluster, domain, iob, markers, metrics, patterns, phrases, splits
-from tagweave.operators.tokens import block_tokens, first_blocks, text_tokens, text_tokens_positions
+from tagweave.operators.tokens import block_tokens, first_blocks, text_sequences, text_tokens, text_tokens_positions
 from tagweave.session import table
 from tagweave.sources.gazetteer import build_lexicon, exploded_names
 
@@ -397,7 +397,7 @@ mt AS (SELECT doc_id, s, max(e) AS e, arg_max(phrase, e) AS phrase FROM sp JOIN
 
 @query(f"WITH {_TOK}, {_MATCH} SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", phrase FROM mt")
 def gaz_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return phrases.find_matches(phrases.sequences(_tok(spark, sf)), _lexicon(spark, sf))
+    return phrases.find_matches(text_sequences(_docs(spark, sf), "doc_id", "text"), _lexicon(spark, sf))
 
 
 # greedy, longest first: a match is dropped iff a kept one overlaps it; lengths are few, so one step a length
@@ -408,7 +408,7 @@ a2 AS (SELECT * FROM a3 UNION ALL SELECT * FROM r2), r1 AS (SELECT * FROM mt m W
 
 @query(f"WITH {_TOK}, {_GREEDY} SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", phrase FROM kept")
 def gaz_longest_match(spark: SparkSession, sf: str) -> DataFrame:
-    return phrases.longest_matches(_tok(spark, sf), _lexicon(spark, sf))
+    return phrases.longest_matches(text_sequences(_docs(spark, sf), "doc_id", "text"), _lexicon(spark, sf))
 
 
 @query(f"""WITH {_TOK}, {_GREEDY} SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, pos = s AS "B-PLACE", pos > s AS "I-PLACE" FROM tok JOIN kept USING (doc_id) WHERE pos >= s AND pos < e""")

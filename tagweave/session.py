@@ -25,8 +25,21 @@ def build_session(master: str = "local[*]", app: str = "tagweave", **conf: str)
     return spark
 
 
+#: Tables whose rows cost much more to work on than to move.
+HEAVY = {"documents", "html_blocks", "pages", "geonames", "geonames_raw"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input comes in fewer pieces than half
+    of them: a small file of one row group would keep one core busy.  Inputs of
+    any size worth the name have more pieces than cores and aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
