@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.llm.lookalike import normalized
+
 # Names of encodings.
 WRONG = ["latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15"]
 PAIRS = [
@@ -61,6 +63,7 @@ _HARD = re.compile(f"[\x80-\x9f{_LOST}]")
 COST_UTF8 = 3.0
 COST_TABLE = 7.0
 COST_SINGLE = 5.0
+COST_SPOOF = 2.0
 
 
 def _table(codec: str) -> dict[int, str]:
@@ -175,10 +178,13 @@ class SourceModel:
 
 _ODD = "†‡ˆ˚¯´±§¶³‰˝˛˜¨¸¬¤¦¥÷×√≈∞∏∂∑∫◊¡─-▓"
 #: What no correct word holds: a sign between letters, a capital with an accent
-#: after a small letter, Latin with letters of another script that don't look Latin.
+#: after a small letter or between a capital and a small one, four accented
+#: Latin letters in a row, a small Cyrillic letter before capitals, Latin with
+#: letters of another script that don't look Latin.
 _BROKEN = re.compile(
     f"[^\\W\\d_][{_ODD}][^\\W\\d_]|[^\\W\\d_][„‚›‹»«][a-zß-ÿ]|[a-zß-ÿ][À-ÖØ-ÞŠŸŽŒ]"
-    "|[A-Za-zÀ-ɏ][бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯαβγδεζηθλμξπσςτυφχψωΓΔΘΛΞΠΣΦΨΩ]|[бвгджзийклмнптфцчшщъыьэюяΓΔΘΛΞΠΣΦΨΩβγδεζηθλμξπσςτφχψω][A-Za-zÀ-ɏ]"
+    "|(?<![^\\W\\d_])[A-Z][À-ÖØ-Þ][a-z]|[À-ÿ]{4,}|(?<![^\\W\\d_])[а-яё][А-ЯЁ]{2,}"
+    "|[A-Za-zÀ-ɏ][бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯαβγδεζηθλμξπσςτυφχψωΓΔΘΛΞΠΣΦΨΩ]|[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюяΓΔΘΛΞΠΣΦΨΩβγδεζηθλμξπσςτφχψω][A-Za-zÀ-ɏ]"
 )
 _INNER = re.compile(f"[A-ZÀ-Þ][À-ÞŠŸŽ][a-z]|[^\\W\\d_][{_ODD}]|[{_ODD}][^\\W\\d_]")
 
@@ -218,6 +224,9 @@ class Repairer:
         model = self.model
         hard = bool(_HARD.search(word) or _BROKEN.search(word) or (not self.spoofed and _mixed(word)))
         best, best_score = word, model.score(word) - (200 if hard else 0)
+        if self.spoofed and not hard and _is_spoof(word):
+            # the other explanation: letters that look Latin were put in on purpose
+            best_score = max(best_score, sum(map(model.score, normalized(word).split())) - COST_SPOOF)
         own = best_score
         for proposal, cost in self._proposals(word):
             score = model.score(proposal) - cost
@@ -249,14 +258,14 @@ class Repairer:
             if len(word) == 1 and word.isupper():
                 return  # an initial
             base = COST_SINGLE if len(word) == 1 else COST_TABLE
-            homoglyph = self.spoofed and _HOMOGLYPH_ONLY.fullmatch(word) is not None and _FOREIGN.search(word) is not None
+            homoglyph = self.spoofed and _is_spoof(word)
             for _, table in _tables():
                 out = word.translate(table)
                 if out not in seen and not (homoglyph and out.isascii()):
                     seen.add(out)
                     moved = sum(a != b for a, b in zip(word, out))
                     # a whole word in another script is one event, single letters are several
-                    yield out, base + (8 if homoglyph else 0) - min(4, moved - 1)
+                    yield out, base - min(4, moved - 1)
 
     def _fill(self, word: str) -> str:
         """Viterbi search over the byte lattice: lost bytes are wildcards."""
@@ -296,9 +305,29 @@ _HOMOGLYPH_ONLY = re.compile(r"[\x00-ɏḀ-ỿ̀-ͯаеорсухіѕјһԁԝӏ
 _FOREIGN = re.compile("[^\x00-ɏḀ-ỿ̀-ͯ–—‘’“”…ﬀ-ﬆ]")
 
 
+def _is_spoof(word: str) -> bool:
+    """All letters look Latin, and some aren't."""
+    return _HOMOGLYPH_ONLY.fullmatch(word) is not None and _FOREIGN.search(word) is not None
+
+
+_MIXED = re.compile("[A-Za-zÀ-ɏ].*[Ͱ-ӿ]|[Ͱ-ӿ].*[A-Za-zÀ-ɏ]")
+
+
 def _mixed(word: str) -> bool:
     """Latin and Cyrillic or Greek letters in one word."""
-    return any("A" <= c <= "ɏ" and c.isalpha() for c in word) and any("Ͱ" <= c <= "ӿ" for c in word)
+    return _MIXED.search(word) is not None
+
+
+def trusted(text: str | None) -> list[str]:
+    """The words of a text that count for the source model: none of texts with
+    hard evidence of damage, and none that mix scripts."""
+    if not text:
+        return []
+    if text.isascii():
+        return [w for w in SPLIT.split(text) if w]
+    if _HARD.search(text) or _any_utf8().search(text):
+        return []
+    return [w for w in SPLIT.split(text) if w and (w.isascii() or not _mixed(w))]
 
 
 def _decoded(s: str, bytes_of: dict[str, int]) -> str:
@@ -335,7 +364,7 @@ def _texts_of(column: pa.Array) -> list[str | None]:
 
 def train(sources: list[tuple[DataFrame, str]]) -> np.ndarray:
     """Counts over every row of the given text columns (strings or lists of
-    tokens).  Rows with hard evidence are left out of the counts.  Each task
+    tokens); see :func:`trusted`.  Each task
     sends at most ``2 * BUCKETS`` partial sums; the driver gets one number a bucket."""
     parts = []
     for df, column in sources:
@@ -345,9 +374,8 @@ def train(sources: list[tuple[DataFrame, str]]) -> np.ndarray:
             for batch in batches:
                 words: list[str] = []
                 for text in _texts_of(batch.column(0)):
-                    if text and (text.isascii() or not (_HARD.search(text) or _any_utf8().search(text))):
-                        words += SPLIT.split(text)
-                total += count_words([w for w in words if w])
+                    words += trusted(text)
+                total += count_words(words)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
