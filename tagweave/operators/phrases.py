@@ -3,7 +3,8 @@
 N-grams only of the lengths the lexicon has are built per document with array
 expressions; they meet the lexicon in an equi-join (broadcast only if the
 lexicon is counted below a bound, otherwise shuffled).  Overlaps are resolved
-greedily, longest first, ties by earliest start, as a fold over the matches.
+greedily, longest first, ties by earliest start, in one Arrow pass over the
+matches of each document.
 
 Defined results: an empty lexicon matches nothing; a phrase longer than the
 document can't match; tokens are compared as they are (lower-case both sides
@@ -12,8 +13,12 @@ for case-insensitive search).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.session import fits_broadcast
 
@@ -55,15 +60,23 @@ def find_matches(seqs: DataFrame, lexicon: DataFrame, name: str = "name", length
 def best_ranges(matches: DataFrame) -> DataFrame:
     """``(doc_id, start, end, phrase)`` without overlaps: longest first, ties by
     earliest start, each kept if it touches none kept before."""
-    entry = F.struct((F.col("start") - F.col("end")).alias("neg"), "start", "end", "phrase")
-    ordered = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("m"))
-    empty = F.array().cast("array<struct<neg:int,start:int,end:int,phrase:string>>")
-    kept = F.aggregate(
-        "m",
-        empty,
-        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return ordered.select("doc_id", F.inline(kept)).select("doc_id", "start", "end", "phrase")
+    lists = matches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "phrase")).alias("m"))
+    schema = T.StructType([matches.schema["doc_id"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = [], []
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                taken = bytearray(max((m["end"] for m in found), default=0))
+                for m in sorted(found, key=lambda m: (m["start"] - m["end"], m["start"])):
+                    # both ends suffice: what is kept is never shorter
+                    if not (taken[m["start"]] or taken[m["end"] - 1]):
+                        taken[m["start"] : m["end"]] = b"\1" * (m["end"] - m["start"])
+                        rows.append(i)
+                        kept.append(m)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array([m[k] for m in kept], t) for k, t in (("start", pa.int32()), ("end", pa.int32()), ("phrase", pa.string()))]], schema.names)
+
+    return lists.mapInArrow(run, schema)
 
 
 def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", token: str = "token") -> DataFrame:

@@ -26,9 +26,17 @@ def split_noshuffle(df: DataFrame, order: str, test_size: int | float | None = N
     above = df.where(F.col(order) > border).count()
     if above + tied == k:
         return df.withColumn("is_test", F.col(order) >= border)
-    w = Window.partitionBy(F.col(order) == border).orderBy(F.lit(1))
-    part = df.withColumn("__n", F.when(F.col(order) == border, F.row_number().over(w)))
-    return part.withColumn("is_test", (F.col(order) > border) | ((F.col(order) == border) & (F.col("__n") > tied - (k - above)))).drop("__n")
+    # of the rows that tie at the border, those of larger hash; equal rows by number
+    h = F.xxhash64(*df.columns)
+    ties = df.where(F.col(order) == border).withColumn("__h", h)
+    need = k - above
+    cut = _kth_largest(ties, "__h", need)
+    over = ties.where(F.col("__h") > cut).count()
+    alike = ties.where(F.col("__h") == cut).withColumn("__n", F.row_number().over(Window.partitionBy("__h").orderBy("__h")))
+    rest = df.where(F.col(order) != border).withColumn("is_test", F.col(order) > border)
+    sure = ties.where(F.col("__h") != cut).withColumn("is_test", F.col("__h") > cut).drop("__h")
+    split = alike.withColumn("is_test", F.col("__n") <= need - over).drop("__h", "__n")
+    return rest.unionByName(sure).unionByName(split)
 
 
 def _kth_largest(df: DataFrame, order: str, k: int):  # noqa: ANN202
@@ -51,18 +59,20 @@ def _kth_largest(df: DataFrame, order: str, k: int):  # noqa: ANN202
     return part.orderBy(F.col(order).desc()).limit(need).agg(F.min(order)).first()[0]
 
 
-def group_folds(df: DataFrame, group: str, n_folds: int) -> DataFrame:
+def group_folds(df: DataFrame, group: str, n_folds: int, largest: int = 1000) -> DataFrame:
     """``(group, fold)``: groups by size, largest first, each to the lightest
-    fold.  Group sizes are aggregated first; the greedy step sees one row a
-    group and needs them in order, so it is meant for tables of groups."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(group))
+    fold.  Only the ``largest`` groups are dealt out so (a top-k of the group
+    sizes, all that matters for balance); smaller ones go by their hash."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     weight = [0] * n_folds
     rows = []
-    for r in sizes.toLocalIterator():
+    for r in sizes.orderBy(F.col("n").desc(), F.col(group)).limit(largest).collect():
         fold = min(range(n_folds), key=lambda f: (weight[f], f))
         weight[fold] += r["n"]
         rows.append((r[group], fold))
-    return df.sparkSession.createDataFrame(rows, f"`{group}` {df.schema[group].dataType.simpleString()}, fold int")
+    known = df.sparkSession.createDataFrame(rows, f"__g {df.schema[group].dataType.simpleString()}, fold int")
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col(group).cast("string"), F.lit(""))), F.lit(n_folds)).cast("int")
+    return sizes.join(known, F.col(group).eqNullSafe(F.col("__g")), "left").select(group, F.coalesce("fold", hashed).alias("fold"))
 
 
 def hash_folds(df: DataFrame, group: str, n_folds: int) -> DataFrame:

@@ -134,12 +134,10 @@ def natural_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(natural_key("c_name").alias("key"), "c_custkey")
 
 
-@query("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT), s_name) AS INTEGER) AS place FROM supplier")
+@query("SELECT s_suppkey, s_name, 'Supplier#' || lpad(regexp_extract(s_name, '[0-9]+'), 20, '0') AS key FROM supplier")
 def human_sort(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    keyed = table(spark, sf, "supplier").withColumn("k", natural_key("s_name"))
-    return keyed.select("s_suppkey", F.row_number().over(Window.orderBy("k", "s_name")).alias("place"))
+    """Suppliers in natural order: a range-partitioned sort."""
+    return splits.natural_order(table(spark, sf, "supplier").select("s_suppkey", "s_name", natural_key("s_name").alias("key")), "s_name")
 
 
 @query("""WITH n AS (SELECT n_nationkey, n_name AS t, length(n_name) AS n FROM nation), s AS (
