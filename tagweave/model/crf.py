@@ -59,13 +59,30 @@ class Packed:
         self.lengths = np.array(lengths, np.int64)
         self.token = np.repeat(np.arange(len(starts) - 1), np.diff(self.starts))
         self.first = np.r_[0, np.cumsum(self.lengths)]
+        self.plain = bool((self.value == 1).all())
+        #: the same cells by feature, for gradients
+        self.by_feature = np.argsort(self.index, kind="stable")
+        found = self.index[self.by_feature]
+        self.feature_starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+        self.features = found[self.feature_starts]
 
     def scores(self, W: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each token's features."""
         out = np.zeros((len(self.starts) - 1, W.shape[1]))
+        some = np.flatnonzero(np.diff(self.starts) > 0)
+        if len(some):
+            rows = W[self.index] if self.plain else W[self.index] * self.value[:, None]
+            out[some] = np.add.reduceat(rows, self.starts[some], axis=0)
+        return out
+
+    def expectation(self, tokens: np.ndarray, n_features: int) -> np.ndarray:
+        """Sum of the tokens' rows for each feature."""
+        out = np.zeros((n_features, tokens.shape[1]))
         if len(self.index):
-            rows = W[self.index] * self.value[:, None]
-            for k in range(W.shape[1]):
-                out[:, k] = np.bincount(self.token, rows[:, k], minlength=len(out))
+            rows = tokens[self.token[self.by_feature]]
+            if not self.plain:
+                rows = rows * self.value[self.by_feature][:, None]
+            out[self.features] = np.add.reduceat(rows, self.feature_starts, axis=0)
         return out
 
     def blocks(self) -> list[np.ndarray]:
@@ -147,10 +164,7 @@ class LinearChainCRF:
                 value += float(z.sum())
                 expected[where[mask]] = marginal[mask]
                 expected_t += pairs
-            grad = np.zeros((F, L))
-            rows = expected[data.token] * data.value[:, None]
-            for k in range(L):
-                grad[:, k] = np.bincount(data.index, rows[:, k], minlength=F)
+            grad = data.expectation(expected, F)
             g = np.r_[(grad - empirical).ravel(), (expected_t - empirical_t).ravel()]
             return value + self.c2 * float(theta @ theta), g + 2 * self.c2 * theta
 
