@@ -1,10 +1,9 @@
 """Longest lexicon phrases in token sequences.
 
-N-grams only of the lengths the lexicon has are built per document with array
-expressions; they meet the lexicon in an equi-join (broadcast only if the
-lexicon is counted below a bound, otherwise shuffled).  Overlaps are resolved
-greedily, longest first, ties by earliest start, in one Arrow pass over the
-matches of each document.
+A lexicon counted below a bound is broadcast and looked up in one narrow pass
+over the documents.  Beyond, n-grams of the lengths the lexicon has are built
+with array expressions and meet it in an equi-join.  Overlaps are resolved
+greedily, longest first, ties by earliest start.
 
 Defined results: an empty lexicon matches nothing; a phrase longer than the
 document can't match; tokens are compared as they are (lower-case both sides
@@ -79,11 +78,48 @@ def best_ranges(matches: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, schema)
 
 
-def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", token: str = "token") -> DataFrame:
-    """Best ranges of a token table, or of sequences ``(doc_id, tokens)`` as they
-    come from texts, which needs no shuffle to gather them."""
+def scan(tokens: list[str], starts: dict[str, list[tuple[int, str]]]) -> list[tuple[int, int, str]]:
+    """``(start, end, phrase)`` of one document: at each start the longest
+    phrase, overlaps resolved longest first, ties by earliest start."""
+    found = []
+    for i, t in enumerate(tokens):
+        for n, phrase in starts.get(t, ()):
+            if n == 1 or " ".join(tokens[i : i + n]) == phrase:
+                found.append((i, i + n, phrase))
+                break
+    kept, taken = [], bytearray(len(tokens))
+    for a, b, phrase in sorted(found, key=lambda m: (m[0] - m[1], m[0])):
+        # both ends suffice: what is kept is never shorter
+        if not (taken[a] or taken[b - 1]):
+            taken[a:b] = b"\1" * (b - a)
+            kept.append((a, b, phrase))
+    return kept
+
+
+def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", token: str = "token", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Best ranges ``(doc_id, start, end, phrase)`` of a token table, or of
+    sequences ``(doc_id, tokens)`` as they come from texts.
+
+    A lexicon counted below ``broadcast_bytes`` goes to the documents: one
+    narrow pass over sequences, first words deciding where to look.  A larger
+    one is joined (:func:`find_matches`)."""
     seqs = tokens if "tokens" in tokens.columns else sequences(tokens, token)
-    return best_ranges(find_matches(seqs, lexicon, name))
+    words = lexicon.select(F.col(name).alias("phrase")).where(F.col(name).isNotNull()).distinct()
+    if not fits_broadcast(words, broadcast_bytes):
+        return best_ranges(find_matches(seqs, lexicon, name))
+    starts: dict[str, list[tuple[int, str]]] = {}
+    for (phrase,) in words.collect():
+        parts = phrase.split(" ")
+        starts.setdefault(parts[0], []).append((len(parts), phrase))
+    shared = tokens.sparkSession.sparkContext.broadcast({k: sorted(v, reverse=True) for k, v in starts.items()})
+    schema = T.StructType([seqs.schema["doc_id"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in scan(t or [], shared.value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()))]], schema.names)
+
+    return seqs.select("doc_id", "tokens").mapInArrow(run, schema)
 
 
 def phrase_flags(tokens: DataFrame, lexicon: DataFrame, feature: str, name: str = "name", lower: bool = False) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Session defaults and the two pieces of cluster plumbing every operator shares."""
+"""Session defaults, tables, and the size check before a broadcast."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -42,27 +40,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    a temporary folder is made."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return configured
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tagweave-"))
-    return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fits_broadcast(df: DataFrame, max_bytes: int) -> bool:
     """True if ``df``'s strings and rows, counted exactly, are below ``max_bytes``.
 

@@ -36,6 +36,12 @@ def test_longest_matches(spark):
     for r in phrases.longest_matches(tokens, lex).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.end, r.phrase))
     assert all(sorted(got.get(d, [])) == plain_matches(ts, lexicon) for d, ts in enumerate(docs))
+    joined = {}
+    for r in phrases.longest_matches(tokens, lex, broadcast_bytes=0).collect():
+        joined.setdefault(r.doc_id, []).append((r.start, r.end, r.phrase))
+    assert {d: sorted(m) for d, m in joined.items()} == {d: sorted(m) for d, m in got.items()}
+    seqs = spark.createDataFrame([(d, ts) for d, ts in enumerate(docs)] + [(9999, None)], "doc_id long, tokens array<string>")
+    assert phrases.longest_matches(seqs, lex).count() == sum(map(len, got.values()))
     flags = {r.pos: (r["B-g"], r["I-g"], r.g) for r in phrases.phrase_flags(tokens, lex, "g").where("doc_id = 0").collect()}
     assert flags == {0: (None,) * 3, 1: (None,) * 3, 2: (True, None, True), 3: (None, True, True), 4: (None, True, True), 5: (None,) * 3}
     assert phrases.longest_matches(tokens, lex.limit(0)).count() == 0
