@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.operators.badrows import failures, parse_lines, valid
 from tagweave.operators.packed import explode_packed
+from tagweave.schema import GEONAMES
 from tagweave.session import table
 
 
@@ -59,8 +61,20 @@ j AS (
   FROM u)
 """
 
+def _sql_value(i: int, kind: T.DataType) -> str:
+    v = f"CASE WHEN x[{i}] LIKE '\"%' THEN replace(substr(x[{i}], 2, length(x[{i}]) - 2), '\"\"', '\"') ELSE x[{i}] END"
+    if isinstance(kind, T.StringType):
+        return f"nullif({v}, '')"
+    if isinstance(kind, T.DoubleType):
+        return f"CASE WHEN regexp_full_match({v}, '[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?') THEN TRY_CAST({v} AS DOUBLE) END"
+    return f"CASE WHEN regexp_full_match({v}, '[+-]?[0-9]+') THEN TRY_CAST({v} AS {'INTEGER' if isinstance(kind, T.IntegerType) else 'BIGINT'}) END"
+
+
+_LOADED = ", ".join(f"{_sql_value(i + 1, f.dataType)} AS {f.name}" for i, f in enumerate(GEONAMES))
+
 QUERIES = {"p1_found": p1_found, "p1_per_row": p1_per_row, "p2_found": p2_found, "p2_loaded": p2_loaded, "p2_reasons": p2_reasons}
 SQL = {
     "p2_found": _P2 + "SELECT raw_id, reason FROM j WHERE reason IS NOT NULL",
+    "p2_loaded": _P2 + f"SELECT raw_id, {_LOADED} FROM j WHERE reason IS NULL",
     "p2_reasons": _P2 + "SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM j GROUP BY 1",
 }
