@@ -1,8 +1,8 @@
 """Splits and folds for training.
 
 Defined results: the test part is the last ``test_size`` rows in the given
-order; a ``test_size`` of 0 leaves the train part empty; folds depend only on
-the group sizes and names.
+order, rows without order value come first; a ``test_size`` of 0 leaves the
+train part empty; folds depend only on the group sizes and names.
 """
 
 from __future__ import annotations
@@ -20,12 +20,18 @@ def split_noshuffle(df: DataFrame, order: str, test_size: int | float | None = N
         return df.withColumn("is_test", F.lit(True))
     if k >= n:
         return df.withColumn("is_test", F.lit(True))
+    if k >= df.where(F.col(order).isNotNull()).count():
+        # rows without order value are needed too: which ones is left to their hash
+        missing = df.where(F.col(order).isNull())
+        need = k - (n - missing.count())
+        marked = split_noshuffle(missing.withColumn("__order", F.xxhash64(*df.columns)), "__order", need).drop("__order") if need else missing.withColumn("is_test", F.lit(False))
+        return df.where(F.col(order).isNotNull()).withColumn("is_test", F.lit(True)).unionByName(marked)
     border = _kth_largest(df, order, k)
     # rows before the border value are train, after it test; ties by exact rank
     tied = df.where(F.col(order) == border).count()
     above = df.where(F.col(order) > border).count()
     if above + tied == k:
-        return df.withColumn("is_test", F.col(order) >= border)
+        return df.withColumn("is_test", F.coalesce(F.col(order) >= border, F.lit(False)))
     # of the rows that tie at the border, those of larger hash; equal rows by number
     h = F.xxhash64(*df.columns)
     ties = df.where(F.col(order) == border).withColumn("__h", h)
@@ -33,7 +39,7 @@ def split_noshuffle(df: DataFrame, order: str, test_size: int | float | None = N
     cut = _kth_largest(ties, "__h", need)
     over = ties.where(F.col("__h") > cut).count()
     alike = ties.where(F.col("__h") == cut).withColumn("__n", F.row_number().over(Window.partitionBy("__h").orderBy("__h")))
-    rest = df.where(F.col(order) != border).withColumn("is_test", F.col(order) > border)
+    rest = df.where(~F.col(order).eqNullSafe(border)).withColumn("is_test", F.coalesce(F.col(order) > border, F.lit(False)))
     sure = ties.where(F.col("__h") != cut).withColumn("is_test", F.col("__h") > cut).drop("__h")
     split = alike.withColumn("is_test", F.col("__n") <= need - over).drop("__h", "__n")
     return rest.unionByName(sure).unionByName(split)

@@ -42,8 +42,8 @@ def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
 _FIELD = r'\t("(?:[^"]|"")*"|[^"\t][^\t]*|)'
 _P2 = rf"""
 WITH f AS (
-  SELECT raw_id, regexp_full_match(chr(9) || raw_line, '(?s)(?:{_FIELD})+') AS whole,
-         regexp_extract_all(chr(9) || raw_line, '(?s){_FIELD}', 1) AS x
+  SELECT raw_id, regexp_full_match(chr(9) || coalesce(raw_line, ''), '(?s)(?:{_FIELD})+') AS whole,
+         regexp_extract_all(chr(9) || coalesce(raw_line, ''), '(?s){_FIELD}', 1) AS x
   FROM geonames_raw),
 u AS (
   SELECT raw_id, whole, len(x) AS n,

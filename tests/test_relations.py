@@ -116,6 +116,10 @@ def test_splits(spark):
     assert splits.split_noshuffle(ties, "k", 2).where("is_test").count() == 2
     big = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("k"))
     assert splits.split_noshuffle(big, "k", 12_345).where("is_test").agg(F.min("k"), F.count("*")).first() == (60_000 - 12_345, 12_345)
+    gaps = spark.createDataFrame([(None,), (None,), (1,), (2,), (3,)], "k long")
+    for size, want in ((2, [2, 3]), (3, [1, 2, 3]), (4, [None, 1, 2, 3])):
+        got = [r.k for r in splits.split_noshuffle(gaps, "k", size).where("is_test").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     groups = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [("c",)] * 3 + [("d",)], "g string")
     assert {r.g: r.fold for r in splits.group_folds(groups, "g", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
     assert splits.hash_folds(groups, "g", 3).select("g", "fold").distinct().count() == 4
