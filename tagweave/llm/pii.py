@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -481,32 +481,60 @@ def _name_length(shapes: list[str]) -> int:
     return i + 1 if i < len(shapes) and shapes[i] in ("cap", "double", "caps", "mixed") else 0
 
 
-def _block_given(rows: list[tuple[list[str], list[str]]]) -> frozenset[str]:
-    """Given names: first words of tagged persons that stand before several
-    different family names."""
-    after: dict[str, set[str]] = defaultdict(set)
+#: A given name is a word that at least this share of its occurrences has in
+#: front of a family name; a frequent word stands at this share of the triggers.
+GIVEN_SHARE = 0.5
+FREQUENT_SHARE = 0.001
+
+
+def _given_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> dict[str, list[int]]:
+    """word -> occurrences as the first word of a tagged person, and in all."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for tokens, tags in rows:
+        first = set()
         for i, tag in enumerate(tags):
             if tag == "B-PER" and i + 1 < len(tokens) and tags[i + 1] == "I-PER":
-                first, nxt = tokens[i], tokens[i + 1]
-                if nxt == "," and i + 2 < len(tokens):
-                    first, nxt = tokens[i + 2], tokens[i]
-                for part in first.split("-"):
-                    if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
-                        after[part].add(nxt)
-    return frozenset(w for w, n in after.items() if len(n) >= 12)
+                first.add(i + 2 if tokens[i + 1] == "," and i + 2 < len(tokens) else i)
+        for i, token in enumerate(tokens):
+            for part in (token or "").split("-"):
+                if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
+                    n = out[part]
+                    n[0] += i in first
+                    n[1] += 1
+    return out
+
+
+def _is_given(first: int, n: int) -> bool:
+    return first > 0 and first >= GIVEN_SHARE * n
+
+
+def _block_given(rows: list[tuple[list[str], list[str]]]) -> frozenset[str]:
+    """Given names: words that tagged blocks mostly have at the front of a person."""
+    return frozenset(w for w, n in _given_counts(rows).items() if _is_given(*n))
+
+
+def _trigger_counts(texts: Iterable[str | None]) -> Counter[str]:
+    """Words at places where names may begin or end; their number under ''."""
+    out: Counter[str] = Counter()
+    for t in texts:
+        for m in TRIGGER.finditer(t or ""):
+            out[""] += 1
+            out.update(re.findall(r"[^\W\d_]+", t[m.start() : m.end() + 60].lower()))
+    return out
+
+
+def _frequent(counts: dict[str, int]) -> frozenset[str]:
+    return frozenset(w for w, c in counts.items() if w and c >= FREQUENT_SHARE * counts[""])
 
 
-def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterations: int = 40) -> Knowledge:
-    """Given names from tagged blocks, weights from blocks and documents.
+def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterations: int = 40, given: frozenset[str] | None = None, frequent: frozenset[str] | None = None) -> Knowledge:
+    """Weights from blocks and documents; given names and frequent words too,
+    unless they come counted over more than these.
 
     A block's tokens joined by blanks are a text whose tags give the labels of
     its word nodes; documents are labelled by :func:`_silver`."""
-    know = Knowledge(given=_block_given(blocks))
-    # words that are frequent at places where names may begin or end
-    counts = Counter(w for t in documents for m in TRIGGER.finditer(t) for w in re.findall(r"[^\W\d_]+", t[m.start() : m.end() + 60].lower()))
-    know.frequent = frozenset(w for w, c in counts.items() if c >= 8)
-    given = know.pattern()
+    know = Knowledge(given=_block_given(blocks) if given is None else given, frequent=_frequent(_trigger_counts(documents)) if frequent is None else frequent)
+    names = know.pattern()
     X, y = [], []
 
     def add(text: str, nodes: list[Node], labels: list[str]) -> None:
@@ -518,14 +546,14 @@ def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterati
             y.append([labels[i] for i in members])
 
     for text in documents:
-        nodes = zones(text, know, given)
+        nodes = zones(text, know, names)
         add(text, nodes, _silver(text, nodes))
     for tokens, tags in blocks:
         text, at, spans = " ".join(tokens), 0, []
         for t, g in zip(tokens, tags):
             spans.append((at, at + len(t), g))
             at += len(t) + 1
-        nodes = [n for n in zones(text, know, given) if n.kind == "word"]
+        nodes = [n for n in zones(text, know, names) if n.kind == "word"]
         if nodes:
             labels = []
             for n in nodes:
@@ -551,16 +579,49 @@ def _sample(df: DataFrame, ident: str, where: Column, n: int) -> DataFrame:
     return kept.withColumn("__h", h).orderBy("__h").limit(n)
 
 
+def given_names(blocks: DataFrame) -> frozenset[str]:
+    """Given names, counted over all tagged blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((t, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(t) == len(g))
+            got = _given_counts(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array([n[k] for n in got.values()], pa.int64()) for k in (0, 1)]], ["w", "first", "n"])
+
+    counts = blocks.where("tokens IS NOT NULL AND tags IS NOT NULL").select("tokens", "tags").mapInArrow(run, "w string, first long, n long")
+    total = counts.groupBy("w").agg(F.sum("first").alias("first"), F.sum("n").alias("n")).where((F.col("first") > 0) & (F.col("first") >= GIVEN_SHARE * F.col("n")))
+    return frozenset(r.w for r in total.select("w").collect())
+
+
+def frequent_words(documents: DataFrame, text: str) -> frozenset[str]:
+    """Words frequent at triggers, counted over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = _trigger_counts(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["w", "n"])
+
+    counts = documents.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).persist()
+    try:
+        places = counts.where("w = ''").agg(F.sum("n")).first()[0] or 0
+        return frozenset(r.w for r in counts.where((F.col("w") != "") & (F.col("n") >= FREQUENT_SHARE * places)).collect())
+    finally:
+        counts.unpersist()
+
+
 def train(documents: DataFrame, doc_id: str, text: str, blocks: DataFrame | None = None, sample_documents: int = SAMPLE_DOCUMENTS, sample_blocks: int = SAMPLE_BLOCKS) -> Knowledge:
-    """Fit on at most ``sample_documents`` texts and ``sample_blocks`` tagged
-    blocks, both chosen by hash."""
+    """Given names and frequent words of all rows; weights from at most
+    ``sample_documents`` texts and ``sample_blocks`` tagged blocks, both chosen
+    by hash."""
     docs = _sample(documents, doc_id, F.length(text).between(1, 4000), sample_documents).select(F.col(text).alias("t"))
     texts = [r.t for r in docs.collect()]
     tagged: list[tuple[list[str], list[str]]] = []
+    given: frozenset[str] = frozenset()
     if blocks is not None:
         rows = _sample(blocks, "block_id", F.array_contains("tags", "B-PER") & (F.size("tokens") < 60), sample_blocks).select("tokens", "tags")
         tagged = [(list(r.tokens), list(r.tags)) for r in rows.collect() if None not in r.tokens and len(r.tokens) == len(r.tags)]
-    return fit(tagged, texts)
+        given = given_names(blocks)
+    return fit(tagged, texts, given=given, frequent=frequent_words(documents, text))
 
 
 # --- operators -----------------------------------------------------------------------

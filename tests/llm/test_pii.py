@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tagweave.llm.pii import LABELS, find_rows, fit, is_full_name, label_documents, propagate, redact, redact_rows
+from tagweave.llm.pii import LABELS, _given_counts, _is_given, find_rows, fit, given_names, is_full_name, label_documents, propagate, redact, redact_rows
 
 GIVEN = ["Marta", "Peter", "Yusuf", "Zoë", "Jürgen"]
 FAMILY = ["Kalzeth", "Drougrin", "Wistea", "Skobioft", "Tionmar", "Beluft", "Marest", "Graizea", "Hopeand", "Nostup", "Fliorom", "Saivair", "Zamsis", "Gioven"]
@@ -98,3 +98,13 @@ def test_operators_edge_cases(spark, know):
     out = {r.doc_id: r for r in redact_rows(df, "doc_id", "text", know).collect()}
     assert out[2].redacted is None and out[3].redacted == "" and out[4].redacted == long + "Write to [EMAIL]" and out[1].n_pieces == 2
     assert find_rows(df.limit(0), "doc_id", "text", know).count() == 0
+
+
+def test_given_names_are_alike_at_every_size(spark):
+    """Counted over all rows by share: few rows, many rows and long blocks give the same names."""
+    rows = [(["Ana", "Lopez", ",", "Director"], ["B-PER", "I-PER", "O", "O"]), (["LOPEZ", ",", "Greta", *["x"] * 80], ["B-PER", "I-PER", "I-PER", *["O"] * 80]), (["Mill", "Lane", "Mill", "Mill"], ["B-PER", "I-PER", "O", "O"]), ([None, "Omar", "Stone"], ["O", "B-PER", "I-PER"])]
+    assert {w for w, n in _given_counts(rows).items() if _is_given(*n)} == {"Ana", "Greta", "Omar"}
+    for times in (1, 30):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, (None, None)] * times)], "block_id long, tokens array<string>, tags array<string>")
+        assert given_names(df) == {"Ana", "Greta", "Omar"}
+    assert given_names(df.limit(0)) == frozenset()
