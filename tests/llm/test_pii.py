@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tagweave.llm.pii import LABELS, _given_counts, _is_given, find_rows, fit, given_names, is_full_name, label_documents, propagate, redact, redact_rows
+from tagweave.llm.pii import LABELS, _given_counts, _is_given, find_rows, fit, given_names, is_full_name, label_documents, propagate, redact, redact_rows, zones
 
 GIVEN = ["Marta", "Peter", "Yusuf", "Zoë", "Jürgen"]
 FAMILY = ["Kalzeth", "Drougrin", "Wistea", "Skobioft", "Tionmar", "Beluft", "Marest", "Graizea", "Hopeand", "Nostup", "Fliorom", "Saivair", "Zamsis", "Gioven"]
@@ -108,3 +108,13 @@ def test_given_names_are_alike_at_every_size(spark):
         df = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, (None, None)] * times)], "block_id long, tokens array<string>, tags array<string>")
         assert given_names(df) == {"Ana", "Greta", "Omar"}
     assert given_names(df.limit(0)) == frozenset()
+
+
+def test_candidates_outside_all_lists(know):
+    """Unlisted titles, given names, digit shapes and labels are candidates, and found where a label or shape tells."""
+    for text, piece, kind in [("Greetings from Qorba Velik here", "Velik", "word"), ("Managing Partner Xenobia van der Quell", "Quell", "word"), ("at 030 1234567 daily", "030 1234567", "number"), ("the code K77 12345 B came", "K77 12345 B", "number"), ("call +49 30 123456 now", "+49 30 123456", "number")]:
+        assert any(n.text == piece and n.kind == kind for n in zones(text, know, know.pattern())), text
+    long = " ".join(f"Wo{chr(97 + i)}" for i in range(20))
+    assert [n.text for n in zones(long, know, know.pattern())] == long.split()
+    got = [[(k, t[a:b]) for a, b, k in p] for t, p in zip(*(lambda x: (x, label_documents(x, know)))(["Dear J. Smith, thank you.", "Telephone: 030 123456", "Holder of passport no. K77 12345 B came.", "Phone +49 30 123456 today."]))]
+    assert got == [[("name", "J. Smith")], [("phone", "030 123456")], [("id_number", "K77 12345 B")], [("phone", "+49 30 123456")]]
