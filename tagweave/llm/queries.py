@@ -39,9 +39,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "place_names")
-    a = canonical(table(spark, sf, "geonames"), "row_id", "main_name", names)
-    b = canonical(table(spark, sf, "html_blocks"), "block_id", "tokens", names)
-    return _named(a, "geonames", "row_id").unionByName(_named(b, "html_blocks", "block_id"))
+    places, blocks = table(spark, sf, "geonames"), table(spark, sf, "html_blocks")
+    parts = [("geonames", places, "row_id", "main_name"), ("geonames", places, "row_id", "asciiname"), ("html_blocks", blocks, "block_id", "tokens")]
+    a, b, c = (_named(canonical(df, ident, field, names), name, ident).withColumn("field_name", F.lit(field)).select("tab_name", "row_id", "field_name", "canonical") for name, df, ident, field in parts)
+    return a.unionByName(b).unionByName(c)
 
 
 def _p5(spark: SparkSession, sf: str, restored: str | None) -> DataFrame:
