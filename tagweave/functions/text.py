@@ -85,9 +85,17 @@ def _padded(t: Column, start: Column, k: Column, n: Column, pad: str) -> Column:
 
 
 def natural_key(text: Column | str, width: int = 20) -> Column:
-    """Sort key in which runs of digits count by value: each is left-padded."""
+    """Sort key in which runs of digits count by value: each is left-padded.
+    Behind ``width`` nines come runs of that value and more: length, digits."""
     digits = F.regexp_extract_all(_col(text), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    padded = F.transform(digits, lambda p: F.when(p.rlike(r"\A[0-9]"), F.lpad(F.regexp_replace(p, r"\A0+(?=.)", ""), width, "0")).otherwise(p))
+    nines = F.lit("9" * width)
+
+    def pad(p: Column) -> Column:
+        run = F.regexp_replace(p, r"\A0+(?=.)", "")
+        long = (F.length(run) > width) | (run == nines)
+        return F.when(long, F.concat(nines, F.lpad(F.length(run).cast("string"), 10, "0"), run)).otherwise(F.lpad(run, width, "0"))
+
+    padded = F.transform(digits, lambda p: F.when(p.rlike(r"\A[0-9]"), pad(p)).otherwise(p))
     return F.array_join(padded, "")
 
 

@@ -105,3 +105,14 @@ def test_small_expressions(spark):
     assert [r.n for r in names.orderBy(natural_key("n"), "n").collect()] == ["a2", "x1b", "x009", "x9", "x10"]
     tags = spark.createDataFrame([("I-PER",), ("B-PER",), ("B-ORG",)], "t string")
     assert [r.t for r in tags.orderBy(label_key("t")).collect()] == ["B-ORG", "B-PER", "I-PER"]
+
+
+def test_natural_key_of_long_numbers(spark):
+    """Numbers beyond the width keep their value; equal values keep equal keys."""
+    want = ["x9", "x" + "1" * 20, "x" + "9" * 20, "x" + "9" * 20 + "a", "x1" + "0" * 20, "x" + "1" * 21, "x2" + "0" * 20, "x1" + "0" * 30, "xa"]
+    df = spark.createDataFrame([(n,) for n in reversed(want)], "n string")
+    assert [r.n for r in df.orderBy(natural_key("n")).collect()] == want
+    assert df.select(natural_key("n").alias("k")).distinct().count() == len(want)
+    same = spark.createDataFrame([("x" + "1" * 25,), ("x000" + "1" * 25,)], "n string")
+    assert same.select(natural_key("n").alias("k")).distinct().count() == 1
+    assert spark.createDataFrame([("x07y",)], "n string").select(natural_key("n").alias("k")).first().k == "x" + "0" * 19 + "7y"
