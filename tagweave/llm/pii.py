@@ -1,50 +1,87 @@
 """Personal data inside free text: a skip-chain conditional random field.
 
-Recognisers cut a text into *zones*: spelled e-mail addresses, digit runs of a
-known shape, streets with house numbers, and stretches of words where a name
-may stand (every run of capitalised words; title and label words and known
-given names are features, and begin a stretch of their own).  A zone
-of the first kinds is one node, a stretch of words a chain of one node per
-word; all other text is fixed to "no entity", which cuts the chain without
-changing it.  Nodes are labelled by a linear-chain CRF whose weights are trained
-here (:func:`train`), on a bounded sample of labelled rows.  Skip edges join
-nodes of one document with the same or a similar surface (same number, same
-name word, a name word within an e-mail address's local part) and reward equal
-labels; loopy belief propagation runs over chains and skip edges of a whole
-batch of documents at once.  An exact check of the name grammar follows.
+A text becomes nodes.  Every run of two or more capitalised words (initials,
+particles and a family name in capitals before a comma included) is a chain of
+one node per word; every spelling of an e-mail address, every run of digits
+and capitals of six signs or more, and every house number beside a street word
+is a node of its own.  All other text is fixed to "no entity", which cuts the
+chain without changing it.  The node grammar only says where an entity *may*
+be; the labels come from the model: word shapes, learned given names, the words
+around (title or function words are learned, not listed), number shapes,
+separators, label words.
+
+Weights are trained here (:func:`train`) on a bounded sample: tagged blocks
+give true labels of all kinds but identity numbers, negatives included;
+documents are labelled by bootstrapping (known given names, contexts in which
+such names stand, telephone shapes of tagged blocks, words that label identity
+numbers) and teach nothing where that can't tell.  Given names, telephone
+shapes, contexts and frequent words are counted over all rows.
+
+Skip edges join nodes of one document: equal surfaces, similar ones (case,
+accents, a genitive s, digits written otherwise) and a name with a mail address
+that holds it.  Their three potentials are trained too, by pseudo-likelihood.
+Loopy belief propagation runs over chains and skip edges of a whole batch of
+documents at once.  An exact check of the name grammar follows.
 
 Pieces come out exactly as written; placeholders replace them in place.
 
 Defined results: null and empty texts have no pieces; a piece that occurs twice
-in a text is one row of :func:`find_rows`; repeated documents come out each.
+in a text is one row of :func:`find_rows`; repeated documents come out each;
+without tagged blocks nothing teaches streets and telephone shapes, so only
+addresses, labelled numbers and names in learned contexts are found; names in
+scripts without capitals are not seen.
 """
 
 from __future__ import annotations
 
+import html
+import json
 import re
-from bisect import bisect_right
-from collections import Counter, defaultdict
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.model.crf import LinearChainCRF, Packed
+from tagweave.model.crf import LinearChainCRF
 
 LABELS = ["B", "EMAIL", "I", "ID", "O", "PHONE", "STREET"]
-#: Rows of each training table, at most.
-SAMPLE_DOCUMENTS = 3000
-SAMPLE_BLOCKS = 6000
-SKIP_WEIGHT = 1.5
-ROUNDS = 8
+#: Rows of each training table, at most, and characters of a training text.
+SAMPLE_DOCUMENTS = 1000
+SAMPLE_BLOCKS = 3000
+SAMPLE_CHARS = 20_000
+ROUNDS = 6
+#: Shares, so that they hold at every size: of a word's occurrences that begin a
+#: tagged person (given name), of a shape's that are tagged as a number
+#: (telephone), of a context's with a known given name (name context), and of
+#: all runs that a word stands in or beside (frequent).
+GIVEN_SHARE = 0.5
+SHAPE_SHARE = 0.5
+CONTEXT_SHARE = 0.5
+FREQUENT_SHARE = 0.0005
+
+# --- spellings -------------------------------------------------------------------
 
-# --- recognisers ---------------------------------------------------------------
 
+def _capitals() -> str:
+    """All capital letters as a character class body."""
+    at = [c for c in range(0x41, 0x1F00) if unicodedata.category(chr(c)) in ("Lu", "Lt")]
+    runs = [[at[0], at[0]]]
+    for c in at[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+_UP = f"[{_capitals()}]"
 _S = r"(?:[ \xa0\n]|&#160;|&nbsp;|~)"
 _DOT = rf"(?:\.|{_S}?(?:\[dot\]|\(dot\)|\{{dot\}}|\[DOT\]|\(DOT\)){_S}?|{_S}(?:dot|DOT){_S})"
 _AT = rf"(?:{_S}?(?:@|＠|﹫|&#64;|\\@){_S}?|{_S}?(?:\((?:at|AT|@)\)|\[(?:at|AT|@)\]|\{{(?:at|AT)\}}){_S}?|{_S}(?:at|AT){_S})"
@@ -53,97 +90,60 @@ _LOCAL = rf"[A-Za-z0-9À-ɏ](?:[\w+%-]|\\_)*(?:{_DOT}[\w+%-]+)*"
 EMAIL = re.compile(rf"(?<![\w.+@-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![\w@])")
 #: Where an address may be: its at sign, or a written "at" before a dotted name.
 _EMAIL_HINT = re.compile(rf"[@＠﹫]|&#64;|[(\[{{](?:at|AT|@)[)\]}}]|{_S}(?:at|AT){_S}(?={_LABEL}{_DOT}[A-Za-z0-9])")
-
-# The shapes of telephone numbers (9 stands for a digit, a blank for any).
-PHONE_SHAPES = [
-    "+999 99 999 99 99", "+999 99 999 999", "+999.99.999.999", "+9 999 999 9999", "+9-999-999-9999", "+9.999.999.9999", "+99999999999", "+999999999999", "+99 (9)99 9999-9999", "+99 (9)99 9999 9999", "+99 99 9999 9999", "+99 99 9999-9999",
-    "+99 999 9999999", "+99 99 99999999", "+99 9 99 99 99 99", "(999) 999-9999", "(999) 999 9999", "(99999) 999999", "999-999-9999", "999.999.9999", "9999 / 999 999-99", "9999/999 999-99", "99999 99/99 99 99", "999 9999 9999", "99 99 99 99 99", "99.99.99.99.99",
-]
-# The shapes of identity, passport, tax and insurance numbers.
-ID_SHAPES = ["999-99-9999", "999 99 9999", "A9999999", "AA9999999", "A9999999A", "99999999-A", "99999999A", "999999/9999", "99 999 999 999", "AA 99 99 99 A", "AA999999A", "A 99999999", "999.999.999-99", "AAAAAA99A99A999A"]
-
-
-def _shape_pattern(shape: str) -> str:
-    out = []
-    for run in re.findall(r"9+|A+|.", shape):
-        if run[0] == "9":
-            out.append(rf"\d{{{len(run)}}}")
-        elif run[0] == "A":
-            out.append(f"[A-Z]{{{len(run)}}}")
-        else:
-            out.append(_S if run == " " else re.escape(run))
-    return "".join(out)
-
-
-_NUMBERS = sorted({*PHONE_SHAPES, *ID_SHAPES}, key=len, reverse=True)
-NUMBER = re.compile(r"(?<![\w+.,/-])(?=[\d+(A-Z])(?:" + "|".join(map(_shape_pattern, _NUMBERS)) + r")(?![\w]|[-./]\d)")
-#: A labelled run of digits of no known shape.
-LOOSE = re.compile(rf"(?:\b(?:[Tt]el(?:ef(?:oon|on|ax))?|[Tt]él|[Pp]hone|[Ff]ax|[Cc]all)\b[.:]?{_S}?:?{_S}?)([+(]?\d[\d()./ \xa0-]{{5,18}}\d)(?![\w])")
-#: Any run of digits of plausible length, and any of digits and capitals, that
-#: may be a number; shapes and labels are features of it.
-DIGITS = re.compile(r"(?<![\w+.,/-])(?:\+ ?|\()?\d(?:[()./ \xa0-]{0,3}\d){5,16}(?![\w]|[-./]\d)")
-MIXED = re.compile(rf"(?<![\w+.,/-])(?=[A-Z\d]*[A-Z]|[\dA-Z .-]*\d[ -]?[A-Z])(?:[A-Z]{{0,6}}\d[A-Z\d]*|[A-Z]{{1,6}}(?=[ -]\d))(?:[ .-](?:[A-Z]{{0,4}}\d[A-Z\d]*))*(?:[ -][B-DF-HJ-NP-XZ])?(?![\w]|[-./]\d)")
-_PHONE_LABEL = re.compile(rf"\b(?:tel(?:ephone|ef(?:oon|on|ax|ono))?|tél(?:éphone|écopie)?|phone|fax|call|mobile?|móvil|handy|gsm|rufnummer|durchwahl)\b(?: (?:number|no\.?|nr\.?|n°))?[.:]?{_S}?:?{_S}?$", re.I)
-
-_NAMEWORD = r"(?:[^\W\d_a-zß-öø-ÿ]|&#\d+;|&[A-Z]\w+;)(?:[^\W\d_]|[̀-ͯ]|&#\d+;|&[A-Za-z]+;|['’-](?=[^\W\d_]|&))*"
+_SIGN = re.compile(r"[@＠﹫]|&#64;")
+
+_GAP = rf"(?:{_S}?[()/-]{{1,2}}{_S}?|\.|{_S}{{1,2}}(?<!\n\n))"
+DIGITS = re.compile(rf"(?:\+{_S}?|\({_S}?)?\d+(?:{_GAP}\d+)*")
+_BLANKS = re.compile(rf"{_S}+")
+_AROUND = re.compile(r" ?([^\w ]) ?")
+_HOUSE = re.compile(r"\d{1,5}[a-zA-Z]?(?![\w])")
+_HOUSE_START = re.compile(r"\d{1,5}[a-zA-Z]?")
+_CODE = re.compile(r"[A-Z\d]+(?:[ .-][A-Z]{0,4}\d[A-Z\d]*)*(?:(?<=\d)[ -][B-DF-HJ-NP-TV-XZ](?![\w'’]))?")
+_PREFIX = re.compile(rf"(?<![\w-])[A-Z]{{1,2}}{_S}\Z")
+
+_NAMEWORD = rf"(?:{_UP}|&#(?!160;)\d+;|&[A-Z]\w+;)(?:[^\W\d_]|[̀-ͯ]|&#\d+;|&[A-Za-z]+;|['’-](?=[^\W\d_]|&))*"
 # Words that make a street of a name.
-STREET_TYPES = "Street St. Avenue Ave Road Rd. Lane Drive Blvd Boulevard Court Square Way Place Crescent Terrace Close".split()
-STREET_LEADS = "rue avenue place bd boulevard quai chemin allée impasse cours".split()
-STREET_CALLS = ["Calle", "C/", "Plaza", "Avenida", "Avda.", "Paseo", "Camino", "Ronda", "Travesía", "Via", "Piazza"]
-STREET_ENDS = "straße strasse str. platz weg gasse allee ufer damm ring straat laan plein kade gracht dijk".split()
+STREET_TYPES = "Street St. Avenue Ave Ave. Road Rd. Rd Lane Ln Drive Blvd Boulevard Court Square Way Place Crescent Terrace Close Row Mews Grove Gardens Parkway Highway Quay Walk".split()
+STREET_LEADS = "rue avenue place bd boulevard quai chemin allée impasse cours route square passage".split()
+STREET_CALLS = ["Calle", "C/", "Plaza", "Avenida", "Avda.", "Paseo", "Camino", "Ronda", "Travesía", "Carretera", "Via", "Viale", "Corso", "Piazza", "Rua", "ulica", "ul."]
+STREET_ENDS = "straße strasse str. platz weg gasse allee ufer damm ring steig markt straat laan plein kade gracht dijk singel gatan vägen vej gade".split()
 _NO = r"\d{1,5}[a-zA-Z]?(?![\w])"
 _DIRECTION = r"(?:Old|New|North|South|East|West|Upper|Lower|Great|Little)"
 STREET = re.compile(
-    rf"(?<![\w.,/-])(?:{_NO}(?:{_S}(?:bis|ter|quater))?(?:,?{_S}(?:{'|'.join(STREET_LEADS)}){_S}(?:(?:de{_S}la|de{_S}l['’]|des|du|de|d['’]){_S}?)?{_NAMEWORD}(?:{_S}(?!\d){_NAMEWORD})?"
+    rf"{_NO}(?:{_S}(?:bis|ter|quater))?(?:,?{_S}(?:{'|'.join(STREET_LEADS)}){_S}(?:(?:de{_S}la|de{_S}l['’]|des|du|de|d['’]){_S}?)?{_NAMEWORD}(?:{_S}(?!\d){_NAMEWORD})?"
     rf"|{_S}(?:{_DIRECTION}{_S})?{_NAMEWORD}(?:{_S}{_NAMEWORD})?{_S}(?:{'|'.join(t.replace('.', '[.]') for t in STREET_TYPES)})(?![\w]))"
-    rf"|(?:{'|'.join(re.escape(c) for c in STREET_CALLS)}){_S}(?:(?:de{_S}la|del|de|la){_S})?{_NAMEWORD}(?:{_S}{_NAMEWORD})?,?{_S}(?:n[.º°]{_S})?{_NO})"
 )
-#: Streets whose kind ends the name, with the number behind; and where one may be.
+#: Streets with the number behind.
 STREET_BEHIND = re.compile(
-    rf"(?<![\w.,/-])(?:(?:Am|An{_S}der|Im|Zum|Zur|Auf{_S}dem){_S})?(?:{_NAMEWORD}{_S}(?:Allee|Straße|Platz|Weg|Ring|Ufer|Laan|Plein)|{_NAMEWORD}(?:{'|'.join(e.replace('.', '[.]') for e in STREET_ENDS)}|-Ufer|-Allee|-Platz|-Straße|-Weg)){_S}{_NO}"
+    rf"(?<![\w.,/-])(?:(?:{'|'.join(re.escape(c) for c in STREET_CALLS)}){_S}(?:(?:de{_S}la|del|de|la){_S})?{_NAMEWORD}(?:{_S}{_NAMEWORD})?,?{_S}(?:n[.º°]{_S})?{_NO}"
+    rf"|(?:(?:Am|An{_S}der|Im|Zum|Zur|Auf{_S}dem){_S})?(?:{_NAMEWORD}{_S}(?:Allee|Straße|Platz|Weg|Ring|Ufer|Laan|Plein)|{_NAMEWORD}(?:{'|'.join(e.replace('.', '[.]') for e in STREET_ENDS)}|-Ufer|-Allee|-Platz|-Straße|-Weg)){_S}{_NO})"
 )
-_BEHIND_HINT = re.compile(rf"(?:{'|'.join(e.replace('.', '[.]') for e in [*STREET_ENDS, 'Ufer', 'Allee', 'Platz', 'Straße', 'Weg', 'Ring', 'Laan', 'Plein'])}){_S}(?=\d)")
+_NUMBER_FIRST = re.compile(rf"(?:{_S}(?:bis|ter|quater))?,?{_S}[^\W\d_]")
 
-
-def _around(text: str, hint: re.Pattern[str], pattern: re.Pattern[str], back: int, forth: int) -> Iterator[tuple[int, int]]:
-    """Matches of ``pattern`` over the places where ``hint`` matches."""
-    done = 0
-    for h in hint.finditer(text):
-        if h.start() < done:
-            continue
-        for m in pattern.finditer(text, max(done, h.start() - back), min(len(text), h.end() + forth)):
-            if m.start() <= h.start() < m.end():
-                done = m.end()
-                yield m.span()
-                break
-
-
-# Titles and label words that a name follows, function names, particles.
-TITLES = [
-    "Dr.", "Prof.", "Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Yesterday", "Contact person:", "Contact:", "Ask for", "Signed:", "Signed by", "Attn:", "Attention:", "Ansprechpartner:", "Ansprechpartnerin:", "Frau", "Herr", "Herrn", "gez.",
-    "Fragen Sie nach", "Votre contact :", "Votre contact:", "Demandez", "Mme", "Madame", "Monsieur", "M.", "Mlle", "Pregunte por", "Sra.", "Sr.", "Señora", "Señor", "Don", "Doña", "Contacto:", "Mevrouw", "heer", "Mevr.", "Dhr.", "Vraag naar", "—", "Dear", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Querido", "Querida", "Beste", "Geachte",
-]
-FUNCTIONS = [
-    "Head of Sales", "Director", "Office manager", "Librarian", "Deputy editor", "Caretaker", "Registrar", "Hausmeister", "Prokuristin", "directrice", "secrétaire générale", "Leiterin", "Büroleitung", "bibliothécaire", "gérant", "Geschäftsführer",
-    "hoofd verkoop", "directeur", "beheerder", "bibliothecaris", "jefe de ventas", "bibliotecario", "directora", "secretaria",
-]
+# Words in front of a family name.
 PARTICLES = {"von", "van", "der", "den", "de", "la", "du", "des", "del", "di", "da", "dos", "zu", "zum", "zur", "ter", "ten", "le", "el", "af", "av", "y", "e", "und"}
-
-_TITLE = "|".join(re.escape(t).replace(r"\ ", f"{_S}+") for t in sorted(TITLES, key=len, reverse=True))
-_FUNCTION = "|".join(re.escape(t).replace(r"\ ", f"{_S}+") for t in sorted(FUNCTIONS, key=len, reverse=True))
-TRIGGER = re.compile(rf"(?<![\w])(?:{_TITLE}|(?:Our|Unser|Unsere|Notre|Nuestro|Nuestra|Onze|Ons){_S}(?:{_FUNCTION})){_S}{{1,2}}(?=[^\W\d_a-zß-öø-ÿ]|&#)")
-#: Where a stretch begins that can hold a full name: one of two words at least.
-OPEN = re.compile(rf"(?<![\w@&#])(?<!\w[.])(?={_NAMEWORD}(?:[.](?={_S})|,)?{_S}+(?:(?:{'|'.join(sorted(PARTICLES))})['’]?{_S}+)*{_NAMEWORD})")
-_WORD = re.compile(rf"{_NAMEWORD}(?:\.(?={_S}|$))?|[a-zà-ÿ]+['’]?|,|{_S}+|.", re.S)
-_BLANKS = re.compile(f"{_S}+")
-_AFTER = re.compile(rf"{_S}*(\S)")
-_BEFORE = re.compile(r"[^\W\d_]+|[^\w\s]")
-_ELIDED = re.compile(r"[LDQS]['’][^\W\d_]")
+_PARTICLE = "(?:" + "|".join(sorted(PARTICLES, key=lambda p: (-len(p), p))) + ")(?:['’]|(?![\\w'’]))"
+_WORD = rf"(?:{_UP}\.(?:-{_UP}\.)?|{_NAMEWORD})"
+RUN = re.compile(rf"{_WORD}(?:,?{_S}{{1,3}}(?:{_PARTICLE}{_S}*)*{_WORD})+")
+_PART = re.compile(rf"{_WORD}|{_PARTICLE}|,")
 _INITIAL = re.compile(r"[^\W\d_]\.(?:-[^\W\d_]\.)?$")
-_CAPS = re.compile(r"[^\W\d_a-zß-öø-ÿ]{2,}(?:['’-]?[^\W\d_a-zß-öø-ÿ]+)*$")
+_CAPS = re.compile(rf"{_UP}{{2,}}(?:['’-]?{_UP}+)*$")
+_ELIDED = re.compile(r"[LDQS]['’][^\W\d_]")
+_TOKEN = re.compile(r"[^\W\d_]+| ?[^\w\s]")
+_AFTER = re.compile(rf"{_S}*([^\W\d_]+|\S)")
+_LEFT = re.compile(r"[^\W\d_][^\W_]*|[^\w\s]")
+
+# Words that label a number.
+PHONE_LABEL = re.compile(rf"\b(?:tel(?:ephone|ef(?:oon|on|ax|ono))?|tél(?:éphone|écopie)?|phone|fax|call|mobile?|móvil|handy|gsm|rufnummer|durchwahl)\b(?: (?:number|no\.?|nr\.?|n°))?[.:]?{_S}?:?{_S}?$", re.I)
+ID_LABEL = re.compile(
+    r"(?:\bSSN|passport(?:\s+no\.)?|identity\s+number|tax\s+number|insurance\s+number|Personal\s+ID|ID\s+card|Ausweisnummer|Steuer-ID|Reisepass\s*Nr\.?|Sozialversicherungsnummer|passeport\s+n°|carte\s+d[’']identité|sécurité\s+sociale|n°\s+fiscal"
+    r"|\bDNI|\bNIE|pasaporte|\bNIF|seguridad\s+social|\bBSN|paspoort|rijbewijs|identiteitskaart|numéro\s+de\s+[\w ]{3,20})[\s\xa0]*(?:n°|nr\.?|no\.?)?[\s\xa0]*:?[\s\xa0]*$",
+    re.I,
+)
+_LABEL_WORDS = {"SSN", "DNI", "NIE", "NIF", "BSN", "ID", "NO", "NR", "TEL", "FAX", "REF", "PO"}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     start: int
     end: int
@@ -155,25 +155,33 @@ class Node:
 
 @dataclass
 class Knowledge:
-    """What training gathers beside the weights."""
+    """What training gathers: counted over all rows, and the weights."""
 
     given: frozenset[str] = frozenset()
     frequent: frozenset[str] = frozenset()
+    contexts: frozenset[str] = frozenset()
+    shapes: frozenset[str] = frozenset()
     crf: LinearChainCRF = field(default_factory=LinearChainCRF)
+    #: potentials of the skip edges: equal, similar, name and mail address
+    skip: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
-    def pattern(self) -> re.Pattern[str] | None:
-        if not self.given:
-            return None
-        names = sorted(self.given | {g.upper() for g in self.given}, key=len, reverse=True)
-        return re.compile(r"(?<![\w@.+-])(?:" + "|".join(map(re.escape, names)) + r")(?![\w@]|[.+]\w)")
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As tables: the weights, and one row of everything else."""
+        state, transition = self.crf.to_rows()
+        spark.createDataFrame(state or [("", self.crf.labels[0], 0.0)], "feature string, label string, weight double").write.mode("overwrite").parquet(f"{path}/state_weights")
+        spark.createDataFrame(transition, "from_label string, to_label string, weight double").write.mode("overwrite").parquet(f"{path}/transition_weights")
+        rest = {"given": sorted(self.given), "frequent": sorted(self.frequent), "contexts": sorted(self.contexts), "shapes": sorted(self.shapes), "skip": self.skip}
+        spark.createDataFrame([(json.dumps(rest),)], "knowledge string").write.mode("overwrite").parquet(f"{path}/knowledge")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Knowledge":
+        state, transition = ([tuple(r) for r in spark.read.parquet(f"{path}/{t}").collect()] for t in ("state_weights", "transition_weights"))
+        rest = json.loads(spark.read.parquet(f"{path}/knowledge").first().knowledge)
+        return cls(*(frozenset(rest[k]) for k in ("given", "frequent", "contexts", "shapes")), LinearChainCRF.from_rows(state, transition), tuple(rest["skip"]))
 
-def _plain(w: str) -> str:
-    if "&" in w:
-        import html
 
-        w = html.unescape(w)
-    return w
+def _plain(w: str) -> str:
+    return html.unescape(w) if "&" in w else w
 
 
 @lru_cache(maxsize=100_000)
@@ -185,180 +193,329 @@ def _shape(w: str) -> str:
         return "initial"
     if _CAPS.match(w):
         return "caps"
-    if w.lower() in PARTICLES and w[:1].islower():
+    if w[:1].islower() and w.rstrip("'’").lower() in PARTICLES:
         return "particle"
     if "-" in w:
         return "double" if all(p[:1].isupper() for p in w.split("-")) else "mixed"
     return "cap" if w[:1].isupper() else "low"
 
 
+def number_shape(s: str) -> str:
+    """Digits as 9, letters as A, blanks as one and none around signs."""
+    return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", _AROUND.sub(r"\1", _BLANKS.sub(" ", s))))
+
+
+# --- nodes -----------------------------------------------------------------------
+
+
+def _widening(text: str, pattern: re.Pattern[str], at: int, low: int, step: int) -> Iterator[tuple[int, int]]:
+    """The match of ``pattern`` over place ``at``, searched from ever further
+    back until its beginning no longer moves: exact, without a fixed reach."""
+    reach, found = step, None
+    while True:
+        start = max(low, at - reach)
+        got = next((m.span() for m in pattern.finditer(text, start, min(len(text), at + reach + 80)) if m.start() <= at < m.end()), None)
+        if start == low and at + reach + 80 >= len(text) or got is not None and got == found or got is None and found is None and not _touches(text, start, at) and reach > step:
+            if got:
+                yield got
+            return
+        found, reach = got, reach * 2
+
+
+def _touches(text: str, start: int, at: int) -> bool:
+    """No blank between: one long word may reach further back."""
+    return not re.search(r"\s", text[start:at])
+
+
+def _street(text: str, a: int) -> tuple[int, int] | None:
+    """The street around the house number that begins at ``a``."""
+    house = _HOUSE.match(text, a)
+    if house and a > 1 and text[a - 1] in " \xa0\n;~":
+        k = max(text.rfind(" ", 0, a - 1), text.rfind("\n", 0, a - 1), text.rfind("\xa0", 0, a - 1)) + 1
+        if text[k].isupper() or text[k] in "n&" or "-" in text[k:a]:
+            for _ in range(8):  # as many words as the pattern has
+                k = max(0, text.rfind(" ", 0, k), text.rfind("\n", 0, k), text.rfind("\xa0", 0, k))
+            found = next((x.span() for x in STREET_BEHIND.finditer(text, k, house.end()) if x.end() == house.end()), None)
+            if found:
+                return found
+    house = _HOUSE_START.match(text, a)
+    if house and _NUMBER_FIRST.match(text, house.end()) and (x := STREET.match(text, a)):
+        return x.span()
+    return None
+
+
+def _code(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The number with capitals around the digits from ``a`` to ``b``."""
+    k = a
+    while k and (text[k - 1].isdigit() or "A" <= text[k - 1] <= "Z"):
+        k -= 1
+    if k == a and (p := _PREFIX.search(text, max(0, a - 9), a)) and p.group().strip() not in _LABEL_WORDS:
+        k = p.start()
+    x = _CODE.match(text, k) if text[k] not in "+(" else None
+    if not x or x.end() < b:
+        return None
+    e = x.end()
+    if text[e - 2] == " " and text[e - 1].isalpha() and text[k].isdigit():
+        e -= 2  # a letter behind a blank belongs to numbers that begin with letters
+    s = text[k:e]
+    return (k, e) if _whole(text, k, e) and sum(c.isalnum() for c in s) > 4 and any(c.isalpha() for c in s) else None
+
+
+def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+    """``(kind, start, end)`` of numbers and of streets around house numbers."""
+    done = 0
+    for m in DIGITS.finditer(text):
+        a, b = m.span()
+        if a < done:
+            continue
+        before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+        if (before == "" or before in " \xa0\n;~(>*[{") and text[a].isdigit() and (street := _street(text, a)):
+            done = street[1]
+            yield "street", *street
+            continue
+        if "A" <= before <= "Z" or "A" <= after <= "Z" or after and after in "- " and "A" <= text[b + 1 : b + 2] <= "Z" or before and before in " \xa0;" and _PREFIX.search(text, max(0, a - 9), a):
+            if code := _code(text, a, b):
+                done = code[1]
+                yield "number", *code
+                continue
+        s = m.group()
+        if len(s) < 4:
+            continue
+        cut = max(s.rfind(" "), s.rfind("\n"), s.rfind("\xa0"))
+        if cut > 0 and number_shape(s) not in shapes and (street := _street(text, a + cut + 1)):
+            yield from _split(text, a, a + cut, shapes)
+            done = street[1]
+            yield "street", *street
+        else:
+            yield from _split(text, a, b, shapes)
+
+
+def _whole(text: str, a: int, b: int) -> bool:
+    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+    return not (before.isalnum() or before in ("_", "+", ".", ",", "/", "-") and before) and not (after.isalnum() or after == "_" or after in ("-", ".", "/") and text[b + 1 : b + 2].isdigit())
+
+
+def _split(text: str, a: int, b: int, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+    """A run of digits, or the stretches of it that have a telephone's shape:
+    blanks may also stand between two numbers."""
+    s = text[a:b]
+    if sum(c.isdigit() for c in s) < 6:
+        return
+    if number_shape(s) not in shapes:
+        cuts = [0, *[x for m in re.finditer(rf"{_S}+", s) for x in m.span()], len(s)]
+        starts, ends = cuts[::2], cuts[1::2]
+        if len(starts) > 1:
+            out, i = [], 0
+            while i < len(starts):
+                j = next((j for j in range(len(ends) - 1, i - 1, -1) if number_shape(s[starts[i] : ends[j]]) in shapes), None)
+                if j is None:
+                    i += 1
+                else:
+                    out.append((a + starts[i], a + ends[j]))
+                    i = j + 1
+            if out:
+                yield from (("number", x, y) for x, y in out if _whole(text, x, y))
+                return
+    if s[0] == "(" and ")" not in s:
+        a += 1
+    if _whole(text, a, b):
+        yield "number", a, b
+
+
 def _unit_features(kind: str, text: str, a: int, b: int) -> list[str]:
-    left = re.findall(r"[^\W\d_][^\W_]*|[^\w\s]", text[max(0, a - 40) : a].lower())[-3:]
-    right = re.findall(r"[^\W\d_]\w*|[^\w\s]", text[b : b + 14].lower())[:1]
     s = text[a:b]
-    shape = re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(_S, " ", s)))
+    left = _LEFT.findall(text[max(0, a - 40) : a].lower())[-3:]
+    right = _LEFT.findall(text[b : b + 14].lower())[:1]
     out = [f"kind={kind}", f"k+l1={kind}|{left[-1] if left else '^'}", f"k+r1={kind}|{right[0] if right else '$'}"]
     if kind == "number":
-        label = "id" if _ID_LABEL.search(text, max(0, a - 40), a) else "phone" if _PHONE_LABEL.search(text, max(0, a - 24), a) else ""
-        run = re.match(r"\D*(\d*)", s).group(1)
-        seps = "".join(sorted(set(re.sub(r"\w", "", re.sub(_S, " ", s)))))
-        out += [f"label={label}", f"seps={seps}|{s[:1] == '0'}|{any(map(str.isalpha, s))}", f"runs={re.sub('9+', '9', re.sub('A+', 'A', shape))}", f"lead={s[:1] if s[:1] in '+(0' else 'A' if s[:1].isalpha() else '9'}|{min(sum(c.isdigit() for c in s), 14)}", f"lead|first={s[:1] if s[:1] in '+(0' else '9'}|{len(run)}"]
-        out += [f"shape={shape}", f"digits={sum(c.isdigit() for c in s)}", f"start={s[0] if not s[0].isalnum() else 'x'}", *[f"left={w}" for w in left]]
+        shape = number_shape(s)
+        label = "id" if ID_LABEL.search(text, max(0, a - 60), a) else "phone" if PHONE_LABEL.search(text, max(0, a - 40), a) else ""
+        n, lead = sum(c.isdigit() for c in s), s[0] if s[0] in "+(0" else "A" if s[0].isalpha() else "9"
+        seps = "".join(sorted(set(re.sub(r"\w", "", shape))))
+        out += [f"label={label}", f"seps={seps}|{lead}", f"runs={re.sub('9+', '9', re.sub('A+', 'A', shape))}", f"lead={lead}|{min(n, 16)}", f"lead+label={lead}|{label}", f"first={lead}|{len(re.match(r'[^0-9]*([0-9]*)', s).group(1))}", f"shape={shape}", f"digits={min(n, 24)}"]
+        out += [f"left={w}" for w in left]
+    elif kind == "email":
+        sign = "@" if _SIGN.search(s) else "brackets" if re.search(r"[(\[{]", s) else "written"
+        out += [f"at={sign}", f"dots={sign}|{'.' in s}", f"at+l1={sign}|{left[-1] if left else '^'}", f"local={sign}|{min(len(re.split(_AT, s)[0]), 3)}"]
+    else:
+        words = re.findall(r"[^\W\d_]+[.]?", s.lower())
+        out += [f"first={words[0] if words else ''}", f"last={words[-1] if words else ''}", f"end={words[-1][-4:] if words else ''}", f"behind={s[0].isalpha()}"]
     return out
 
 
-def _zone_nodes(text: str, a: int, zone: int, trigger: str, know: Knowledge, limit: int = 1 << 30) -> list[Node]:
-    """Word nodes from ``a`` on, up to the first thing that no name holds."""
-    words: list[tuple[int, int, str]] = []
-    at, gap = a, 0
-    while at < len(text) and len(words) < limit:
-        m = _WORD.match(text, at)
+def _words_of(text: str, a: int, b: int) -> list[list[tuple[int, int, str]]]:
+    """Words of a run; cut at commas but behind a family name in capitals."""
+    out: list[list[tuple[int, int, str]]] = [[]]
+    for m in _PART.finditer(text, a, b):
         w = m.group()
-        if _BLANKS.fullmatch(w):
-            if w.count("\n") > 1:
-                break
-            gap += 1
-        elif w == ",":
-            # only between a family name in capitals and a given name
-            if not words or _shape(words[-1][2]) not in ("caps", "double") or not _CAPS.match(_plain(words[-1][2])):
-                break
-            words.append((at, m.end(), w))
-        elif w[:1].islower() and w.rstrip("'’").lower() not in PARTICLES or not (w[:1].isalpha() or w[:1] == "&"):
-            break
-        else:
-            if w[-1:] == "." and not _INITIAL.match(_plain(w)):
-                words.append((at, m.end() - 1, w[:-1]))
-                break
-            words.append((at, m.end(), w))
-        at = m.end()
-    tail = _AFTER.match(text[at : at + 4])
-    after = tail.group(1) if tail else "$"
-    nodes = []
-    before = [] if trigger else (_BEFORE.findall(text[max(0, a - 30) : a].lower()) or ["^"])[-2:]
+        here = out[-1]
+        if w == ",":
+            if here and _CAPS.match(_plain(here[-1][2])):
+                here.append((m.start(), m.end(), w))
+            else:
+                out.append([])
+        elif here or not w[:1].islower():
+            here.append((m.start(), m.end(), w))
+    return out
+
+
+def runs_of(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, str]]]:
+    """Every run of two or more capitalised words outside of ``taken``."""
+    taken = sorted(taken)
+    k = 0
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "@#_" or text[a - 1] == "." and text[a - 2 : a - 1].isalnum()):
+            continue
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        for words in _words_of(text, a, b):
+            parts: list[list[tuple[int, int, str]]] = [[]]
+            for w in words:
+                if any(x < w[1] and w[0] < y for x, y in taken[k : k + 8]):
+                    parts.append([])
+                elif parts[-1] and "\n" in (gap := text[parts[-1][-1][1] : w[0]]) and gap.count("\n") > 1:
+                    parts.append([w])
+                else:
+                    parts[-1].append(w)
+            yield from (p for p in parts if len(p) > 1)
+
+
+def _known(words: list[tuple[int, int, str]], given: frozenset[str]) -> list[bool]:
+    out = []
+    for _, _, w in words:
+        p = _plain(w)
+        out.append(p in given or p.isupper() and p.title() in given or "-" in p and p.split("-")[0] in given)
+    return out
+
+
+def _contexts(lows: list[str], i: int, outside: list[str]) -> tuple[str, str, str]:
+    """The last token before a word, the last two, the last three."""
+    before = [*outside[i:], *lows[max(0, i - 3) : i]] if i < 3 else lows[i - 3 : i]
+    return before[2], f"{before[1]} {before[2]}", " ".join(before)
+
+
+def _outside(text: str, a: int) -> list[str]:
+    """Three tokens before a place; a paragraph's or text's beginning is ^."""
+    back = text[max(0, a - 60) : a]
+    cut = back.rfind("\n\n")
+    if cut >= 0:
+        back = back[cut + 2 :]
+    return ["^", "^", "^", *_TOKEN.findall(_BLANKS.sub(" ", back.lower()))][-3:]
+
+
+def _run_nodes(text: str, words: list[tuple[int, int, str]], zone: int, know: Knowledge, given: frozenset[str]) -> list[Node]:
+    n = len(words)
+    frequent, contexts = know.frequent, know.contexts
     shapes = [_shape(w) for _, _, w in words]
-    lows = [_plain(w).lower() for _, _, w in words]
-    for i, (s, e, w) in enumerate(words):
-        g = any(p in know.given for p in {_plain(w), _plain(w).title(), *_plain(w).split("-")[:1]})
-        prev, nxt = (shapes[i - 1] if i else f"^{trigger}"), (shapes[i + 1] if i + 1 < len(words) else f"${after}")
+    lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
+    keys = [w if w in frequent else "#" for w in lows]
+    flags = ["1" if k else "0" for k in _known(words, given)]
+    outside = _outside(text, words[0][0])
+    m = _AFTER.match(text, words[-1][1])
+    after = m.group(1).lower() if m else "$"
+    after = after if after in frequent or not after[:1].isalpha() else "#"
+    out = []
+    for i, (a, b, w) in enumerate(words):
+        s, g = shapes[i], flags[i]
+        l1, l2, l3 = _contexts(lows, i, outside)
+        p = l1 if l1 in frequent or not l1[:1].isalpha() else "#"
+        nxt = keys[i + 1] if i + 1 < n else "$" + after
         f = [
-            "word", f"titled={trigger != ''}", f"shape={shapes[i]}", f"given={g}", f"shape|prev={shapes[i]}|{prev if i else '^'}", f"shape|next={shapes[i]}|{nxt[:2] if i + 1 == len(words) else nxt}", f"at={min(i, 5)}|{shapes[i]}", f"pos|given={min(i, 3)}|{g}",
-            f"trigger={trigger}|{min(i, 4)}", f"titled={trigger != ''}|{min(i, 5)}|{shapes[i]}", f"hist={'/'.join(shapes[max(0, i - 3) : i])}|{shapes[i]}",
+            f"s={s}|{g}|{min(i, 2)}", f"sp={shapes[i - 1] if i else '^'}|{s}|{shapes[i + 1] if i + 1 < n else '$'}", f"g={flags[i - 1] if i else '^'}|{g}|{s}", f"p={p}|{s}|{g}", f"n={nxt}|{s}",
+            f"left={n - i if n - i < 4 else 4}|{s}|{min(i, 3)}", f"h={'/'.join(shapes[max(0, i - 3) : i])}|{s}", f"c={next((k for k in (l3, l2, l1) if k in contexts), '')}",
         ]
-        if lows[i] in know.frequent:
-            f.append(f"lower={lows[i]}")
-        if i + 1 < len(words) and lows[i + 1] in know.frequent:
-            f.append(f"next={lows[i + 1]}")
-        if not trigger:
-            f += [f"left={b}|{min(i, 2)}|{shapes[i]}" for b in before]
-            f += [f"right={after}|{min(len(words) - i, 3)}"]
-            if _ELIDED.match(w):
+        if keys[i] != "#":
+            f.append(f"w={keys[i]}")
+            f.append(f"wp={keys[i]}|{p}")
+        if i == 0:
+            f.append(f"start={p}|{n if n < 4 else 4}|{nxt}")
+            if s == "cap" and _ELIDED.match(w):
                 f.append("elided")
-            if i and "\n" in text[words[i - 1][1] : s]:
-                f += ["wrapped", f"wrapped|{shapes[i - 1]}|{shapes[i]}"]
-            if i and lows[i - 1] in know.frequent:
-                f.append(f"prev={lows[i - 1]}")
-        nodes.append(Node(s, e, w, f, zone, "word"))
-    return nodes
+        elif "\n" in text[words[i - 1][1] : a]:
+            f.append(f"wrapped={shapes[i - 1]}|{s}|{g}")
+        out.append(Node(a, b, w, f, zone, "word"))
+    return out
 
 
-_BACK = re.compile(rf"({_NAMEWORD}),{_S}$")
-
-
-def zones(text: str, know: Knowledge, given: re.Pattern[str] | None, titles: bool = True) -> list[Node]:
-    """All nodes of a text, zone by zone in the order of recognition."""
-    nodes: list[Node] = []
-    zone = 0
-    taken: list[tuple[int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
-
-    found: list[tuple[str, int, int]] = []
-    found += [("email", a, b) for a, b in _around(text, _EMAIL_HINT, EMAIL, 120, 200)]
-    found += [("street", m.start(), m.end()) for m in STREET.finditer(text)]
-    found += [("street", a, b) for a, b in _around(text, _BEHIND_HINT, STREET_BEHIND, 90, 12)]
-    found += [("number", m.start(), m.end()) for m in NUMBER.finditer(text)]
-    found += [("number", m.start(1), m.end(1)) for m in LOOSE.finditer(text)]
-    found += [("number", m.start(), m.end()) for p in (DIGITS, MIXED) for m in p.finditer(text) if 4 < len(re.sub(r"\W", "", m.group())) < 24 and sum(map(str.isdigit, m.group())) > 2]
-    for kind, a, b in found:
-        if free(a, b):
-            taken.append((a, b))
-            nodes.append(Node(a, b, text[a:b], _unit_features(kind, text, a, b), zone, kind))
-            zone += 1
-    hits = [(m.end(), re.sub(r"[^a-zà-ÿ—]+", "", re.sub(_S, "", m.group()).lower()) or "—") for m in TRIGGER.finditer(text)] if titles else []
-    hits = [(a, "our" if t.startswith(("our", "unser", "notre", "nuestr", "onze", "ons")) else t) for a, t in hits]
-    if given is not None:
-        for m in given.finditer(text):
-            back = _BACK.search(text, max(0, m.start() - 40), m.start())
-            a = back.start() if back and _CAPS.match(_plain(back.group(1))) else m.start()
-            hits.append((a, ""))
-    done = -1
-    starts = sorted({a for a, _ in hits})
-    # every other stretch of capitalised words, as far as the next title or known name
-    opened = [(m.start(), None) for m in OPEN.finditer(text)]
-    for a, trigger in sorted([*hits, *opened], key=lambda h: (h[0], h[1] is None, h[1] == "")):
-        if a < done or not free(a, a + 1):
-            continue
-        words = [n for n in _zone_nodes(text, a, zone, trigger or "", know) if free(n.start, n.end)]
-        if trigger is None:
-            k = bisect_right(starts, a)
-            if k < len(starts):
-                words = [n for n in words if n.end <= starts[k]]
-            done = max(done, words[-1].end if words else a + 1)
-            if len(words) > 1:
-                nodes += words
-                zone += 1
-        elif words:
-            nodes += words
-            # a title inside a stretch opens a stretch of its own
-            done = words[-1].end if trigger else words[0].end
-            # (a lone "M." there is an initial, no title)
-            inner = [h for h, t in hits if t not in ("", "m") and words[0].start < h < words[-1].end]
-            if inner:
-                cut = [n for n in words if n.end <= inner[0]]
-                nodes = nodes[: len(nodes) - len(words)] + cut
-                done = inner[0]
-            zone += 1
-            if not trigger:
-                done = max((n.end for n in nodes[-len(words) :]), default=done)
+def units(text: str, shapes: frozenset[str]) -> list[tuple[str, int, int]]:
+    """Addresses, streets and numbers that don't overlap."""
+    out: list[tuple[str, int, int]] = []
+    done = 0
+    for h in _EMAIL_HINT.finditer(text):
+        if h.start() >= done:
+            for a, b in _widening(text, EMAIL, h.start(), done, 120):
+                done = b
+                out.append(("email", a, b))
+    mails = len(out)
+    done, k = 0, 0
+    for kind, a, b in _numbers(text, shapes):
+        while k < mails and out[k][2] <= a:
+            k += 1
+        if a >= done and not (k < mails and out[k][1] < b):
+            done = b
+            out.append((kind, a, b))
+    return out
+
+
+def zones(text: str, know: Knowledge, given: frozenset[str] | None = None) -> list[Node]:
+    """All nodes of a text; ``given`` replaces the known given names."""
+    given = know.given if given is None else given
+    found = units(text, know.shapes)
+    nodes = [Node(a, b, text[a:b], _unit_features(kind, text, a, b), i, kind) for i, (kind, a, b) in enumerate(found)]
+    zone = len(nodes)
+    for words in runs_of(text, [(a, b) for _, a, b in found]):
+        nodes += _run_nodes(text, words, zone, know, given)
+        zone += 1
     return nodes
 
 
 # --- inference -------------------------------------------------------------------
 
+_AGREE = np.zeros((3, len(LABELS), len(LABELS)))
+for _i, _a in enumerate(LABELS):
+    for _j, _b in enumerate(LABELS):
+        _AGREE[0, _i, _j] = _AGREE[1, _i, _j] = _a == _b or {_a, _b} <= {"B", "I"}
+_AGREE[2, LABELS.index("EMAIL"), [LABELS.index("B"), LABELS.index("I")]] = 1
+_ALLOWED = {"word": ("B", "I", "O"), "email": ("EMAIL", "O"), "number": ("PHONE", "ID", "O"), "street": ("STREET", "O")}
+_BARRED = {k: np.array([0.0 if x in v else -1e3 for x in LABELS]) for k, v in _ALLOWED.items()}
+_TYPE = {"EMAIL": "email", "PHONE": "phone", "ID": "id_number", "STREET": "street"}
+
+
+def _folded(w: str) -> str:
+    """Case, accents and a genitive s aside."""
+    w = "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
+    return re.sub(r"['’]?s$", "", w)
+
 
-def skip_edges(nodes: list[Node]) -> list[tuple[int, int]]:
-    """Pairs of nodes with the same or a similar surface, as a chain through
-    each group of equals (not all pairs)."""
-    groups: dict[str, list[int]] = defaultdict(list)
+def skip_edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
+    """``(node, node, kind)`` with equal (0) or similar (1) surfaces, and mail
+    addresses with names (2): a chain through each group, not all pairs."""
+    equal: dict[str, list[int]] = defaultdict(list)
     for i, n in enumerate(nodes):
-        if n.kind == "word":
-            if len(n.text) > 3 and n.text[:1].isupper():
-                groups["w:" + _plain(n.text).lower()].append(i)
+        if n.kind != "word" or len(n.text) > 3 and not n.text[:1].islower():
+            equal[n.kind + ":" + n.text].append(i)
+    edges = [(a, b, 0) for g in equal.values() if len(g) > 1 for a, b in zip(g, g[1:])]
+    similar: dict[str, list[int]] = defaultdict(list)
+    words: dict[str, int] = {}
+    for key, g in equal.items():
+        kind, _, s = key.partition(":")
+        if kind == "word":
+            s = _folded(_plain(s))
+            words.setdefault(s, g[0])
+        elif kind == "number":
+            s = re.sub(r"\W", "", s)
         else:
-            groups[n.kind + ":" + "".join(n.text.lower().split())].append(i)
-    edges = [(a, b) for g in groups.values() for a, b in zip(g, g[1:])]
-    words = {k[2:]: g[0] for k, g in groups.items() if k.startswith("w:")}
+            s = "".join(s.lower().split())
+        similar[f"{kind}:{s}"].append(g[0])
+    edges += [(a, b, 1) for g in similar.values() if len(g) > 1 for a, b in zip(g, g[1:])]
     for i, n in enumerate(nodes):
         if n.kind == "email":
-            local = re.split(r"@|＠|\(at\)|\[at\]|\(@\)|\bat\b", n.text.lower())[0]
-            edges += [(i, words[p]) for p in re.findall(r"[^\W\d_]{4,}", local) if p in words]
+            local = re.split(_AT, n.text)[0].lower()
+            edges += [(i, words[p], 2) for p in re.findall(r"[^\W\d_]{4,}", local) if p in words]
     return edges
 
 
-def _agreement() -> tuple[np.ndarray, np.ndarray]:
-    """Potentials of a skip edge: equal labels, and mail address with name."""
-    same, mail = np.zeros((len(LABELS), len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
-    inside = {LABELS.index("B"), LABELS.index("I")}
-    for i in range(len(LABELS)):
-        for j in range(len(LABELS)):
-            if i == j or {i, j} <= inside:
-                same[i, j] = SKIP_WEIGHT
-    for j in inside:
-        mail[LABELS.index("EMAIL"), j] = mail[j, LABELS.index("EMAIL")] = SKIP_WEIGHT / 2
-    return same, mail
-
-
 def propagate(scores: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Loopy sum-product over all edges of a batch; beliefs (nodes, labels)."""
     n, L = scores.shape
@@ -367,7 +524,7 @@ def propagate(scores: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potentia
     a, b = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     E = len(edges)
     back = np.r_[np.arange(E, 2 * E), np.arange(E)]
-    P = np.concatenate([potentials[kinds], potentials[kinds].transpose(0, 2, 1)])
+    P = np.exp(np.concatenate([potentials[kinds], potentials[kinds].transpose(0, 2, 1)]))
     messages = np.zeros((2 * E, L))
     order = np.argsort(b, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0])
@@ -375,71 +532,74 @@ def propagate(scores: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potentia
     belief = scores.copy()
     for _ in range(rounds):
         out = belief[a] - messages[back]
-        new = out[:, :, None] + P
-        top = new.max(1, keepdims=True)
-        new = np.log(np.exp(new - top).sum(1)) + top[:, 0]
+        out = np.exp(out - out.max(1, keepdims=True))
+        new = np.log(np.matmul(out[:, None, :], P)[:, 0] + 1e-300)
         new -= new.max(1, keepdims=True)
         messages = 0.3 * messages + 0.7 * new
-        belief = scores.copy()
-        belief[targets] += np.add.reduceat(messages[order], starts, axis=0)
+        belief[targets] = scores[targets] + np.add.reduceat(messages[order], starts, axis=0)
     return belief
 
 
-def label_documents(texts: list[str | None], know: Knowledge) -> list[list[tuple[int, int, str]]]:
-    """``(start, end, type)`` pieces of each text."""
-    given = know.pattern()
-    per_doc = [zones(t, know, given) if t else [] for t in texts]
-    flat = [n for nodes in per_doc for n in nodes]
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    if not flat:
-        return out
-    crf = know.crf
-    order = [crf.labels.index(k) for k in LABELS]
-    scores = Packed([[n.features for n in flat]], crf.vocabulary).scores(crf.W)[:, order]
-    allowed = np.full(scores.shape, -1e3)
-    column = {k: i for i, k in enumerate(LABELS)}
-    for i, n in enumerate(flat):
-        # a label word right before rules the other kind of number out
-        for k in ("PHONE", "O") if "label=phone" in n.features else ("ID", "O") if "label=id" in n.features else _ALLOWED[n.kind]:
-            allowed[i, column[k]] = 0
-    scores = scores + allowed
-    T_ = crf.T[np.ix_(order, order)]
-    same, mail = _agreement()
+def _unary(nodes: list[Node], crf: LinearChainCRF, order: list[int]) -> np.ndarray:
+    get = crf.vocabulary.get
+    rows: list[int] = []
+    starts = []
+    for n in nodes:
+        starts.append(len(rows))
+        rows += [k for f in n.features if (k := get(f)) is not None]
+    starts.append(len(rows))
+    at = np.array(starts)
+    out = np.zeros((len(nodes), len(LABELS)))
+    some = np.flatnonzero(np.diff(at) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(crf.W[np.array(rows)], at[some], axis=0)[:, order]
+    return out + np.array([_BARRED[n.kind] for n in nodes])
+
+
+def _graph(per_doc: list[list[Node]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Chain edges (kind 0) and skip edges (1 to 3) of a batch."""
     edges, kinds, at = [], [], 0
     for nodes in per_doc:
         for i in range(len(nodes) - 1):
             if nodes[i].zone == nodes[i + 1].zone:
                 edges.append((at + i, at + i + 1))
                 kinds.append(0)
-        for i, j in skip_edges(nodes):
+        for i, j, k in skip_edges(nodes):
             edges.append((at + i, at + j))
-            kinds.append(2 if nodes[i].kind == "email" and nodes[j].kind == "word" else 1)
+            kinds.append(1 + k)
         at += len(nodes)
-    belief = propagate(scores, np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64), np.stack([T_, same, mail]))
-    best = belief.argmax(1)
+    return edges, kinds
+
+
+def label_documents(texts: list[str | None], know: Knowledge) -> list[list[tuple[int, int, str]]]:
+    """``(start, end, type)`` pieces of each text."""
+    per_doc = [zones(t, know) if t else [] for t in texts]
+    flat = [n for nodes in per_doc for n in nodes]
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    if not flat:
+        return out
+    order = [know.crf.labels.index(k) for k in LABELS]
+    edges, kinds = _graph(per_doc)
+    potentials = np.concatenate([know.crf.T[np.ix_(order, order)][None], _AGREE * np.array(know.skip)[:, None, None]])
+    belief = propagate(_unary(flat, know.crf, order), np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64), potentials)
+    best = belief.argmax(1).tolist()
     at = 0
     for d, nodes in enumerate(per_doc):
-        out[d] = _pieces(texts[d], nodes, [LABELS[k] for k in best[at : at + len(nodes)]])
-        at += len(nodes)
+        if nodes:
+            out[d] = _pieces(nodes, [LABELS[k] for k in best[at : at + len(nodes)]])
+            at += len(nodes)
     return out
 
 
-_ALLOWED = {"word": ("B", "I", "O"), "email": ("EMAIL", "O"), "number": ("PHONE", "ID", "O"), "street": ("STREET", "O")}
-_TYPE = {"EMAIL": "email", "PHONE": "phone", "ID": "id_number", "STREET": "street"}
-
-
-def _pieces(text: str, nodes: list[Node], labels: list[str]) -> list[tuple[int, int, str]]:
+def _pieces(nodes: list[Node], labels: list[str]) -> list[tuple[int, int, str]]:
     out = []
     i = 0
     while i < len(nodes):
-        if nodes[i].kind != "word":
+        if nodes[i].kind != "word" or labels[i] == "O":
             if labels[i] != "O":
                 out.append((nodes[i].start, nodes[i].end, _TYPE[labels[i]]))
             i += 1
             continue
-        if labels[i] == "O":
-            i += 1
-            continue
         j = i + 1
         while j < len(nodes) and nodes[j].zone == nodes[i].zone and labels[j] == "I":
             j += 1
@@ -462,70 +622,95 @@ def is_full_name(shapes: list[str]) -> bool:
     return _FULL.fullmatch(s) is not None
 
 
-# --- training ----------------------------------------------------------------------
+# --- counts over all rows -----------------------------------------------------------
 
 
-_ID_LABEL = re.compile(
-    r"(?:\bSSN|passport(?: no\.)?|identity number|tax number|insurance number|Personal ID|ID card|Ausweisnummer|Steuer-ID|Reisepass\s*Nr\.?|Sozialversicherungsnummer|passeport n°|carte d[’']identité|sécurité sociale|n° fiscal"
-    r"|\bDNI|\bNIE|pasaporte|\bNIF|seguridad social|\bBSN|paspoort|rijbewijs|identiteitskaart|numéro de [\w ]{3,20})[\s\xa0]*(?:n°|nr\.?|no\.?)?[\s\xa0]*:?[\s\xa0]*$",
-    re.I,
-)
+def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> dict[tuple[str, str], list[int]]:
+    """Of tagged rows: capitalised words (``g``), as the first word of a tagged
+    person and in all; shapes of numbers (``s``), tagged as telephone and in
+    all; ``("", kind)`` the sums."""
+    out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    for tokens, tags in rows:
+        first = set()
+        i = 0
+        while i < len(tags):
+            tag, j = tags[i] or "O", i + 1
+            while j < len(tags) and tag[:2] == "B-" and tags[j] == "I-" + tag[2:]:
+                j += 1
+            if tag == "B-PER" and j > i + 1:
+                first.add(i + 2 if tokens[i + 1] == "," and i + 2 < len(tokens) else i)
+            elif tag in ("B-TEL", "B-FAX"):
+                n = out["s", number_shape(" ".join(t or "" for t in tokens[i:j]))]
+                n[0] += 1
+                n[1] += 1
+                out["s", ""][0] += 1
+            i = j
+        rest = " ".join((t or "") if g is None or g[2:] not in ("TEL", "FAX") else "|" for t, g in zip(tokens, tags))
+        for m in DIGITS.finditer(rest):
+            if sum(c.isdigit() for c in m.group()) > 5:
+                out["s", number_shape(m.group())][1] += 1
+        for i, token in enumerate(tokens):
+            for part in (token or "").split("-"):
+                if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
+                    n = out["g", part]
+                    n[0] += i in first
+                    n[1] += 1
+        out["g", ""][0] += len(first)
+    return out
 
 
-def _silver(text: str, nodes: list[Node]) -> list[str | None]:
-    """Labels of a text's nodes by strict rules: numbers by shape and label
-    word, names by grammar right after a title, with a known given name or with
-    an initial.  None: the rules can't tell, so the node teaches nothing."""
-    labels: list[str | None] = []
-    for n in nodes:
-        if n.kind == "email":
-            labels.append("EMAIL")
-        elif n.kind == "street":
-            labels.append("STREET")
-        elif n.kind == "number":
-            shape = re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(_S, " ", n.text)))
-            if "label=id" in n.features:
-                labels.append("ID")
-            elif shape in _PHONES or "label=phone" in n.features:
-                labels.append("PHONE")
-            elif shape in _IDS:
-                labels.append("O")
-            else:
-                labels.append(None if re.match(r"\+ ?\d|\(?0\d{1,4}\)?[ /]\d", n.text) else "O")
-        else:
-            labels.append("O")
-    by_zone: dict[int, list[int]] = defaultdict(list)
-    for i, n in enumerate(nodes):
-        if n.kind == "word":
-            by_zone[n.zone].append(i)
-    for members in by_zone.values():
-        shapes = [_shape(nodes[i].text) for i in members]
-        titled = "titled=True" in nodes[members[0]].features
-        known = "given=True" in nodes[members[0]].features or len(shapes) > 2 and shapes[1] == "," and "given=True" in nodes[members[2]].features
-        k = _name_length(shapes)
-        if k and (known or titled):
-            for x in members[:k]:
-                labels[x] = "I"
-            labels[members[0]] = "B"
-        elif not titled:
-            for i in range(len(shapes) - 1):
-                if shapes[i] == "initial" and (k := _name_length(shapes[i:])) and (i == 0 or shapes[i - 1] in ("cap", "caps", "double")):
-                    for x in members[i : i + k]:
-                        labels[x] = None
-    return labels
+#: A given name or a shape has at least this share of its kind: at most so many.
+LEAST_SHARE = 1e-5
 
 
-_PHONES, _IDS = set(PHONE_SHAPES), set(ID_SHAPES)
+def _context_counts(texts: Iterable[str | None], know: Knowledge) -> dict[tuple[str, str], list[int]]:
+    """Of all texts: contexts (``c``), with a known given name behind and in
+    all; words in and beside runs (``w``); ``("", kind)`` the sums."""
+    out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    for t in texts:
+        if not t:
+            continue
+        for words in runs_of(t, []):
+            shapes = [_shape(w) for _, _, w in words]
+            lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
+            flags = _known(words, know.given)
+            outside = _outside(t, words[0][0])
+            m = _AFTER.match(t, words[-1][1])
+            for w in [*lows, outside[-1], *([m.group(1).lower()] if m else [])]:
+                if w[:1].isalpha():
+                    out["w", w][1] += 1
+            out["w", ""][0] += 1
+            for i in range(len(words) - 1):
+                if _name_length(shapes[i:], flags[i:]):
+                    known = flags[i] or i + 2 < len(words) and shapes[i + 1] == "," and flags[i + 2]
+                    for key in _contexts(lows, i, outside):
+                        n = out["c", key]
+                        n[0] += known
+                        n[1] += 1
+                    out["c", ""][0] += known
+    return out
 
 
-def _name_length(shapes: list[str]) -> int:
-    """Words of the name a stretch begins with: first (given or initial),
-    perhaps initials and particles, then one family name."""
+def _kept(counts: dict[tuple[str, str], list[int]], kind: str, share: float, least: float) -> frozenset[str]:
+    """Keys whose hits are at least ``share`` of their occurrences and
+    ``least`` of all hits."""
+    total = counts.get((kind, ""), [0, 0])[0]
+    return frozenset(k for (c, k), (hit, n) in counts.items() if c == kind and k and (hit >= max(1, least * total) and hit >= share * n if share else n >= least * total))
+
+
+# --- training ----------------------------------------------------------------------
+
+
+def _name_length(shapes: list[str], known: list[bool]) -> int:
+    """Words of the name a stretch begins with: first (given or initial), more
+    known given names, initials, particles, then one family name."""
     if len(shapes) > 2 and shapes[1] == "," and shapes[2] in ("cap", "double", "caps"):
         return 3
     if not shapes or shapes[0] not in ("cap", "double", "initial", "caps"):
         return 0
     i = 1
+    while i < len(shapes) - 1 and known[0] and known[i] and shapes[i] in ("cap", "double"):
+        i += 1
     while i < len(shapes) and shapes[i] == "initial":
         i += 1
     while i < len(shapes) and shapes[i] == "particle":
@@ -533,158 +718,209 @@ def _name_length(shapes: list[str]) -> int:
     return i + 1 if i < len(shapes) and shapes[i] in ("cap", "double", "caps", "mixed") else 0
 
 
-#: A given name is a word that at least this share of its occurrences has in
-#: front of a family name; a frequent word stands at this share of the triggers.
-GIVEN_SHARE = 0.5
-FREQUENT_SHARE = 0.001
-
-
-def _given_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> dict[str, list[int]]:
-    """word -> occurrences as the first word of a tagged person, and in all."""
-    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for tokens, tags in rows:
-        first = set()
-        for i, tag in enumerate(tags):
-            if tag == "B-PER" and i + 1 < len(tokens) and tags[i + 1] == "I-PER":
-                first.add(i + 2 if tokens[i + 1] == "," and i + 2 < len(tokens) else i)
-        for i, token in enumerate(tokens):
-            for part in (token or "").split("-"):
-                if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
-                    n = out[part]
-                    n[0] += i in first
-                    n[1] += 1
-    return out
-
-
-def _is_given(first: int, n: int) -> bool:
-    return first > 0 and first >= GIVEN_SHARE * n
-
-
-def _block_given(rows: list[tuple[list[str], list[str]]]) -> frozenset[str]:
-    """Given names: words that tagged blocks mostly have at the front of a person."""
-    return frozenset(w for w, n in _given_counts(rows).items() if _is_given(*n))
-
-
-def _trigger_counts(texts: Iterable[str | None]) -> Counter[str]:
-    """Words at places where names may begin or end; their number under ''."""
-    out: Counter[str] = Counter()
-    for t in texts:
-        for m in TRIGGER.finditer(t or ""):
-            out[""] += 1
-            out.update(re.findall(r"[^\W\d_]+", t[m.start() : m.end() + 60].lower()))
-    return out
-
+def _silver(text: str, nodes: list[Node], know: Knowledge) -> list[str | None]:
+    """Labels of a text's nodes by bootstrapping; None: can't tell, so the node
+    teaches nothing."""
+    labels: list[str | None] = []
+    by_zone: dict[int, list[int]] = defaultdict(list)
+    for i, n in enumerate(nodes):
+        if n.kind == "email":
+            labels.append("EMAIL" if _SIGN.search(n.text) else None)
+        elif n.kind == "street":
+            labels.append(None)
+        elif n.kind == "number":
+            shape = number_shape(n.text)
+            if ID_LABEL.search(text, max(0, n.start - 60), n.start):
+                labels.append("ID")
+            elif shape in know.shapes or PHONE_LABEL.search(text, max(0, n.start - 40), n.start):
+                labels.append("PHONE")
+            else:
+                labels.append(None if re.match(r"\+ ?\d|\(?0\d{1,4}\)?[ /]\d", n.text) else "O")
+        else:
+            by_zone[n.zone].append(i)
+            labels.append("O")
+    for members in by_zone.values():
+        words = [(nodes[i].start, nodes[i].end, nodes[i].text) for i in members]
+        shapes, flags = [_shape(w) for _, _, w in words], _known(words, know.given)
+        lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
+        outside = _outside(text, words[0][0])
+        i = 0
+        while i < len(words) - 1:
+            k = _name_length(shapes[i:], flags[i:])
+            known = flags[i] or k == 3 and shapes[i + 1] == "," and flags[i + 2]
+            if k and not known:
+                known = any(c in know.contexts for c in _contexts(lows, i, outside)) and lows[i] not in know.frequent and lows[i] not in know.contexts and lows[i + k - 1] not in know.frequent
+            if k and known:
+                for x in members[i : i + k]:
+                    labels[x] = "I"
+                labels[members[i]] = "B"
+                i += k
+                continue
+            if k and shapes[i] == "initial":
+                for x in members[i : i + k]:
+                    labels[x] = None
+            i += 1
+    return labels
 
-def _frequent(counts: dict[str, int]) -> frozenset[str]:
-    return frozenset(w for w, c in counts.items() if w and c >= FREQUENT_SHARE * counts[""])
 
+def _tagged(nodes: list[Node], spans: list[tuple[int, int, str]]) -> list[str | None]:
+    """Labels of a tagged text's nodes from the tags of the tokens they cover."""
+    kind = {"TEL": "PHONE", "FAX": "PHONE", "EMAIL": "EMAIL", "STREET": "STREET"}
+    labels: list[str | None] = []
+    for n in nodes:
+        tags = [g for a, b, g in spans if a < n.end and n.start < b]
+        if n.kind == "word":
+            labels.append("B" if tags[:1] == ["B-PER"] else "I" if tags[:1] == ["I-PER"] else "O")
+            continue
+        types = {kind.get(g[2:], "O") for g in tags}
+        want = {"email": "EMAIL", "street": "STREET", "number": "PHONE"}[n.kind]
+        whole = tags[:1] and tags[0][:2] == "B-" and all(g[:2] == "I-" for g in tags[1:])
+        labels.append(want if types == {want} and whole else "O" if want not in types else None)
+    return labels
 
-def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterations: int = 40, given: frozenset[str] | None = None, frequent: frozenset[str] | None = None) -> Knowledge:
-    """Weights from blocks and documents; given names and frequent words too,
-    unless they come counted over more than these.
 
-    A block's tokens joined by blanks are a text whose tags give the labels of
-    its word nodes; documents are labelled by :func:`_silver`."""
-    know = Knowledge(given=_block_given(blocks) if given is None else given, frequent=_frequent(_trigger_counts(documents)) if frequent is None else frequent)
-    names = know.pattern()
-    X, y = [], []
+def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterations: int = 35, know: Knowledge | None = None) -> Knowledge:
+    """Weights from blocks and documents; what is counted over all rows too,
+    unless it comes in ``know``."""
+    if know is None:
+        tags = _tag_counts(blocks)
+        know = Knowledge(given=_kept(tags, "g", GIVEN_SHARE, LEAST_SHARE), shapes=_kept(tags, "s", SHAPE_SHARE, LEAST_SHARE))
+        _with_contexts(know, _context_counts(documents, know))
+    X: list[list[list[str]]] = []
+    y: list[list[str]] = []
+    hidden: list[tuple[list[Node], list[str | None]]] = []
 
-    def add(nodes: list[Node], labels: list[str | None], plain: bool = True) -> None:
-        """``plain``: also the stretches without a title in which nothing is found."""
+    def add(nodes: list[Node], labels: list[str | None]) -> None:
         at: dict[int, list[int]] = defaultdict(list)
         for i, n in enumerate(nodes):
             at[n.zone].append(i)
         for members in at.values():
             told = [labels[i] for i in members]
-            if None in told or not plain and set(told) == {"O"} and "titled=False" in nodes[members[0]].features:
-                continue
-            X.append([nodes[i].features for i in members])
-            y.append(told)
-
-    # texts with names once more, given names and titles hidden: for names that no list holds
-    hidden = Knowledge(frequent=know.frequent)
-    for d, text in enumerate(documents):
-        nodes = zones(text, know, names)
-        labels = _silver(text, nodes)
+            if None not in told:
+                X.append([nodes[i].features for i in members])
+                y.append(told)
+
+    none: frozenset[str] = frozenset()
+    for text in documents:
+        nodes = zones(text, know)
+        labels = _silver(text, nodes, know)
         add(nodes, labels)
+        # the same once more with given names hidden: for names that no list holds
+        bare = zones(text, know, none)
+        hidden.append((bare, labels))
         if "B" in labels:
-            told = {n.start: k for n, k in zip(nodes, labels) if n.kind == "word"}
-            nodes = [n for n in zones(text, hidden, None, titles=False) if n.kind == "word"]
-            add(nodes, [told.get(n.start, "O") for n in nodes], d % 3 == 0)
+            add([n for n in bare if n.kind == "word"], [k for n, k in zip(bare, labels) if n.kind == "word"])
     for tokens, tags in blocks:
         text, at, spans = " ".join(tokens), 0, []
         for t, g in zip(tokens, tags):
-            spans.append((at, at + len(t), g))
+            spans.append((at, at + len(t), g or "O"))
             at += len(t) + 1
-        for knows, pattern, titles in ((know, names, True), (hidden, None, False)):
-            nodes = [n for n in zones(text, knows, pattern, titles) if n.kind == "word"]
-            labels = []
-            for n in nodes:
-                tag = next((g for a, b, g in spans if a <= n.start < b), "O")
-                labels.append("B" if tag == "B-PER" else "I" if tag == "I-PER" else "O")
-            add(nodes, labels)
+        for given in (know.given, none):
+            nodes = zones(text, know, given)
+            add(nodes, _tagged(nodes, spans))
     # every label is known even if the sample lacks it
     for kind, label in (("email", "EMAIL"), ("street", "STREET"), ("number", "PHONE"), ("number", "ID"), ("word", "B"), ("word", "I"), ("word", "O")):
         X.append([[f"kind={kind}"]])
         y.append([label])
     know.crf = LinearChainCRF(c1=0.0, c2=0.05, max_iterations=iterations, tolerance=1e-4).fit(X, y)
+    know.skip = _fit_skip(hidden, know)
     return know
 
 
-def _sample(df: DataFrame, ident: str, where: Column, n: int) -> DataFrame:
-    """The ``n`` rows of smallest hash.  A cut of the hash that leaves about
-    ``2 n`` rows is taken first, so that tasks send no more than that."""
-    kept = df.where(where)
-    total = kept.count()
-    h = F.xxhash64(F.col(ident).cast("string"))
-    if total > 2 * n:
-        kept = kept.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * n / total))).cast("long"))
-    return kept.withColumn("__h", h).orderBy("__h").limit(n)
-
-
-def given_names(blocks: DataFrame) -> frozenset[str]:
-    """Given names, counted over all tagged blocks."""
+def _fit_skip(docs: list[tuple[list[Node], list[str | None]]], know: Knowledge, penalty: float = 1.0) -> tuple[float, float, float]:
+    """The skip potentials by pseudo-likelihood: each end's label given the
+    other's and its own chain's belief; one convex problem a kind, by Newton."""
+    order = [know.crf.labels.index(k) for k in LABELS]
+    per_doc = [nodes for nodes, _ in docs]
+    flat = [n for nodes in per_doc for n in nodes]
+    if not flat:
+        return 0.0, 0.0, 0.0
+    edges, kinds = _graph(per_doc)
+    code = {k: i for i, k in enumerate(LABELS)}
+    gold = np.array([code.get(k, -1) for _, labels in docs for k in labels])
+    e, k = np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64)
+    chain = k == 0
+    belief = propagate(_unary(flat, know.crf, order), e[chain], k[chain], know.crf.T[np.ix_(order, order)][None])
+    out = []
+    for kind in (1, 2, 3):
+        pairs = e[(k == kind) & (gold[e] >= 0).all(1)] if len(e) else e
+        A = _AGREE[kind - 1]
+        A = np.maximum(A, A.T)
+        a, b = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]]
+        agree, theta = A[:, gold[b]].T, 0.0
+        for _ in range(30 if len(a) else 0):
+            z = belief[a] + theta * agree
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            mean = (p * agree).sum(1)
+            slope = (agree[np.arange(len(a)), gold[a]] - mean).sum() - penalty * theta
+            step = slope / ((p * agree**2).sum(1) - mean**2 + 1e-9).sum().clip(penalty)
+            theta = float(np.clip(theta + np.clip(step, -1, 1), 0.0, 6.0))
+            if abs(step) < 1e-4:
+                break
+        out.append(theta)
+    return tuple(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = ((t, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(t) == len(g))
-            got = _given_counts(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array([n[k] for n in got.values()], pa.int64()) for k in (0, 1)]], ["w", "first", "n"])
 
-    counts = blocks.where("tokens IS NOT NULL AND tags IS NOT NULL").select("tokens", "tags").mapInArrow(run, "w string, first long, n long")
-    total = counts.groupBy("w").agg(F.sum("first").alias("first"), F.sum("n").alias("n")).where((F.col("first") > 0) & (F.col("first") >= GIVEN_SHARE * F.col("n")))
-    return frozenset(r.w for r in total.select("w").collect())
+def _with_contexts(know: Knowledge, counts: dict[tuple[str, str], list[int]]) -> None:
+    know.contexts = _kept(counts, "c", CONTEXT_SHARE, FREQUENT_SHARE)
+    know.frequent = _kept(counts, "w", 0, FREQUENT_SHARE)
 
 
-def frequent_words(documents: DataFrame, text: str) -> frozenset[str]:
-    """Words frequent at triggers, counted over all documents."""
+def _counted(df: DataFrame, count, share: dict[str, float], least: float) -> dict[tuple[str, str], list[int]]:  # noqa: ANN001
+    """Counts of all rows, summed; only keys that may be kept reach the driver,
+    at most ``1 / least`` times the keys of one occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = _trigger_counts(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["w", "n"])
+            got = count(batch)
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in got], pa.string()) for j in (0, 1)], *[pa.array([n[j] for n in got.values()], pa.int64()) for j in (0, 1)]], ["kind", "key", "hit", "n"])
 
-    counts = documents.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).persist()
+    sums = df.mapInArrow(run, "kind string, key string, hit long, n long").groupBy("kind", "key").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).persist()
     try:
-        places = counts.where("w = ''").agg(F.sum("n")).first()[0] or 0
-        return frozenset(r.w for r in counts.where((F.col("w") != "") & (F.col("n") >= FREQUENT_SHARE * places)).collect())
+        totals = {r.kind: r.hit for r in sums.where("key = ''").collect()}
+        wanted = F.lit(False)
+        for kind, part in share.items():
+            floor = least * totals.get(kind, 0)
+            wanted = wanted | (F.col("kind") == kind) & ((F.col("hit") >= max(1.0, floor)) & (F.col("hit") >= part * F.col("n")) if part else F.col("n") >= floor)
+        rows = sums.where((F.col("key") != "") & wanted).collect()
+        return {**{(k, ""): [n, 0] for k, n in totals.items()}, **{(r.kind, r.key): [r.hit, r.n] for r in rows}}
     finally:
-        counts.unpersist()
+        sums.unpersist()
+
+
+def _sample(df: DataFrame, ident: str, n: int) -> DataFrame:
+    """The ``n`` rows of smallest hash.  A cut of the hash that leaves about
+    ``2 n`` rows is taken first, so that tasks send no more than that."""
+    total = df.select(ident).count()
+    h = F.xxhash64(F.col(ident).cast("string"))
+    kept = df.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, 2 * n / total))).cast("long")) if total > 2 * n else df
+    return kept.withColumn("__h", h).orderBy("__h").limit(n)
 
 
-def train(documents: DataFrame, doc_id: str, text: str, blocks: DataFrame | None = None, sample_documents: int = SAMPLE_DOCUMENTS, sample_blocks: int = SAMPLE_BLOCKS) -> Knowledge:
-    """Given names and frequent words of all rows; weights from at most
-    ``sample_documents`` texts and ``sample_blocks`` tagged blocks, both chosen
-    by hash."""
-    docs = _sample(documents, doc_id, F.length(text).between(1, 4000), sample_documents).select(F.col(text).alias("t"))
-    texts = [r.t for r in docs.collect()]
+def _pairs(batch: pa.RecordBatch) -> list[tuple[list, list]]:
+    return [(t, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(t) == len(g)]
+
+
+def train(documents: DataFrame, doc_id: str, text: str, blocks: DataFrame | None = None, block_id: str = "block_id", sample_documents: int = SAMPLE_DOCUMENTS, sample_blocks: int = SAMPLE_BLOCKS, sample_chars: int = SAMPLE_CHARS) -> Knowledge:
+    """Given names, shapes, contexts and frequent words of all rows; weights
+    from at most ``sample_documents`` texts and ``sample_blocks`` tagged blocks
+    of at most ``sample_chars`` characters each, chosen by hash."""
+    know = Knowledge()
     tagged: list[tuple[list[str], list[str]]] = []
-    given: frozenset[str] = frozenset()
     if blocks is not None:
-        rows = _sample(blocks, "block_id", F.array_contains("tags", "B-PER") & (F.size("tokens") < 60), sample_blocks).select("tokens", "tags")
+        blocks = blocks.select(block_id, "tokens", "tags").where("tokens IS NOT NULL AND tags IS NOT NULL AND size(tokens) > 0")
+        tags = _counted(blocks.select("tokens", "tags"), lambda b: _tag_counts(_pairs(b)), {"g": GIVEN_SHARE, "s": SHAPE_SHARE}, LEAST_SHARE)
+        know.given, know.shapes = _kept(tags, "g", GIVEN_SHARE, LEAST_SHARE), _kept(tags, "s", SHAPE_SHARE, LEAST_SHARE)
+        rows = _sample(blocks.where(F.array_contains("tags", "B-PER") | F.array_contains("tags", "B-TEL") | F.array_contains("tags", "B-EMAIL") | F.array_contains("tags", "B-STREET") | (F.pmod(F.xxhash64(block_id), F.lit(4)) == 0)), block_id, sample_blocks)
+        rows = rows.where(F.length(F.concat_ws(" ", "tokens")) <= sample_chars).select("tokens", "tags")
         tagged = [(list(r.tokens), list(r.tags)) for r in rows.collect() if None not in r.tokens and len(r.tokens) == len(r.tags)]
-        given = given_names(blocks)
-    return fit(tagged, texts, given=given, frequent=frequent_words(documents, text))
+    texts = documents.select(doc_id, text).where(F.length(text) > 0)
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(know)  # at most 1 / LEAST_SHARE names and shapes
+    _with_contexts(know, _counted(texts.select(text), lambda b: _context_counts(b.column(0).to_pylist(), shared.value), {"c": CONTEXT_SHARE, "w": 0}, FREQUENT_SHARE))
+    sample = [r[0] for r in _sample(texts.where(F.length(text) <= sample_chars), doc_id, sample_documents).select(text).collect()]
+    return fit(tagged, sample, know=know)
 
 
 # --- operators -----------------------------------------------------------------------

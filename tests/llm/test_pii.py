@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tagweave.llm.pii import LABELS, _given_counts, _is_given, find_rows, fit, given_names, is_full_name, label_documents, propagate, redact, redact_rows, zones
+from tagweave.llm.pii import GIVEN_SHARE, LABELS, LEAST_SHARE, Knowledge, _counted, _kept, _pairs, _tag_counts, find_rows, fit, is_full_name, label_documents, number_shape, propagate, redact, redact_rows, train, units, zones
 
 GIVEN = ["Marta", "Peter", "Yusuf", "Zoë", "Jürgen"]
 FAMILY = ["Kalzeth", "Drougrin", "Wistea", "Skobioft", "Tionmar", "Beluft", "Marest", "Graizea", "Hopeand", "Nostup", "Fliorom", "Saivair", "Zamsis", "Gioven"]
@@ -35,15 +35,39 @@ def documents(n, seed):
     return out
 
 
+PHONES = ["+44 20 7946 0{}", "(276) 555-0{}", "0999 / 555 {}-82", "+999 72\xa0555\xa0{}", "020 7946 0{}"]
+
+
+def tagged_blocks(rnd, n):
+    """Blocks of every tagged kind, and blocks of none."""
+    out = []
+    for _ in range(n):
+        g, f = rnd.choice(GIVEN), rnd.choice(FAMILY)
+        name = rnd.choice([[g, f], [g, f], [f.upper(), ",", g], [g[0] + ".", f], [rnd.choice(["Viondrax", "Custe"]), f]])
+        phone = rnd.choice(PHONES).format(rnd.randint(100, 199)).split(" ")
+        street = rnd.choice([f"{rnd.randint(2, 99)} Old {f} Road", f"{f}straße {rnd.randint(2, 99)}", f"Calle {f} {rnd.randint(2, 99)}", f"{rnd.randint(2, 99)}a {f} Street"]).split()
+        mail = rnd.choice([f"desk.{f.lower()}@{g.lower()}.example", f"{g.lower()}@{f.lower()}.test"])
+        kind = rnd.randint(0, 5)
+        if kind == 0:
+            out.append(([*name, ",", "Director"], ["B-PER", *["I-PER"] * (len(name) - 1), "O", "B-FUNC"]))
+        elif kind == 1:
+            out.append((["Tel.", *phone], ["O", "B-TEL", *["I-TEL"] * (len(phone) - 1)]))
+        elif kind == 2:
+            out.append(([*street, ",", "10115", f + "ford"], ["B-STREET", *["I-STREET"] * (len(street) - 1), "O", "B-ZIPCODE", "B-CITY"]))
+        elif kind == 3:
+            out.append((["E-mail:", mail], ["O", "B-EMAIL"]))
+        elif kind == 4:
+            words = f"{f} & Sons of Upper {f} sent order 2010-44-{rnd.randint(10000, 99999)} from {f}ford {rnd.choice(FAMILY)}".split()
+            out.append((words, ["O"] * len(words)))
+        else:
+            words = f"Look at {f.lower()}.example for New {f} and the {f} College".split()
+            out.append((words, ["O"] * len(words)))
+    return out
+
+
 @pytest.fixture(scope="module")
 def know():
-    rnd = random.Random(1)
-    blocks = []
-    for g in GIVEN:
-        for f in FAMILY:
-            blocks.append(([g, f, ",", "Director"], ["B-PER", "I-PER", "O", "B-FUNC"]))
-    rnd.shuffle(blocks)
-    return fit(blocks, [t for t, _ in documents(300, 2)])
+    return fit(tagged_blocks(random.Random(1), 700), [t for t, _ in documents(300, 2)])
 
 
 def test_held_out_accuracy(know):
@@ -100,21 +124,67 @@ def test_operators_edge_cases(spark, know):
     assert find_rows(df.limit(0), "doc_id", "text", know).count() == 0
 
 
-def test_given_names_are_alike_at_every_size(spark):
-    """Counted over all rows by share: few rows, many rows and long blocks give the same names."""
-    rows = [(["Ana", "Lopez", ",", "Director"], ["B-PER", "I-PER", "O", "O"]), (["LOPEZ", ",", "Greta", *["x"] * 80], ["B-PER", "I-PER", "I-PER", *["O"] * 80]), (["Mill", "Lane", "Mill", "Mill"], ["B-PER", "I-PER", "O", "O"]), ([None, "Omar", "Stone"], ["O", "B-PER", "I-PER"])]
-    assert {w for w, n in _given_counts(rows).items() if _is_given(*n)} == {"Ana", "Greta", "Omar"}
+def test_counts_are_alike_at_every_size(spark):
+    """Counted over all rows by share: few rows, many rows and long blocks give the same names and shapes."""
+    rows = [(["Ana", "Lopez", ",", "Director"], ["B-PER", "I-PER", "O", "O"]), (["LOPEZ", ",", "Greta", *["x"] * 80], ["B-PER", "I-PER", "I-PER", *["O"] * 80]), (["Mill", "Lane", "Mill", "Mill"], ["B-PER", "I-PER", "O", "O"]), ([None, "Omar", "Stone"], ["O", "B-PER", "I-PER"]), (["Tel", "(", "030", ")", "123-456"], ["O", "B-TEL", *["I-TEL"] * 3]), (["12-34567", "12-34567"], ["B-TEL", "O"]), (["98-76543", ",", "11-22334"], ["O", "O", "O"])]
+    want = frozenset({"Ana", "Greta", "Omar"}), frozenset({"(999)999-999"})
+    counts = _tag_counts(rows)
+    assert (_kept(counts, "g", GIVEN_SHARE, LEAST_SHARE), _kept(counts, "s", GIVEN_SHARE, LEAST_SHARE)) == want
     for times in (1, 30):
-        df = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, (None, None)] * times)], "block_id long, tokens array<string>, tags array<string>")
-        assert given_names(df) == {"Ana", "Greta", "Omar"}
-    assert given_names(df.limit(0)) == frozenset()
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * times)], "block_id long, tokens array<string>, tags array<string>")
+        counts = _counted(df.select("tokens", "tags"), lambda b: _tag_counts(_pairs(b)), {"g": GIVEN_SHARE, "s": GIVEN_SHARE}, LEAST_SHARE)
+        assert (_kept(counts, "g", GIVEN_SHARE, LEAST_SHARE), _kept(counts, "s", GIVEN_SHARE, LEAST_SHARE)) == want
+
+
+def test_training_on_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(documents(120, 7))] + [(1000, None), (1001, "")], "doc_id long, text string")
+    blocks = spark.createDataFrame([(i, *b) for i, b in enumerate(tagged_blocks(random.Random(5), 300))] + [(5000, None, None), (5001, [], [])], "block_id long, tokens array<string>, tags array<string>")
+    know = train(docs, "doc_id", "text", blocks)
+    held = documents(100, 8)
+    assert know.given >= set(GIVEN) and "999 9999 9999" in know.shapes
+    know.save(spark, str(tmp_path / "m"))
+    again = Knowledge.load(spark, str(tmp_path / "m"))
+    texts = [t for t, _ in held]
+    assert label_documents(texts, know) == label_documents(texts, again) and again.skip == know.skip
+    bare = train(docs.limit(0), "doc_id", "text")
+    assert label_documents(["Dr. Marta Kalzeth"], bare) is not None
 
 
 def test_candidates_outside_all_lists(know):
-    """Unlisted titles, given names, digit shapes and labels are candidates, and found where a label or shape tells."""
+    """Unseen titles, given names, digit shapes and labels are candidates."""
     for text, piece, kind in [("Greetings from Qorba Velik here", "Velik", "word"), ("Managing Partner Xenobia van der Quell", "Quell", "word"), ("at 030 1234567 daily", "030 1234567", "number"), ("the code K77 12345 B came", "K77 12345 B", "number"), ("call +49 30 123456 now", "+49 30 123456", "number")]:
-        assert any(n.text == piece and n.kind == kind for n in zones(text, know, know.pattern())), text
+        assert any(n.text == piece and n.kind == kind for n in zones(text, know)), text
     long = " ".join(f"Wo{chr(97 + i)}" for i in range(20))
-    assert [n.text for n in zones(long, know, know.pattern())] == long.split()
-    got = [[(k, t[a:b]) for a, b, k in p] for t, p in zip(*(lambda x: (x, label_documents(x, know)))(["Dear J. Smith, thank you.", "Telephone: 030 123456", "Holder of passport no. K77 12345 B came.", "Phone +49 30 123456 today."]))]
-    assert got == [[("name", "J. Smith")], [("phone", "030 123456")], [("id_number", "K77 12345 B")], [("phone", "+49 30 123456")]]
+    assert [n.text for n in zones(long, know)] == long.split()
+
+
+def test_unseen_telephone_formats(know):
+    """Formats that no tagged block has: recall and precision."""
+    unseen = ["+81 3-1234-5678", "+972 3 123 4567", "+61 2 9374 4000", "+91 98765 43210", "+49 30 123456", "+420 224 811 111", "+351 21 123 4567"]
+    assert not {number_shape(p) for p in unseen} & know.shapes
+    for frame in ("Tel. {} after 14:30.", "Call {} today.", "Fax: {}"):
+        texts = [frame.format(p) for p in unseen]
+        assert [[t[a:b] for a, b, k in p if k == "phone"] for t, p in zip(texts, label_documents(texts, know))] == [[p] for p in unseen]
+    none = ["Order ref. 2010-44-34021 came.", "Item code 978-0-35819-65-1 is out.", "Invoice no. 000-10179-11 is paid."]
+    assert label_documents(none, know) == [[], [], []]
+
+
+def test_unseen_titles_and_languages():
+    """Contexts are learned from the texts, so titles of any language count
+    once known given names stand behind them; none is listed."""
+    rnd = random.Random(9)
+    titles = ["Signora {}.", "Pan {} odpowiada.", "Kontakt: {}.", "Fru {} svarer.", "Parlate con {} oggi."]
+    family = lambda: "".join(rnd.choice(["bra", "ko", "zi", "mel", "tur", "vash", "ond", "iki"]) for _ in range(4)).capitalize()
+    texts = [f"Il museo {family()} {family()} apre. " + rnd.choice(titles).format(f"{rnd.choice(GIVEN)} {family()}") for _ in range(300)]
+    texts += [f"Il museo {family()} {family()} apre. " + rnd.choice(titles).format(f"{family()} {family()}") for _ in range(100)]
+    know = fit(tagged_blocks(random.Random(2), 500), texts)
+    for t in titles:
+        text = "Il museo Grande Velia apre. " + t.format("Ildiko Brumast")
+        assert [text[a:b] for a, b, k in label_documents([text], know)[0] if k == "name"] == ["Ildiko Brumast"], text
+
+
+def test_long_addresses_and_negatives(know):
+    local = ".".join(["part"] * 60)
+    text = f"Write to {local}@nilk.test or look at kalzeth.example."
+    assert [text[a:b] for k, a, b in units(text, frozenset()) if k == "email"][0] == f"{local}@nilk.test"
+    assert [text[a:b] for a, b, k in label_documents([text], know)[0]] == [f"{local}@nilk.test"]
