@@ -105,23 +105,31 @@ class Packed:
         return scores[at], mask, at
 
 
+def _step(x: np.ndarray, E: np.ndarray) -> np.ndarray:
+    """log(exp(x) @ E), row by row in range."""
+    top = x.max(axis=1, keepdims=True)
+    return np.log(np.exp(x - top) @ E + 1e-300) + top
+
+
 def forward_backward(S: np.ndarray, mask: np.ndarray, T: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log Z, marginals (n, t, L), expected transitions (L, L))."""
     n, t, L = S.shape
+    E = np.exp(T)
     alpha = np.empty_like(S)
     alpha[:, 0] = S[:, 0]
     for i in range(1, t):
-        step = _logsumexp(alpha[:, i - 1, :, None] + T, 1) + S[:, i]
-        alpha[:, i] = np.where(mask[:, i, None], step, alpha[:, i - 1])
+        alpha[:, i] = np.where(mask[:, i, None], _step(alpha[:, i - 1], E) + S[:, i], alpha[:, i - 1])
     z = _logsumexp(alpha[:, -1], 1)
     beta = np.zeros_like(S)
     pairs = np.zeros((L, L))
     for i in range(t - 2, -1, -1):
-        inner = T + (S[:, i + 1] + beta[:, i + 1])[:, None, :]
-        beta[:, i] = np.where(mask[:, i + 1, None], _logsumexp(inner, 2), 0.0)
         live = mask[:, i + 1]
         if live.any():
-            pairs += np.exp(alpha[live, i, :, None] + inner[live] - z[live, None, None]).sum(0)
+            inner = S[live, i + 1] + beta[live, i + 1]
+            beta[live, i] = _step(inner, E.T)
+            a, b = alpha[live, i], inner
+            ta, tb = a.max(1, keepdims=True), b.max(1, keepdims=True)
+            pairs += E * ((np.exp(a - ta) * np.exp(ta + tb - z[live, None])).T @ np.exp(b - tb))
     marginal = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
     return z, marginal, pairs
 
