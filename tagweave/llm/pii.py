@@ -65,6 +65,8 @@ GIVEN_SHARE = 0.5
 SHAPE_SHARE = 0.5
 CONTEXT_SHARE = 0.5
 FREQUENT_SHARE = 0.0005
+#: A word that occurs less often is not frequent whatever its share.
+OFTEN = 3
 
 # --- spellings -------------------------------------------------------------------
 
@@ -695,7 +697,7 @@ def _kept(counts: dict[tuple[str, str], list[int]], kind: str, share: float, lea
     """Keys whose hits are at least ``share`` of their occurrences and
     ``least`` of all hits."""
     total = counts.get((kind, ""), [0, 0])[0]
-    return frozenset(k for (c, k), (hit, n) in counts.items() if c == kind and k and (hit >= max(1, least * total) and hit >= share * n if share else n >= least * total))
+    return frozenset(k for (c, k), (hit, n) in counts.items() if c == kind and k and (hit >= max(1, least * total) and hit >= share * n if share else n >= max(OFTEN, least * total)))
 
 
 # --- training ----------------------------------------------------------------------
@@ -882,7 +884,7 @@ def _counted(df: DataFrame, count, share: dict[str, float], least: float) -> dic
         wanted = F.lit(False)
         for kind, part in share.items():
             floor = least * totals.get(kind, 0)
-            wanted = wanted | (F.col("kind") == kind) & ((F.col("hit") >= max(1.0, floor)) & (F.col("hit") >= part * F.col("n")) if part else F.col("n") >= floor)
+            wanted = wanted | (F.col("kind") == kind) & ((F.col("hit") >= max(1.0, floor)) & (F.col("hit") >= part * F.col("n")) if part else F.col("n") >= max(OFTEN, floor))
         rows = sums.where((F.col("key") != "") & wanted).collect()
         return {**{(k, ""): [n, 0] for k, n in totals.items()}, **{(r.kind, r.key): [r.hit, r.n] for r in rows}}
     finally:
