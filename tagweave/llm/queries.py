@@ -9,7 +9,7 @@ from tagweave.llm.bpe import encode_texts
 from tagweave.llm.leak import find_leaks
 from tagweave.llm.lookalike import canonical, find_lookalikes
 from tagweave.llm.markup import clean_rows, rows_with_markup
-from tagweave.llm.mojibake import damaged, train
+from tagweave.llm.mojibake import damaged, verdicts
 from tagweave.llm.pii import find_rows, redact_rows, train as train_pii
 from tagweave.session import table
 
@@ -47,9 +47,9 @@ def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 def _p5(spark: SparkSession, sf: str, restored: str | None) -> DataFrame:
     places, blocks = table(spark, sf, "geonames"), table(spark, sf, "html_blocks")
-    counts = train([(places, "main_name"), (places, "alternatenames"), (blocks, "tokens")])
-    a = damaged(places, "row_id", "alternatenames", counts, restored, spoofed=False)
-    b = damaged(blocks, "block_id", "tokens", counts, restored)
+    told = verdicts([(places, "main_name", None), (places, "alternatenames", "plain"), (blocks, "tokens", "spoofed")]).persist()
+    a = damaged(places, "row_id", "alternatenames", told, "plain", restored)
+    b = damaged(blocks, "block_id", "tokens", told, "spoofed", restored)
     return _named(a, "geonames", "row_id").unionByName(_named(b, "html_blocks", "block_id"))
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tagweave.llm.mojibake import Repairer, SourceModel, count_words, damaged, train
+from tagweave.llm.mojibake import Repairer, SourceModel, count_words, damaged, verdicts
 
 WORDS = (
     "Straße große schließt für über Geöffnet Geschäftsführer fermée même l’été L’été dépôt près gérante à la cour – “cosy” café … € año niño"
@@ -60,9 +60,45 @@ def test_operator_and_edge_cases(spark):
     bad = "Geöffnet".encode().decode("cp1252")
     rows = [(1, text, ["a", "b"]), (2, f"x, {bad}; y", [bad]), (2, f"x, {bad}; y", [bad]), (3, None, None), (4, "", []), (5, "f�r", [None, "f�r"]), (6, text * 20 + bad, None)]
     df = spark.createDataFrame(rows, "row_id long, t string, tokens array<string>")
-    counts = train([(df, "t"), (df, "tokens")])
-    out = damaged(df, "row_id", "t", counts, "fixed").collect()
-    assert sorted(r.row_id for r in out) == [2, 2, 5, 6]
-    assert [r.fixed for r in out if r.row_id == 2] == ["x, Geöffnet; y"] * 2
-    assert sorted(r.row_id for r in damaged(df, "row_id", "tokens", counts).collect()) == [2, 2, 5]
-    assert damaged(df.limit(0), "row_id", "t", train([(df.limit(0), "t")])).count() == 0
+    told = verdicts([(df, "t", "plain"), (df, "tokens", "spoofed")])
+    for limit in (1 << 20, 0):  # broadcast and joined
+        out = damaged(df, "row_id", "t", told, "plain", "fixed", limit).collect()
+        assert sorted(r.row_id for r in out) == [2, 2, 5, 6]
+        assert [r.fixed for r in out if r.row_id == 2] == ["x, Geöffnet; y"] * 2
+        assert [r.fixed for r in out if r.row_id == 5] == ["für"]
+        assert sorted(r.row_id for r in damaged(df, "row_id", "tokens", told, "spoofed", None, limit).collect()) == [2, 2, 5]
+    none = df.limit(0)
+    assert damaged(none, "row_id", "t", verdicts([(none, "t", "plain")]), "plain").count() == 0
+
+
+@pytest.mark.parametrize("codec", ["cp437", "mac_roman", "koi8-r", "cp850", "cp866", "cp1252", "cp1251"])
+def test_lost_bytes_under_every_channel(model, codec):
+    """A byte of a sequence is lost: first or last, in any channel."""
+    judge = Repairer(model).judge
+    for word in ("für", "große", "Geöffnet"):
+        i = next(k for k, c in enumerate(word) if c > "\x7f")
+        lead, tail = (bytes([b]).decode(codec, "replace") for b in word[i].encode())
+        for bad in (lead + "�", "�" + tail):
+            if bad == "��":
+                continue
+            flag, back = judge(word[:i] + bad + word[i + 1 :])
+            assert flag and back == word, (codec, word, bad, back)
+
+
+def test_capitals_through_one_byte_tables(model):
+    judge = Repairer(model).judge
+    for word, right, wrong in (("GEÖFFNET", "cp1252", "mac_roman"), ("FÜR", "cp1252", "cp437"), ("SCHLIEßT", "cp1252", "cp850")):
+        bad = word.encode(right).decode(wrong)
+        assert judge(bad)[0], bad
+
+
+def test_word_frequency_decides(model):
+    """Two originals fit; the corpus's word wins over the likelier spelling."""
+    plain = Repairer(model).judge("ge�ffnet")[1]
+    assert Repairer(model).judge("f�r", {"fôr": 0.9})[0]
+    assert plain.startswith("ge") and plain.endswith("ffnet")
+
+
+def test_mostly_lost_words_stay(model):
+    assert Repairer(model).judge("���x") == (True, "���x")
+    assert Repairer(model).judge("�") == (True, "�")
