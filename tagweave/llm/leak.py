@@ -8,15 +8,19 @@ Every window is embedded by a CGK random walk: at step *j* it emits the word it
 stands on and moves on if a random bit of (word, *j*) says so, so that few
 edits between windows become few differing steps.  Each repetition samples some
 steps of the walk into one key; windows that share a key are candidates, which
-an edit distance on the words then proves.  Equal windows walk alike, so with
-``max_edits=0`` one repetition finds all of them; for more edits the number of
-repetitions follows from ``recall``.
+an edit distance on the words then proves.  The number of repetitions follows
+from ``max_edits`` and ``recall``; equal windows walk alike, so passages without
+edits are found in any case.  ``report`` gives only pairs proven with so many
+edits or fewer.
 
 Before that, a window is dropped if it holds more words unknown to all items
 than ``max_edits`` (each costs an edit, so nothing is lost).  The items' words
-and windows are broadcast if they are counted below ``broadcast_bytes``;
-beyond that, both sides are written as (key, window) rows and joined on the key,
-with AQE splitting hot keys.
+and windows are broadcast if they are counted below ``broadcast_bytes``.
+Beyond that, a blocked Bloom filter of the items' keys (``filter_bytes`` at
+most) is broadcast instead, windows it doesn't hold are dropped before any
+shuffle, and the rest is joined with the items' windows on the key, words
+against words; AQE splits hot keys.  With items too many even for the filter,
+the join takes all windows.
 
 Defined results: null, empty and short texts (below ``window`` words) give no
 row; of repeated documents each is reported; of items that share a passage each
@@ -40,6 +44,9 @@ from tagweave.session import fits_broadcast
 
 WORD = re.compile(r"[^\W_]+")
 BROADCAST_BYTES = 64 << 20
+FILTER_BYTES = 128 << 20
+#: Bits of a key in the filter, and of a block of it.
+_BITS, _BLOCK = 12, 1 << 19
 
 
 def words(text: str) -> list[str]:
@@ -59,13 +66,10 @@ class Walk:
         self.window, self.max_edits = window, max_edits
         self.steps = 2 * window
         rnd = np.random.default_rng(seed)
-        if max_edits == 0:
-            self.repetitions, samples = 1, window
-        else:
-            # each edit leaves two walks in step with a chance of about one half,
-            # and costs them about two differing steps then
-            hit = 0.5**max_edits * max(0.1, 1 - 2 * max_edits / self.steps) ** samples
-            self.repetitions = max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+        # each edit leaves two walks in step with a chance of about one half,
+        # and costs them about two differing steps then
+        hit = 0.5**max_edits * max(0.1, 1 - 2 * max_edits / self.steps) ** samples
+        self.repetitions = max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))) if max_edits else 1
         self.salt = rnd.integers(1, 2**63, (self.repetitions, self.steps), np.int64).astype(np.uint64)
         self.samples = [np.sort(rnd.choice(self.steps, samples, replace=False)) for _ in range(self.repetitions)]
 
@@ -106,8 +110,13 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, w]
 
 
-def _near(a: np.ndarray, b: np.ndarray, max_edits: int) -> np.ndarray:
-    return (a == b).all(axis=1) if max_edits == 0 else edit_distance(a, b) <= max_edits
+def _edits(a: np.ndarray, b: np.ndarray, max_edits: int) -> np.ndarray:
+    """Edits between rows; the distance is worked out only where rows differ."""
+    out = (a != b).any(axis=1).astype(np.int64)
+    if max_edits and out.any():
+        at = np.flatnonzero(out)
+        out[at] = edit_distance(a[at], b[at])
+    return out
 
 
 def _windows(ids: np.ndarray, doc: np.ndarray, window: int, max_edits: int) -> np.ndarray:
@@ -121,44 +130,44 @@ def _windows(ids: np.ndarray, doc: np.ndarray, window: int, max_edits: int) -> n
 
 
 class ItemIndex:
-    """All windows of all items, ready for lookup."""
+    """All distinct windows of all items, ready for lookup."""
 
-    def __init__(self, items: list[tuple[int, str]], walk: Walk) -> None:
-        self.walk = walk
+    def __init__(self, items: list[tuple[int, str]], walk: Walk, report: int) -> None:
+        self.walk, self.report = walk, report
         self.vocabulary: dict[str, int] = {}
-        w, rows, owners = walk.window, [], []
+        w, owners = walk.window, {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in words(text or "")]
             for i in range(len(ids) - w + 1):
-                rows.append(ids[i : i + w])
-                owners.append(item)
+                owners.setdefault(tuple(ids[i : i + w]), {})[item] = None
         self.hash = np.array([xxhash.xxh64_intdigest(x) for x in self.vocabulary] + [0], np.uint64)
-        self.rows = np.array(rows, np.int32).reshape(-1, w)
-        self.owners = np.array(owners, object)
+        self.rows = np.array(list(owners), np.int32).reshape(-1, w)
+        self.owners = [list(x) for x in owners.values()]
         keys = walk.keys(self.hash[self.rows])
         self.order = [np.argsort(k, kind="stable") for k in keys]
         self.keys = [k[o] for k, o in zip(keys, self.order)]
 
-    def search(self, ids: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(document number, item) of every proven window."""
+    def search(self, ids: np.ndarray, doc: np.ndarray, step: int = 200_000) -> set[tuple[int, int]]:
+        """(document number, item) of every proven window; at most ``step``
+        candidate pairs are held at a time."""
         walk = self.walk
         starts = _windows(ids, doc, walk.window, walk.max_edits)
-        found: set[tuple[int, int]] = set()
+        proven: set[tuple[int, int]] = set()  # (document, item window)
         for at in range(0, len(starts), 50_000):
             s = starts[at : at + 50_000]
             mine = ids[s[:, None] + np.arange(walk.window)]
             for r, key in enumerate(walk.keys(self.hash[mine])):
                 lo, hi = np.searchsorted(self.keys[r], key), np.searchsorted(self.keys[r], key, side="right")
-                n = hi - lo
-                if not n.any():
-                    continue
-                left = np.repeat(np.arange(len(s)), n)
-                right = self.order[r][np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]] - lo, n)]
-                for b in range(0, len(left), 200_000):
-                    x, y = left[b : b + 200_000], right[b : b + 200_000]
-                    ok = _near(mine[x], self.rows[y], walk.max_edits)
-                    found.update(zip(doc[s[x[ok]]].tolist(), self.owners[y[ok]].tolist()))
-        return found
+                some = np.flatnonzero(hi > lo)
+                ends = np.cumsum(hi[some] - lo[some])
+                for b in range(0, int(ends[-1]) if len(ends) else 0, step):
+                    pair = np.arange(b, min(b + step, int(ends[-1])))
+                    k = np.searchsorted(ends, pair, side="right")
+                    x = some[k]
+                    y = self.order[r][hi[x] - (ends[k] - pair)]
+                    ok = _edits(mine[x], self.rows[y], walk.max_edits) <= self.report
+                    proven.update(zip(doc[s[x[ok]]].tolist(), y[ok].tolist()))
+        return {(d, item) for d, y in proven for item in self.owners[y]}
 
 
 def find_leaks(
@@ -171,16 +180,19 @@ def find_leaks(
     window: int = 12,
     max_edits: int = 0,
     recall: float = 0.95,
+    report: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    filter_bytes: int = FILTER_BYTES,
 ) -> DataFrame:
     """Distinct ``(doc_id, item_id)`` pairs."""
+    report = max_edits if report is None else report
     walk = Walk(window, max_edits, recall)
     items = items.select(item_id, item_text).where(F.col(item_text).isNotNull())
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     docs = docs.select(doc_id, doc_text).where(F.col(doc_text).isNotNull())
     if not fits_broadcast(items, broadcast_bytes // 16):
-        return _joined(docs, items, doc_id, item_id, walk)
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in items.collect()], walk))
+        return _joined(docs, items, doc_id, item_id, walk, report, filter_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in items.collect()], walk, report))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -207,38 +219,91 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _joined(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, walk: Walk) -> DataFrame:
+def _bits(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A key's block and its places within."""
+    h = _mix(keys.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    block = (h % np.uint64(blocks)).astype(np.int64)
+    places = []
+    for _ in range(6):
+        h = _mix(h + np.uint64(0x9E3779B97F4A7C15))
+        places.append((h & np.uint64(_BLOCK - 1)).astype(np.int64))
+    return block, places
+
+
+def _bloom(keys: DataFrame, filter_bytes: int) -> np.ndarray | None:
+    """A blocked Bloom filter of all keys, (blocks, bytes), or None if it would
+    exceed ``filter_bytes``.  Blocks are built where their keys are."""
+    n = keys.count()
+    blocks = max(1, -(-n * _BITS // _BLOCK))
+    if blocks * _BLOCK // 8 > filter_bytes:
+        return None
+
+    @F.pandas_udf("int")
+    def block_of(k):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(_bits(k.to_numpy(np.int64), blocks)[0], dtype="int32")
+
+    def build(group):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        bits = np.zeros(_BLOCK, np.uint8)
+        for p in _bits(group["key"].to_numpy(np.int64), blocks)[1]:
+            bits[p] = 1
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((blocks, _BLOCK // 8), np.uint8)
+    # keys are distinct and hashed to blocks, so groups are of about equal size
+    for r in keys.withColumn("block", block_of("key")).groupBy("block").applyInPandas(build, "block int, bits binary").toLocalIterator():
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _held(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    block, places = _bits(keys, len(bloom))
+    ok = np.ones(len(keys), bool)
+    for p in places:
+        ok &= (bloom[block, p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
+def _joined(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, walk: Walk, report: int, filter_bytes: int) -> DataFrame:
     """Both sides as (key, window) rows, joined on the key: for items without a
     proven size.  The exact check follows in the same narrow stage."""
     w, edits = walk.window, walk.max_edits
 
-    def rows_of(df: DataFrame, ident: str, prefix: str) -> DataFrame:
-        schema = T.StructType([T.StructField(f"{prefix}_id", df.schema[ident].dataType), T.StructField("key", T.LongType()), T.StructField(f"{prefix}_window", T.ArrayType(T.LongType()))])
+    def rows_of(df: DataFrame, ident: str, prefix: str, bloom=None) -> DataFrame:  # noqa: ANN001
+        schema = T.StructType([T.StructField(f"{prefix}_id", df.schema[ident].dataType), T.StructField("key", T.LongType()), T.StructField(f"{prefix}_window", T.ArrayType(T.StringType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
                     part = batch.slice(at, 200)
-                    hashes, counts = [], []
+                    flat: list[str] = []
+                    counts = []
                     for text in part.column(1).to_pylist():
-                        got = [xxhash.xxh64_intdigest(x) for x in words(text)]
-                        hashes += got
+                        got = words(text)
+                        flat += got
                         counts.append(len(got))
-                    flat = np.array(hashes, np.uint64)
+                    hashes = np.array([xxhash.xxh64_intdigest(x) for x in flat], np.uint64)
                     doc = np.repeat(np.arange(len(counts)), counts)
                     s = _windows(np.zeros(len(flat), np.int8), doc, w, edits)
-                    mine = flat[s[:, None] + np.arange(w)]
-                    for key in walk.keys(mine):
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * w), pa.array(mine.reshape(-1).view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[s])), pa.array(key.view(np.int64)), lists], schema.names)
+                    texts = pa.array(flat, pa.string())
+                    for key in walk.keys(hashes[s[:, None] + np.arange(w)]):
+                        key = key.view(np.int64)
+                        hit = np.flatnonzero(_held(bloom.value, key)) if bloom is not None else np.arange(len(s))
+                        window = texts.take(pa.array((s[hit][:, None] + np.arange(w)).reshape(-1)))
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * w), window)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[s[hit]])), pa.array(key[hit]), lists], schema.names)
 
         return df.mapInArrow(run, schema)
 
-    left = rows_of(docs, doc_id, "doc")
     # equal windows of one item are one row; a window many items share stays one row a item
-    right = rows_of(items, item_id, "item").distinct()
+    right = rows_of(items, item_id, "item").distinct().persist()
+    bloom = _bloom(right.select("key").distinct(), filter_bytes)
+    left = rows_of(docs, doc_id, "doc", docs.sparkSession.sparkContext.broadcast(bloom) if bloom is not None else None)
     pairs = left.join(right, "key")
-    if edits == 0:
+    if report == 0:
         near = pairs.where(F.col("doc_window") == F.col("item_window"))
     else:
 
@@ -246,7 +311,7 @@ def _joined(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, walk:
         def close(a, b):  # noqa: ANN001, ANN202
             import pandas as pd
 
-            return pd.Series(_near(np.stack(a.to_numpy()), np.stack(b.to_numpy()), edits) if len(a) else [], dtype=bool)
+            return pd.Series(_edits(np.stack(a.to_numpy()).astype(str), np.stack(b.to_numpy()).astype(str), edits) <= report if len(a) else [], dtype=bool)
 
         near = pairs.where(close("doc_window", "item_window"))
     return near.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id)).distinct()
