@@ -1,7 +1,12 @@
 """Delimited lines -> typed rows, and the lines that fail with the reason.
 
-Lines are parsed one by one with Python's strict ``csv`` reader inside
-``mapPartitions`` style Arrow batches.  A structural exception (a quote that is
+Records are assembled quote-aware (:func:`assemble_records`): physical lines
+that an open quote joins are one record.  A row of a table of lines is one
+record by definition, so its physical lines are assembled among themselves and
+no quote reaches into the next row; lines of files are assembled with
+``max_lines`` above one.  Each record goes through Python's strict ``csv``
+reader inside ``mapPartitions`` style Arrow batches; one without a quote sign
+has nothing for it to judge and is only cut.  A structural exception (a quote that is
 not closed, or closed and followed by something else) is caught before any
 typed constructor runs; then the number of fields and the key columns are
 judged, in the order ``quoting``, ``columns``, then the key columns.
@@ -9,13 +14,14 @@ judged, in the order ``quoting``, ``columns``, then the key columns.
 Defined results: an empty line has one field, so it fails with ``columns``;
 a null line fails with ``columns`` too; repeated lines are judged each for
 itself; values of columns that are not judged become null if they don't fit.
-Line breaks inside a line are plain characters.
+Line breaks inside a line are plain characters, quoted or not.
 """
 
 from __future__ import annotations
 
 import csv
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -30,8 +36,7 @@ MAX_LONG = 2**63 - 1
 _DIGITS = re.compile(r"[0-9]+")
 _INT = re.compile(r"[+-]?[0-9]+")
 _FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
-_HIDE = {10: "\ue00a", 13: "\ue00d", 0: "\ue000"}  # private-use stand-ins while csv reads the line
-_SHOW = {ord(v): chr(k) for k, v in _HIDE.items()}
+_ENDS = "\n\r\0"  # what csv takes for the end of a record
 
 
 def whole_number(low: int) -> Callable[[str], int]:
@@ -53,39 +58,60 @@ def optional(build: Callable[[str], int]) -> Callable[[str], int | None]:
 
 
 def parse_fields(line: str, sep: str = "\t") -> list[str]:
-    """Fields of one line; ``csv.Error`` if its quoting is broken."""
-    odd = "\n" in line or "\r" in line or "\0" in line
+    """Fields of one record; ``csv.Error`` if its quoting is broken."""
     if '"' not in line:
         return line.split(sep)
-    if odd:
-        line = line.translate(_HIDE)
-    fields = next(csv.reader((line,), delimiter=sep, strict=True), [""])
-    return [f.translate(_SHOW) for f in fields] if odd else fields
-
-
-def _opens_quote(line: str, sep: str) -> bool:
-    try:
-        parse_fields(line, sep)
-    except csv.Error as e:
-        return "unexpected end" in str(e)
-    return False
+    ends = [c for c in _ENDS if c in line]
+    if not ends:
+        return next(csv.reader((line,), delimiter=sep, strict=True), [""])
+    # while csv reads it, private-use signs that the record doesn't hold stand for them
+    free = (chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in line)
+    hide = {ord(c): next(free) for c in ends}
+    show = {ord(v): chr(k) for k, v in hide.items()}
+    return [f.translate(show) for f in next(csv.reader((line.translate(hide),), delimiter=sep, strict=True), [""])]
+
+
+def _scan(line: str, sep: str, inside: bool) -> bool:
+    """Whether a physical line ends within a quoted field; ``inside``: it begins
+    so.  A line whose quoting breaks ends its record."""
+    at = 0
+    while True:
+        if not inside:
+            if not line.startswith('"', at):
+                at = line.find(sep + '"', at)
+                if at < 0:
+                    return False
+                at += len(sep)
+            at += 1
+        while True:  # to the quote that closes the field
+            at = line.find('"', at)
+            if at < 0:
+                return True
+            if not line.startswith('"', at + 1):
+                break
+            at += 2
+        at += 1
+        if not line.startswith(sep, at):
+            return False  # the end, or broken
+        at, inside = at + len(sep), False
 
 
 def assemble_records(lines: Iterable[str], sep: str = "\t", max_lines: int = 1) -> Iterator[str]:
     """Physical lines -> records: a line whose last quote is open takes in up
     to ``max_lines - 1`` following lines if that closes it; else it stays as it
     is and fails alone.  With ``max_lines=1`` every line is a record."""
-    held: list[str] = []
-    for line in lines:
+    source, back, held, inside = iter(lines), deque(), [], False
+    while (line := back.popleft() if back else next(source, None)) is not None:
         held.append(line)
-        while held:
-            if len(held) < max_lines and _opens_quote("\n".join(held), sep):
-                break
-            if len(held) > 1 and _opens_quote("\n".join(held), sep):
-                yield held.pop(0)
-                continue
+        inside = max_lines > 1 and _scan(line, sep, inside)
+        if not inside:
             yield "\n".join(held)
             held = []
+        elif len(held) == max_lines:
+            yield held[0]
+            back.extendleft(reversed(held[1:]))
+            held, inside = [], False
+    # a quote that nothing closes: all quotes behind it are doubled, so each line stands alone
     yield from held
 
 
@@ -121,11 +147,19 @@ def parse_lines(
     arrow = to_arrow_schema(out)
     typed = [i for i, n in enumerate(names) if n not in keep]
 
+    def record(s: str) -> list[str]:
+        """The row's physical lines, assembled; what no quote joins is joined
+        all the same, as the row is one record."""
+        if "\n" not in s or '"' not in s:
+            return parse_fields(s, sep)
+        physical = s.split("\n")
+        return parse_fields("\n".join(assemble_records(physical, sep, len(physical))), sep)
+
     def judge(s: str | None) -> tuple[str | None, list[object] | None]:
         if s is None:
             return "columns", None
         try:
-            fields = parse_fields(s, sep)
+            fields = record(s)
         except csv.Error:
             return "quoting", None
         if len(fields) != width:

@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 from tagweave.operators.badrows import assemble_records, failures, parse_fields, parse_lines, valid
 
 GOOD = "7\tA\tA\t\t1.5\t-2\tP\tPPL\tXA\t\t\t\t\t\t10\t\t3\tEtc\t2020-01-01"
@@ -62,3 +66,27 @@ def test_assembly():
     assert list(assemble_records(['"a', 'b"\tc', "d"], max_lines=3)) == ['"a\nb"\tc', "d"]
     assert list(assemble_records(['"a', 'b"\tc', "d"])) == ['"a', 'b"\tc', "d"]
     assert list(assemble_records(['"a', "b"], max_lines=2)) == ['"a', "b"]
+    assert list(assemble_records(['x\t"a""', "", '""b"\t"c"', 'd"', '"e" f', "g"], max_lines=9)) == ['x\t"a""\n\n""b"\t"c"', 'd"', '"e" f', "g"]
+    assert list(assemble_records(['"a', "b", '"c', 'd"'], max_lines=2)) == ['"a', "b", '"c\nd"']
+
+
+def test_assembly_against_the_reader():
+    """Assembled records of well-formed rows are what csv reads from the file."""
+    rnd = random.Random(4)
+    for _ in range(500):
+        rows = [["".join(rnd.choice('ab"\n\t ') for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(1, 6))]
+        rows = [r for r in rows if r != [""]]
+        text = io.StringIO()
+        csv.writer(text, delimiter="\t", lineterminator="\n").writerows(rows)
+        physical = text.getvalue().split("\n")[:-1]
+        got = list(assemble_records(physical, max_lines=len(physical) + 1))
+        assert [parse_fields(x) for x in got] == rows
+
+
+def test_assembly_takes_linear_time():
+    many = ['"open'] + ["x"] * 200_000
+    assert len(list(assemble_records(many, max_lines=len(many) + 1))) == len(many)
+
+
+def test_stand_ins_of_the_text_itself():
+    assert parse_fields('"a\nb\ue00a\ue000"\tc\ue00d') == ["a\nb\ue00a\ue000", "c\ue00d"]
