@@ -34,6 +34,7 @@ scripts without capitals are not seen.
 
 from __future__ import annotations
 
+import gc
 import html
 import json
 import re
@@ -91,15 +92,17 @@ _LABEL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ-]*[A-Za-z0-9À-ɏ])?"
 _LOCAL = rf"[A-Za-z0-9À-ɏ](?:[\w+%-]|\\_)*(?:{_DOT}[\w+%-]+)*"
 EMAIL = re.compile(rf"(?<![\w.+@-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![\w@])")
 #: Where an address may be: its at sign, or a written "at" before a dotted name.
-_EMAIL_HINT = re.compile(rf"[@＠﹫]|&#64;|[(\[{{](?:at|AT|@)[)\]}}]|{_S}(?:at|AT){_S}(?={_LABEL}{_DOT}[A-Za-z0-9])")
+_EMAIL_HINT = re.compile(rf"[@＠﹫&(\[{{ \xa0\n;~](?:(?<=[@＠﹫])|(?<=&)#64;|(?<=[(\[{{])(?:at|AT|@)[)\]}}]|(?<=[ \xa0\n;~])(?:at|AT){_S}(?={_LABEL}{_DOT}[A-Za-z0-9]))")
 _SIGN = re.compile(r"[@＠﹫]|&#64;")
 
 _GAP = rf"(?:{_S}?[()/-]{{1,2}}{_S}?|\.|{_S}{{1,2}}(?<!\n\n))"
-DIGITS = re.compile(rf"(?:\+{_S}?|\({_S}?)?\d+(?:{_GAP}\d+)*")
+#: Digits with gaps; a sign in front is looked for behind.  (A single character
+#: class in front lets the search skip all other text.)
+DIGITS = re.compile(rf"\d\d*(?:{_GAP}\d+)*")
+_FRONT = re.compile(rf"[+(]{_S}?\Z")
 _BLANKS = re.compile(rf"{_S}+")
 _AROUND = re.compile(r" ?([^\w ]) ?")
 _HOUSE = re.compile(r"\d{1,5}[a-zA-Z]?(?![\w])")
-_HOUSE_START = re.compile(r"\d{1,5}[a-zA-Z]?")
 _CODE = re.compile(r"[A-Z\d]+(?:[ .-][A-Z]{0,4}\d[A-Z\d]*)*(?:(?<=\d)[ -][B-DF-HJ-NP-TV-XZ](?![\w'’]))?")
 _PREFIX = re.compile(rf"(?<![\w-])[A-Z]{{1,2}}{_S}\Z")
 
@@ -120,18 +123,20 @@ STREET_BEHIND = re.compile(
     rf"(?<![\w.,/-])(?:(?:{'|'.join(re.escape(c) for c in STREET_CALLS)}){_S}(?:(?:de{_S}la|del|de|la){_S})?{_NAMEWORD}(?:{_S}{_NAMEWORD})?,?{_S}(?:n[.º°]{_S})?{_NO}"
     rf"|(?:(?:Am|An{_S}der|Im|Zum|Zur|Auf{_S}dem){_S})?(?:{_NAMEWORD}{_S}(?:Allee|Straße|Platz|Weg|Ring|Ufer|Laan|Plein)|{_NAMEWORD}(?:{'|'.join(e.replace('.', '[.]') for e in STREET_ENDS)}|-Ufer|-Allee|-Platz|-Straße|-Weg)){_S}{_NO})"
 )
-_NUMBER_FIRST = re.compile(rf"(?:{_S}(?:bis|ter|quater))?,?{_S}[^\W\d_]")
+_NUMBER_FIRST = re.compile(rf"(?:[a-zA-Z](?!\w))?(?:{_S}(?:bis|ter|quater))?,?{_S}(?:{_UP}|&|(?:{'|'.join(STREET_LEADS)})(?!\w))")
 
 # Words in front of a family name.
 PARTICLES = {"von", "van", "der", "den", "de", "la", "du", "des", "del", "di", "da", "dos", "zu", "zum", "zur", "ter", "ten", "le", "el", "af", "av", "y", "e", "und"}
 _PARTICLE = "(?:" + "|".join(sorted(PARTICLES, key=lambda p: (-len(p), p))) + ")(?:['’]|(?![\\w'’]))"
-_WORD = rf"(?:{_UP}\.(?:-{_UP}\.)?|{_NAMEWORD})"
+_REST = r"(?:[^\W\d_]++|[̀-ͯ]|&#\d+;|&[A-Za-z]+;|['’-](?=[^\W\d_]|&))*+"
+_WORD = rf"{_UP[:-1]}&](?:(?<=&)(?:#(?!160;)\d+;|[A-Z]\w+;){_REST}|(?<!&)(?:\.(?:-{_UP}\.)?|{_REST}))"
 RUN = re.compile(rf"{_WORD}(?:,?{_S}{{1,3}}(?:{_PARTICLE}{_S}*)*{_WORD})+")
 _PART = re.compile(rf"{_WORD}|{_PARTICLE}|,")
+_SIMPLE = re.compile(r"[^\W\d_]++(?: [^\W\d_]++)++")
 _INITIAL = re.compile(r"[^\W\d_]\.(?:-[^\W\d_]\.)?$")
 _CAPS = re.compile(rf"{_UP}{{2,}}(?:['’-]?{_UP}+)*$")
 _ELIDED = re.compile(r"[LDQS]['’][^\W\d_]")
-_TOKEN = re.compile(r"[^\W\d_]+| ?[^\w\s]")
+_TOKEN = re.compile(r"[^\W\d_]+| ?[^\w\s]")  # a blank before a sign tells French from others
 _AFTER = re.compile(rf"{_S}*([^\W\d_]+|\S)")
 _LEFT = re.compile(r"[^\W\d_][^\W_]*|[^\w\s]")
 
@@ -153,6 +158,8 @@ class Node:
     features: list[str]
     zone: int
     kind: str
+    #: features shared by all runs of the same shapes
+    structure: tuple[str, ...] = ()
 
 
 @dataclass
@@ -166,6 +173,14 @@ class Knowledge:
     crf: LinearChainCRF = field(default_factory=LinearChainCRF)
     #: potentials of the skip edges: equal, similar, name and mail address
     skip: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    _ends: frozenset[str] | None = None
+
+    @property
+    def ends(self) -> frozenset[str]:
+        """The last tokens of the contexts."""
+        if self._ends is None:
+            self._ends = frozenset(x for c in self.contexts for x in (_TOKEN.findall(c)[-1], _TOKEN.findall(c)[-1].lstrip()))
+        return self._ends
 
     def save(self, spark: SparkSession, path: str) -> None:
         """As tables: the weights, and one row of everything else."""
@@ -210,29 +225,28 @@ def number_shape(s: str) -> str:
 # --- nodes -----------------------------------------------------------------------
 
 
-def _widening(text: str, pattern: re.Pattern[str], at: int, low: int, step: int) -> Iterator[tuple[int, int]]:
-    """The match of ``pattern`` over place ``at``, searched from ever further
-    back until its beginning no longer moves: exact, without a fixed reach."""
-    reach, found = step, None
-    while True:
-        start = max(low, at - reach)
-        got = next((m.span() for m in pattern.finditer(text, start, min(len(text), at + reach + 80)) if m.start() <= at < m.end()), None)
-        if start == low and at + reach + 80 >= len(text) or got is not None and got == found or got is None and found is None and not _touches(text, start, at) and reach > step:
-            if got:
-                yield got
-            return
-        found, reach = got, reach * 2
-
+_DOT_BEFORE = re.compile(rf"{_DOT}\Z")
 
-def _touches(text: str, start: int, at: int) -> bool:
-    """No blank between: one long word may reach further back."""
-    return not re.search(r"\s", text[start:at])
 
-
-def _street(text: str, a: int) -> tuple[int, int] | None:
-    """The street around the house number that begins at ``a``."""
-    house = _HOUSE.match(text, a)
-    if house and a > 1 and text[a - 1] in " \xa0\n;~":
+def _address(text: str, at: int, low: int) -> tuple[int, int] | None:
+    """The mail address over place ``at``: searched from ever further back while
+    it may begin before the stretch that is searched, so without a fixed reach."""
+    reach = 40
+    while True:
+        start, stop = max(low, at - reach), min(len(text), at + reach + 60)
+        got = next((m.span() for m in EMAIL.finditer(text, start, stop) if m.start() <= at < m.end()), None)
+        whole = start == low and stop == len(text)
+        if got and (whole or got[1] < stop - 8 and (start == low or got[0] > start and not _DOT_BEFORE.search(text, max(0, got[0] - 9), got[0]))):
+            return got
+        if whole or not got and re.search(r"\s", text[start : max(start, at - 12)]) and re.search(r"\s", text[at + 12 : stop]):
+            return got
+        reach *= 2
+
+
+def _street(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The street around the house number whose digits go from ``a`` to ``b``."""
+    first = _NUMBER_FIRST.match(text, b)
+    if a > 1 and text[a - 1] in " \xa0\n;~" and (house := _HOUSE.match(text, a)):
         k = max(text.rfind(" ", 0, a - 1), text.rfind("\n", 0, a - 1), text.rfind("\xa0", 0, a - 1)) + 1
         if text[k].isupper() or text[k] in "n&" or "-" in text[k:a]:
             for _ in range(8):  # as many words as the pattern has
@@ -240,10 +254,10 @@ def _street(text: str, a: int) -> tuple[int, int] | None:
             found = next((x.span() for x in STREET_BEHIND.finditer(text, k, house.end()) if x.end() == house.end()), None)
             if found:
                 return found
-    house = _HOUSE_START.match(text, a)
-    if house and _NUMBER_FIRST.match(text, house.end()) and (x := STREET.match(text, a)):
-        return x.span()
-    return None
+    if not first:
+        return None
+    x = STREET.match(text, a)
+    return x and x.span()
 
 
 def _code(text: str, a: int, b: int) -> tuple[int, int] | None:
@@ -271,7 +285,7 @@ def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]
         if a < done:
             continue
         before, after = text[a - 1 : a] if a else "", text[b : b + 1]
-        if (before == "" or before in " \xa0\n;~(>*[{") and text[a].isdigit() and (street := _street(text, a)):
+        if b - a < 6 and (before == "" or before in " \xa0\n;~(>*[{") and (street := _street(text, a, b)):
             done = street[1]
             yield "street", *street
             continue
@@ -283,9 +297,12 @@ def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]
         s = m.group()
         if len(s) < 4:
             continue
-        cut = max(s.rfind(" "), s.rfind("\n"), s.rfind("\xa0"))
-        if cut > 0 and number_shape(s) not in shapes and (street := _street(text, a + cut + 1)):
-            yield from _split(text, a, a + cut, shapes)
+        if front := _FRONT.search(text, max(0, a - 7), a):
+            a = front.start()
+            s = text[a:b]
+        cut = max(s.rfind(" "), s.rfind("\n"), s.rfind("\xa0"), s.rfind(";"), s.rfind("~"))
+        if cut > 0 and number_shape(s) not in shapes and (street := _street(text, a + cut + 1, b)):
+            yield from _split(text, a, max(a, min(a + cut, street[0])), shapes)
             done = street[1]
             yield "street", *street
         else:
@@ -347,6 +364,13 @@ def _unit_features(kind: str, text: str, a: int, b: int) -> list[str]:
 
 def _words_of(text: str, a: int, b: int) -> list[list[tuple[int, int, str]]]:
     """Words of a run; cut at commas but behind a family name in capitals."""
+    s = text[a:b]
+    if _SIMPLE.fullmatch(s):
+        words = []
+        for w in s.split(" "):
+            words.append((a, a + len(w), w))
+            a += len(w) + 1
+        return [words]
     out: list[list[tuple[int, int, str]]] = [[]]
     for m in _PART.finditer(text, a, b):
         w = m.group()
@@ -391,19 +415,21 @@ def _known(words: list[tuple[int, int, str]], given: frozenset[str]) -> list[boo
     return out
 
 
-def _contexts(lows: list[str], i: int, outside: list[str]) -> tuple[str, str, str]:
-    """The last token before a word, the last two, the last three."""
-    before = [*outside[i:], *lows[max(0, i - 3) : i]] if i < 3 else lows[i - 3 : i]
-    return before[2], f"{before[1]} {before[2]}", " ".join(before)
+def _contexts(before: list[str], i: int) -> tuple[str, str, str]:
+    """The last token before word ``i``, the last two, the last three;
+    ``before`` has the three tokens before the run and its words."""
+    l1 = before[i + 2]
+    l2 = f"{before[i + 1]} {l1}"
+    return l1, l2, f"{before[i]} {l2}"
 
 
 def _outside(text: str, a: int) -> list[str]:
     """Three tokens before a place; a paragraph's or text's beginning is ^."""
-    back = text[max(0, a - 60) : a]
+    back = text[max(0, a - 60) : a].lower().replace("\xa0", " ")
     cut = back.rfind("\n\n")
     if cut >= 0:
         back = back[cut + 2 :]
-    return ["^", "^", "^", *_TOKEN.findall(_BLANKS.sub(" ", back.lower()))][-3:]
+    return ["^", "^", "^", *_TOKEN.findall(_BLANKS.sub(" ", back) if "&" in back or "~" in back else back)][-3:]
 
 
 def _run_nodes(text: str, words: list[tuple[int, int, str]], zone: int, know: Knowledge, given: frozenset[str]) -> list[Node]:
@@ -418,15 +444,17 @@ def _run_nodes(text: str, words: list[tuple[int, int, str]], zone: int, know: Kn
     after = m.group(1).lower() if m else "$"
     after = after if after in frequent or not after[:1].isalpha() else "#"
     out = []
+    before, ends = [*outside, *lows], know.ends
+    structure = _structure(tuple(shapes), tuple(flags))
     for i, (a, b, w) in enumerate(words):
         s, g = shapes[i], flags[i]
-        l1, l2, l3 = _contexts(lows, i, outside)
+        l1, known = before[i + 2], ""
+        if l1 in ends:
+            _, l2, l3 = _contexts(before, i)
+            known = l3 if l3 in contexts else l2 if l2 in contexts else l1 if l1 in contexts else ""
         p = l1 if l1 in frequent or not l1[:1].isalpha() else "#"
         nxt = keys[i + 1] if i + 1 < n else "$" + after
-        f = [
-            f"s={s}|{g}|{min(i, 2)}", f"sp={shapes[i - 1] if i else '^'}|{s}|{shapes[i + 1] if i + 1 < n else '$'}", f"g={flags[i - 1] if i else '^'}|{g}|{s}", f"p={p}|{s}|{g}", f"n={nxt}|{s}",
-            f"left={n - i if n - i < 4 else 4}|{s}|{min(i, 3)}", f"h={'/'.join(shapes[max(0, i - 3) : i])}|{s}", f"c={next((k for k in (l3, l2, l1) if k in contexts), '')}",
-        ]
+        f = [f"p={p}|{s}|{g}", f"n={nxt}|{s}", f"c={known}"]
         if keys[i] != "#":
             f.append(f"w={keys[i]}")
             f.append(f"wp={keys[i]}|{p}")
@@ -434,21 +462,35 @@ def _run_nodes(text: str, words: list[tuple[int, int, str]], zone: int, know: Kn
             f.append(f"start={p}|{n if n < 4 else 4}|{nxt}")
             if s == "cap" and _ELIDED.match(w):
                 f.append("elided")
-        elif "\n" in text[words[i - 1][1] : a]:
-            f.append(f"wrapped={shapes[i - 1]}|{s}|{g}")
-        out.append(Node(a, b, w, f, zone, "word"))
+        elif a - words[i - 1][1] != 1 or text[a - 1] == "\n":
+            if "\n" in text[words[i - 1][1] : a]:
+                f.append(f"wrapped={shapes[i - 1]}|{s}|{g}")
+        out.append(Node(a, b, w, f, zone, "word", structure[i]))
     return out
 
 
+@lru_cache(maxsize=50_000)
+def _structure(shapes: tuple[str, ...], flags: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Features of a run's words from shapes and known given names alone."""
+    n = len(shapes)
+    return [
+        (
+            f"s={s}|{flags[i]}|{min(i, 2)}", f"sp={shapes[i - 1] if i else '^'}|{s}|{shapes[i + 1] if i + 1 < n else '$'}", f"g={flags[i - 1] if i else '^'}|{flags[i]}|{s}",
+            f"left={n - i if n - i < 4 else 4}|{s}|{min(i, 3)}", f"h={'/'.join(shapes[max(0, i - 3) : i])}|{s}",
+        )
+        for i, s in enumerate(shapes)
+    ]
+
+
 def units(text: str, shapes: frozenset[str]) -> list[tuple[str, int, int]]:
     """Addresses, streets and numbers that don't overlap."""
     out: list[tuple[str, int, int]] = []
     done = 0
     for h in _EMAIL_HINT.finditer(text):
         if h.start() >= done:
-            for a, b in _widening(text, EMAIL, h.start(), done, 120):
-                done = b
-                out.append(("email", a, b))
+            if got := _address(text, h.start(), done):
+                done = got[1]
+                out.append(("email", *got))
     mails = len(out)
     done, k = 0, 0
     for kind, a, b in _numbers(text, shapes):
@@ -486,8 +528,10 @@ _TYPE = {"EMAIL": "email", "PHONE": "phone", "ID": "id_number", "STREET": "stree
 
 def _folded(w: str) -> str:
     """Case, accents and a genitive s aside."""
-    w = "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
-    return re.sub(r"['’]?s$", "", w)
+    w = w.lower()
+    if not w.isascii():
+        w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+    return w[:-1].rstrip("'’") if w[-1:] == "s" else w
 
 
 def skip_edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
@@ -546,9 +590,14 @@ def _unary(nodes: list[Node], crf: LinearChainCRF, order: list[int]) -> np.ndarr
     get = crf.vocabulary.get
     rows: list[int] = []
     starts = []
+    shared: dict[tuple[str, ...], list[int]] = {(): []}
     for n in nodes:
         starts.append(len(rows))
         rows += [k for f in n.features if (k := get(f)) is not None]
+        known = shared.get(n.structure)
+        if known is None:
+            known = shared[n.structure] = [k for f in n.structure if (k := get(f)) is not None]
+        rows += known
     starts.append(len(rows))
     at = np.array(starts)
     out = np.zeros((len(nodes), len(LABELS)))
@@ -575,6 +624,14 @@ def _graph(per_doc: list[list[Node]]) -> tuple[list[tuple[int, int]], list[int]]
 
 def label_documents(texts: list[str | None], know: Knowledge) -> list[list[tuple[int, int, str]]]:
     """``(start, end, type)`` pieces of each text."""
+    gc.disable()  # nodes hold no cycles, and there are many
+    try:
+        return _labelled(texts, know)
+    finally:
+        gc.enable()
+
+
+def _labelled(texts: list[str | None], know: Knowledge) -> list[list[tuple[int, int, str]]]:
     per_doc = [zones(t, know) if t else [] for t in texts]
     flat = [n for nodes in per_doc for n in nodes]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -649,8 +706,9 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
             i = j
         rest = " ".join((t or "") if g is None or g[2:] not in ("TEL", "FAX") else "|" for t, g in zip(tokens, tags))
         for m in DIGITS.finditer(rest):
-            if sum(c.isdigit() for c in m.group()) > 5:
-                out["s", number_shape(m.group())][1] += 1
+            if m.end() - m.start() > 5 and sum(c.isdigit() for c in m.group()) > 5:
+                front = _FRONT.search(rest, max(0, m.start() - 7), m.start())
+                out["s", number_shape(rest[front.start() if front else m.start() : m.end()])][1] += 1
         for i, token in enumerate(tokens):
             for part in (token or "").split("-"):
                 if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
@@ -665,7 +723,15 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
 LEAST_SHARE = 1e-5
 
 
-def _context_counts(texts: Iterable[str | None], know: Knowledge) -> dict[tuple[str, str], list[int]]:
+def _context_counts(texts: list[str | None], know: Knowledge) -> dict[tuple[str, str], list[int]]:
+    gc.disable()
+    try:
+        return _contexts_counted(texts, know)
+    finally:
+        gc.enable()
+
+
+def _contexts_counted(texts: list[str | None], know: Knowledge) -> dict[tuple[str, str], list[int]]:
     """Of all texts: contexts (``c``), with a known given name behind and in
     all; words in and beside runs (``w``); ``("", kind)`` the sums."""
     out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
@@ -677,6 +743,7 @@ def _context_counts(texts: Iterable[str | None], know: Knowledge) -> dict[tuple[
             lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
             flags = _known(words, know.given)
             outside = _outside(t, words[0][0])
+            before = [*outside, *lows]
             m = _AFTER.match(t, words[-1][1])
             for w in [*lows, outside[-1], *([m.group(1).lower()] if m else [])]:
                 if w[:1].isalpha():
@@ -685,7 +752,7 @@ def _context_counts(texts: Iterable[str | None], know: Knowledge) -> dict[tuple[
             for i in range(len(words) - 1):
                 if _name_length(shapes[i:], flags[i:]):
                     known = flags[i] or i + 2 < len(words) and shapes[i + 1] == "," and flags[i + 2]
-                    for key in _contexts(lows, i, outside):
+                    for key in _contexts(before, i):
                         n = out["c", key]
                         n[0] += known
                         n[1] += 1
@@ -751,7 +818,7 @@ def _silver(text: str, nodes: list[Node], know: Knowledge) -> list[str | None]:
             k = _name_length(shapes[i:], flags[i:])
             known = flags[i] or k == 3 and shapes[i + 1] == "," and flags[i + 2]
             if k and not known:
-                known = any(c in know.contexts for c in _contexts(lows, i, outside)) and lows[i] not in know.frequent and lows[i] not in know.contexts and lows[i + k - 1] not in know.frequent
+                known = any(c in know.contexts for c in _contexts([*outside, *lows], i)) and (shapes[i] == "initial" or lows[i] not in know.frequent and lows[i] not in know.contexts) and lows[i + k - 1] not in know.frequent
             if k and known:
                 for x in members[i : i + k]:
                     labels[x] = "I"
@@ -799,7 +866,7 @@ def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterati
         for members in at.values():
             told = [labels[i] for i in members]
             if None not in told:
-                X.append([nodes[i].features for i in members])
+                X.append([[*nodes[i].features, *nodes[i].structure] for i in members])
                 y.append(told)
 
     none: frozenset[str] = frozenset()
@@ -865,7 +932,7 @@ def _fit_skip(docs: list[tuple[list[Node], list[str | None]]], know: Knowledge,
 
 
 def _with_contexts(know: Knowledge, counts: dict[tuple[str, str], list[int]]) -> None:
-    know.contexts = _kept(counts, "c", CONTEXT_SHARE, FREQUENT_SHARE)
+    know.contexts, know._ends = _kept(counts, "c", CONTEXT_SHARE, FREQUENT_SHARE), None
     know.frequent = _kept(counts, "w", 0, FREQUENT_SHARE)
 
 
