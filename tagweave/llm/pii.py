@@ -155,11 +155,9 @@ class Node:
     start: int
     end: int
     text: str
-    features: list[str]
+    features: tuple[str, ...]
     zone: int
     kind: str
-    #: features shared by all runs of the same shapes
-    structure: tuple[str, ...] = ()
 
 
 @dataclass
@@ -432,54 +430,61 @@ def _outside(text: str, a: int) -> list[str]:
     return ["^", "^", "^", *_TOKEN.findall(_BLANKS.sub(" ", back) if "&" in back or "~" in back else back)][-3:]
 
 
-def _run_nodes(text: str, words: list[tuple[int, int, str]], zone: int, know: Knowledge, given: frozenset[str]) -> list[Node]:
-    n = len(words)
-    frequent, contexts = know.frequent, know.contexts
-    shapes = [_shape(w) for _, _, w in words]
+#: All that a run's features depend on: shapes, known given names, words (a
+#: rare one is #), contexts, the token before, the token behind, line breaks
+#: within, an elided article in front.
+Key = tuple[tuple[str, ...], tuple[bool, ...], tuple[str, ...], tuple[str, ...], str, str, tuple[int, ...], bool]
+
+
+def _run_key(text: str, words: list[tuple[int, int, str]], know: Knowledge, given: frozenset[str]) -> Key:
+    frequent, contexts, ends = know.frequent, know.contexts, know.ends
+    shapes = tuple([_shape(w) for _, _, w in words])
     lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
-    keys = [w if w in frequent else "#" for w in lows]
-    flags = ["1" if k else "0" for k in _known(words, given)]
-    outside = _outside(text, words[0][0])
+    before = [*_outside(text, words[0][0]), *lows]
+    known = []
+    for i in range(len(words)):
+        l1, found = before[i + 2], ""
+        if l1 in ends:
+            _, l2, l3 = _contexts(before, i)
+            found = l3 if l3 in contexts else l2 if l2 in contexts else l1 if l1 in contexts else ""
+        known.append(found)
     m = _AFTER.match(text, words[-1][1])
     after = m.group(1).lower() if m else "$"
-    after = after if after in frequent or not after[:1].isalpha() else "#"
+    front = before[2]
+    wrapped = tuple(i for i in range(1, len(words)) if "\n" in text[words[i - 1][1] : words[i][0]]) if "\n" in text[words[0][0] : words[-1][1]] else ()
+    return (
+        shapes, tuple(_known(words, given)), tuple([w if w in frequent or not w[:1].isalpha() else "#" for w in lows]), tuple(known),
+        front if front in frequent or not front[:1].isalpha() else "#", after if after in frequent or not after[:1].isalpha() else "#", wrapped, shapes[0] == "cap" and _ELIDED.match(words[0][2]) is not None,
+    )
+
+
+@lru_cache(maxsize=100_000)
+def _run_features(key: Key) -> tuple[tuple[str, ...], ...]:
+    """Features of each word of a run."""
+    shapes, known, keys, contexts, front, after, wrapped, elided = key
+    n = len(shapes)
+    flags = ["1" if k else "0" for k in known]
     out = []
-    before, ends = [*outside, *lows], know.ends
-    structure = _structure(tuple(shapes), tuple(flags))
-    for i, (a, b, w) in enumerate(words):
-        s, g = shapes[i], flags[i]
-        l1, known = before[i + 2], ""
-        if l1 in ends:
-            _, l2, l3 = _contexts(before, i)
-            known = l3 if l3 in contexts else l2 if l2 in contexts else l1 if l1 in contexts else ""
-        p = l1 if l1 in frequent or not l1[:1].isalpha() else "#"
-        nxt = keys[i + 1] if i + 1 < n else "$" + after
-        f = [f"p={p}|{s}|{g}", f"n={nxt}|{s}", f"c={known}"]
-        if keys[i] != "#":
-            f.append(f"w={keys[i]}")
-            f.append(f"wp={keys[i]}|{p}")
+    for i, s in enumerate(shapes):
+        g, p, nxt = flags[i], keys[i - 1] if i else front, keys[i + 1] if i + 1 < n else "$" + after
+        f = [
+            f"s={s}|{g}|{min(i, 2)}", f"sp={shapes[i - 1] if i else '^'}|{s}|{shapes[i + 1] if i + 1 < n else '$'}", f"g={flags[i - 1] if i else '^'}|{g}|{s}",
+            f"left={n - i if n - i < 4 else 4}|{s}|{min(i, 3)}", f"h={'/'.join(shapes[max(0, i - 3) : i])}|{s}", f"p={p}|{s}|{g}", f"n={nxt}|{s}", f"c={contexts[i]}",
+        ]
+        if keys[i][:1].isalpha():
+            f += [f"w={keys[i]}", f"wp={keys[i]}|{p}"]
         if i == 0:
             f.append(f"start={p}|{n if n < 4 else 4}|{nxt}")
-            if s == "cap" and _ELIDED.match(w):
+            if elided:
                 f.append("elided")
-        elif a - words[i - 1][1] != 1 or text[a - 1] == "\n":
-            if "\n" in text[words[i - 1][1] : a]:
-                f.append(f"wrapped={shapes[i - 1]}|{s}|{g}")
-        out.append(Node(a, b, w, f, zone, "word", structure[i]))
-    return out
+        elif i in wrapped:
+            f.append(f"wrapped={shapes[i - 1]}|{s}|{g}")
+        out.append(tuple(f))
+    return tuple(out)
 
 
-@lru_cache(maxsize=50_000)
-def _structure(shapes: tuple[str, ...], flags: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """Features of a run's words from shapes and known given names alone."""
-    n = len(shapes)
-    return [
-        (
-            f"s={s}|{flags[i]}|{min(i, 2)}", f"sp={shapes[i - 1] if i else '^'}|{s}|{shapes[i + 1] if i + 1 < n else '$'}", f"g={flags[i - 1] if i else '^'}|{flags[i]}|{s}",
-            f"left={n - i if n - i < 4 else 4}|{s}|{min(i, 3)}", f"h={'/'.join(shapes[max(0, i - 3) : i])}|{s}",
-        )
-        for i, s in enumerate(shapes)
-    ]
+def _run_nodes(words: list[tuple[int, int, str]], key: Key, zone: int) -> list[Node]:
+    return [Node(a, b, w, f, zone, "word") for (a, b, w), f in zip(words, _run_features(key))]
 
 
 def units(text: str, shapes: frozenset[str]) -> list[tuple[str, int, int]]:
@@ -502,14 +507,18 @@ def units(text: str, shapes: frozenset[str]) -> list[tuple[str, int, int]]:
     return out
 
 
+def _unit_nodes(text: str, found: list[tuple[str, int, int]]) -> list[Node]:
+    return [Node(a, b, text[a:b], tuple(_unit_features(kind, text, a, b)), i, kind) for i, (kind, a, b) in enumerate(found)]
+
+
 def zones(text: str, know: Knowledge, given: frozenset[str] | None = None) -> list[Node]:
     """All nodes of a text; ``given`` replaces the known given names."""
     given = know.given if given is None else given
     found = units(text, know.shapes)
-    nodes = [Node(a, b, text[a:b], _unit_features(kind, text, a, b), i, kind) for i, (kind, a, b) in enumerate(found)]
+    nodes = _unit_nodes(text, found)
     zone = len(nodes)
     for words in runs_of(text, [(a, b) for _, a, b in found]):
-        nodes += _run_nodes(text, words, zone, know, given)
+        nodes += _run_nodes(words, _run_key(text, words, know, given), zone)
         zone += 1
     return nodes
 
@@ -534,6 +543,11 @@ def _folded(w: str) -> str:
     return w[:-1].rstrip("'’") if w[-1:] == "s" else w
 
 
+def _locals(address: str) -> list[str]:
+    """Words of a mail address's local part, as names are folded."""
+    return [_folded(p) for p in re.findall(r"[^\W\d_]{4,}", re.split(_AT, address)[0])]
+
+
 def skip_edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
     """``(node, node, kind)`` with equal (0) or similar (1) surfaces, and mail
     addresses with names (2): a chain through each group, not all pairs."""
@@ -557,8 +571,7 @@ def skip_edges(nodes: list[Node]) -> list[tuple[int, int, int]]:
     edges += [(a, b, 1) for g in similar.values() if len(g) > 1 for a, b in zip(g, g[1:])]
     for i, n in enumerate(nodes):
         if n.kind == "email":
-            local = re.split(_AT, n.text)[0].lower()
-            edges += [(i, words[p], 2) for p in re.findall(r"[^\W\d_]{4,}", local) if p in words]
+            edges += [(i, words[p], 2) for p in _locals(n.text) if p in words]
     return edges
 
 
@@ -590,13 +603,12 @@ def _unary(nodes: list[Node], crf: LinearChainCRF, order: list[int]) -> np.ndarr
     get = crf.vocabulary.get
     rows: list[int] = []
     starts = []
-    shared: dict[tuple[str, ...], list[int]] = {(): []}
+    shared: dict[tuple[str, ...], list[int]] = {}
     for n in nodes:
         starts.append(len(rows))
-        rows += [k for f in n.features if (k := get(f)) is not None]
-        known = shared.get(n.structure)
+        known = shared.get(n.features)
         if known is None:
-            known = shared[n.structure] = [k for f in n.structure if (k := get(f)) is not None]
+            known = shared[n.features] = [k for f in n.features if (k := get(f)) is not None]
         rows += known
     starts.append(len(rows))
     at = np.array(starts)
@@ -607,7 +619,7 @@ def _unary(nodes: list[Node], crf: LinearChainCRF, order: list[int]) -> np.ndarr
     return out + np.array([_BARRED[n.kind] for n in nodes])
 
 
-def _graph(per_doc: list[list[Node]]) -> tuple[list[tuple[int, int]], list[int]]:
+def _graph(per_doc: list[list[Node]], skips: bool = True) -> tuple[list[tuple[int, int]], list[int]]:
     """Chain edges (kind 0) and skip edges (1 to 3) of a batch."""
     edges, kinds, at = [], [], 0
     for nodes in per_doc:
@@ -615,7 +627,7 @@ def _graph(per_doc: list[list[Node]]) -> tuple[list[tuple[int, int]], list[int]]
             if nodes[i].zone == nodes[i + 1].zone:
                 edges.append((at + i, at + i + 1))
                 kinds.append(0)
-        for i, j, k in skip_edges(nodes):
+        for i, j, k in skip_edges(nodes) if skips else ():
             edges.append((at + i, at + j))
             kinds.append(1 + k)
         at += len(nodes)
@@ -631,25 +643,78 @@ def label_documents(texts: list[str | None], know: Knowledge) -> list[list[tuple
         gc.enable()
 
 
+def _lone(runs: list[list[tuple[int, int, str]]], units_: list[Node]) -> list[bool]:
+    """Runs that no skip edge can reach: none of their words occurs, alike or
+    similar, in another place or in a mail address."""
+    keys = [[_folded(_plain(w)) for _, _, w in words if len(w) > 3 and not w[:1].islower()] for words in runs]
+    seen: dict[str, int] = {}
+    for ks in keys:
+        for k in ks:
+            seen[k] = seen.get(k, 0) + 1
+    mails = {p for n in units_ if n.kind == "email" for p in _locals(n.text)}
+    return [all(seen[k] == 1 and k not in mails for k in ks) for ks in keys]
+
+
 def _labelled(texts: list[str | None], know: Knowledge) -> list[list[tuple[int, int, str]]]:
-    per_doc = [zones(t, know) if t else [] for t in texts]
+    """Lone runs are chains of their own, whose labels follow from their key:
+    those are worked out once a key.  All others meet in one graph."""
+    memo = _memo(know)
+    per_doc: list[list[Node]] = []
+    lone: list[tuple[int, list[tuple[int, int, str]], Key]] = []
+    for d, text in enumerate(texts):
+        if not text:
+            per_doc.append([])
+            continue
+        found = units(text, know.shapes)
+        nodes = _unit_nodes(text, found)
+        runs = list(runs_of(text, [(a, b) for _, a, b in found]))
+        for words, alone in zip(runs, _lone(runs, nodes)):
+            key = _run_key(text, words, know, know.given)
+            if alone:
+                lone.append((d, words, key))
+            else:
+                nodes += _run_nodes(words, key, len(nodes))
+        per_doc.append(nodes)
+    new = [k for k in dict.fromkeys(k for _, _, k in lone) if k not in memo]
+    if new:
+        blank = [[_run_nodes([(0, 0, "")] * len(k[0]), k, 0)] for k in new]
+        for k, labels in zip(new, _infer([b[0] for b in blank], know, lonely=True)):
+            memo[k] = labels
+    out = [_pieces(nodes, labels) for nodes, labels in zip(per_doc, _infer(per_doc, know))]
+    for d, words, key in lone:
+        labels = memo[key]
+        if "B" in labels or "I" in labels:
+            out[d] = sorted([*out[d], *_pieces([Node(a, b, w, (), 0, "word") for a, b, w in words], labels)])
+    return out
+
+
+def _infer(per_doc: list[list[Node]], know: Knowledge, lonely: bool = False) -> list[list[str]]:
+    """Labels by belief propagation over chains and skip edges of all documents."""
     flat = [n for nodes in per_doc for n in nodes]
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not flat:
-        return out
+        return [[] for _ in per_doc]
     order = [know.crf.labels.index(k) for k in LABELS]
-    edges, kinds = _graph(per_doc)
+    edges, kinds = _graph(per_doc, not lonely)
     potentials = np.concatenate([know.crf.T[np.ix_(order, order)][None], _AGREE * np.array(know.skip)[:, None, None]])
     belief = propagate(_unary(flat, know.crf, order), np.array(edges, np.int64).reshape(-1, 2), np.array(kinds, np.int64), potentials)
-    best = belief.argmax(1).tolist()
-    at = 0
-    for d, nodes in enumerate(per_doc):
-        if nodes:
-            out[d] = _pieces(nodes, [LABELS[k] for k in best[at : at + len(nodes)]])
-            at += len(nodes)
+    best = [LABELS[k] for k in belief.argmax(1).tolist()]
+    out, at = [], 0
+    for nodes in per_doc:
+        out.append(best[at : at + len(nodes)])
+        at += len(nodes)
     return out
 
 
+_MEMO: dict = {}
+
+
+def _memo(know: Knowledge) -> dict[Key, list[str]]:
+    """Labels of lone runs, as long as the same knowledge is asked."""
+    if _MEMO.get("know") is not know or len(_MEMO["labels"]) > 200_000:
+        _MEMO.update(know=know, labels={})
+    return _MEMO["labels"]
+
+
 def _pieces(nodes: list[Node], labels: list[str]) -> list[tuple[int, int, str]]:
     out = []
     i = 0
@@ -710,7 +775,9 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
                 front = _FRONT.search(rest, max(0, m.start() - 7), m.start())
                 out["s", number_shape(rest[front.start() if front else m.start() : m.end()])][1] += 1
         for i, token in enumerate(tokens):
-            for part in (token or "").split("-"):
+            if not token or not token[0].isupper():
+                continue
+            for part in token.split("-") if "-" in token else (token,):
                 if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
                     n = out["g", part]
                     n[0] += i in first
@@ -752,7 +819,9 @@ def _contexts_counted(texts: list[str | None], know: Knowledge) -> dict[tuple[st
             for i in range(len(words) - 1):
                 if _name_length(shapes[i:], flags[i:]):
                     known = flags[i] or i + 2 < len(words) and shapes[i + 1] == "," and flags[i + 2]
-                    for key in _contexts(before, i):
+                    l1, l2, l3 = _contexts(before, i)
+                    # behind a sign the word before it tells more than behind a word
+                    for key in (l1, l2) if l1[:1].isalpha() else (l1, l2, l3):
                         n = out["c", key]
                         n[0] += known
                         n[1] += 1
@@ -866,7 +935,7 @@ def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterati
         for members in at.values():
             told = [labels[i] for i in members]
             if None not in told:
-                X.append([[*nodes[i].features, *nodes[i].structure] for i in members])
+                X.append([nodes[i].features for i in members])
                 y.append(told)
 
     none: frozenset[str] = frozenset()
@@ -941,9 +1010,23 @@ def _counted(df: DataFrame, count, share: dict[str, float], least: float) -> dic
     at most ``1 / least`` times the keys of one occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, str], list[int]] = {}
+
+        def summed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in total], pa.string()) for j in (0, 1)], *[pa.array([n[j] for n in total.values()], pa.int64()) for j in (0, 1)]], ["kind", "key", "hit", "n"])
+            total.clear()
+            return out
+
         for batch in batches:
-            got = count(batch)
-            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in got], pa.string()) for j in (0, 1)], *[pa.array([n[j] for n in got.values()], pa.int64()) for j in (0, 1)]], ["kind", "key", "hit", "n"])
+            for k, n in count(batch).items():
+                if (m := total.get(k)) is None:
+                    total[k] = n
+                else:
+                    m[0] += n[0]
+                    m[1] += n[1]
+            if len(total) > 300_000:
+                yield summed()
+        yield summed()
 
     sums = df.mapInArrow(run, "kind string, key string, hit long, n long").groupBy("kind", "key").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).persist()
     try:
