@@ -7,19 +7,13 @@ from tagweave.html.tokens import Options, detokenize, remove_markers, tokenize
 from tagweave.html.tree import clean, kill_tags, parse, rename_tags, serialize
 from tagweave.sources import pages as pg
 
-INLINE = """
-<html>
-  <head><!-- base href="http://a.example" --></head>
-  <body>
-    <p>
-      <ORG>Weaver
-      <b>Inc</ORG> has</b> an
-      <b>office</b> in <CITY>Montevideo</CITY>
-    </p>
-  </body>
-</html>"""
-TOKENS = ["Weaver", "Inc", "has", "an", "office", "in", "Montevideo"]
-TAGS = ["B-ORG", "I-ORG", "O", "O", "O", "O", "B-CITY"]
+INLINE = (
+    "<!doctype html><title>Ferry</title><h2>Timetable</h2>"
+    "<ul><li>Run by <ORG>Northwater <em>Lines</ORG> since 1990</em>, <b>daily</b></li>"
+    "<li>From <CITY>Port Selm</CITY></li></ul>"
+)
+TOKENS = ["Ferry", "Timetable", "Run", "by", "Northwater", "Lines", "since", "1990", "daily", "From", "Port", "Selm"]
+TAGS = ["O", "O", "O", "O", "B-ORG", "I-ORG", "O", "O", "O", "O", "B-CITY", "I-CITY"]
 
 
 @pytest.mark.parametrize(
@@ -56,7 +50,8 @@ def test_deep_and_unfinished_pages():
 def test_tokens_and_tags(load):
     tokens = tokenize(load())
     assert [t.token for t in tokens] == TOKENS and [t.tag for t in tokens] == TAGS
-    assert [(t.node.tag, t.parent.tag, t.is_tail) for t in tokens][:4] == [("p", "p", False), ("b", "b", False), ("b", "b", False), ("b", "p", True)]
+    places = {t.token: (t.node.tag, t.parent.tag, t.is_tail) for t in tokens}
+    assert places["Timetable"] == ("h2", "h2", False) and places["daily"] == ("b", "b", False) and places["Run"] == ("li", "li", False) and places["Lines"] == ("em", "em", False)
 
 
 def test_ignored_elements_and_options():
@@ -66,7 +61,7 @@ def test_ignored_elements_and_options():
     assert [t.token for t in kept] == ["after", "hello", "x", "tail", "head"] and kept[-1].node.tag == "h3"
     assert [t.token for t in tokenize(parse("<p>a <i>b</i> c"), Options(kill={"i"}))] == ["a", "b", "c"]
     limited = tokenize(load_inline(INLINE, {"ORG", "CITY"}), Options(tagset={"CITY"}))
-    assert [t.tag for t in limited] == ["O"] * 6 + ["B-CITY"]
+    assert [t.tag for t in limited] == ["O"] * 10 + ["B-CITY", "I-CITY"]
     with pytest.raises(ValueError):
         tokenize(parse("<p>__START_A__ x __END_B__"))
     with pytest.raises(ValueError):
@@ -114,9 +109,9 @@ def test_titles_base_and_colors():
 
 
 def test_split_spans_and_unknown_types():
-    s = '<p><span wa-id="8" wa-type="ORG">Wea</span><span wa-id="8" wa-type="ORG">ver</span> <span wa-id="9" wa-type="X"><b>has</b></span> it<wa-color type="ORG"></wa-color>'
-    assert [(t.token, t.tag) for t in tokenize(load_annotated(s, {"ORG"}))] == [("Weaver", "B-ORG"), ("has", "O"), ("it", "O")]
-    assert ("has", "O") in [(t.token, t.tag) for t in tokenize(load_annotated(s))]
+    s = '<p><span wa-id="8" wa-type="ORG">North</span><span wa-id="8" wa-type="ORG">water</span> <span wa-id="9" wa-type="X"><b>runs</b></span> it<wa-color type="ORG"></wa-color>'
+    assert [(t.token, t.tag) for t in tokenize(load_annotated(s, {"ORG"}))] == [("Northwater", "B-ORG"), ("runs", "O"), ("it", "O")]
+    assert ("runs", "O") in [(t.token, t.tag) for t in tokenize(load_annotated(s))]
 
 
 def test_cleaning_and_surgery():
@@ -147,14 +142,14 @@ def test_page_operators(spark, tmp_path):
     load = pg.loader("inline", {"ORG", "CITY"})
     t = pg.page_tokens(df, "page_id", "html", load=load)
     one = t.where("doc_id = 1").collect()
-    assert len(one) == 14 and sorted({(r.pos, r.token, r.tag) for r in one}) == [(i, *x) for i, x in enumerate(zip(TOKENS, TAGS))]
+    assert len(one) == 2 * len(TOKENS) and sorted({(r.pos, r.token, r.tag) for r in one}) == [(i, *x) for i, x in enumerate(zip(TOKENS, TAGS))]
     assert t.where("doc_id = 4").count() == 20_000 and t.where("doc_id in (2, 3)").count() == 0 and pg.page_tokens(df.limit(0), "page_id", "html").count() == 0
     n = pg.page_nodes(df.where("page_id = 3"), "page_id", "html").orderBy("node_id").collect()
     assert [(r.tag, r.parent_id, r.depth, r.ancestors) for r in n] == [("html", None, 0, ["html"]), ("body", 0, 1, ["html", "body"])]
-    plain = spark.createDataFrame([(1, "<p>Weaver Inc in Bern"), (2, "<p>none")], "page_id long, html string")
+    plain = spark.createDataFrame([(1, "<p>Northwater Lines in Bern"), (2, "<p>none")], "page_id long, html string")
     tags = spark.createDataFrame([(1, 0, "B-ORG"), (1, 1, "I-ORG"), (1, 2, "O"), (1, 3, "B-CITY")], "doc_id long, pos long, tag string")
     out = {r.doc_id: r.html for r in pg.annotate_pages(plain, tags, "page_id", "html").collect()}
-    assert [(t.token, t.tag) for t in tokenize(load_annotated(out[1]))] == [("Weaver", "B-ORG"), ("Inc", "I-ORG"), ("in", "O"), ("Bern", "B-CITY")] and "<span" not in out[2]
+    assert [(t.token, t.tag) for t in tokenize(load_annotated(out[1]))] == [("Northwater", "B-ORG"), ("Lines", "I-ORG"), ("in", "O"), ("Bern", "B-CITY")] and "<span" not in out[2]
     gate = pg.convert_inline(df.where("page_id = 1").limit(1), "page_id", "html", {"ORG", "CITY"}).first().html
     pair = spark.createDataFrame([(1, INLINE, gate)], "doc_id long, a string, b string")
     assert pg.compare_pages(pair, "doc_id", "a", "b", load, pg.loader("annotated")).count() == 0

@@ -10,11 +10,11 @@ from tagweave.functions.text import default_tokens, label_key, natural_key, smar
 from tagweave.operators.tokens import block_tokens, first_blocks, segment, text_tokens, text_tokens_positions
 
 GOLDEN = {
-    "Good muffins cost $3.88\nin New York.  Email: muffins@gmail.com": ["Good", "muffins", "cost", "$", "3.88", "in", "New", "York.", "Email:", "muffins@gmail.com"],
-    "Shelbourne Road,": ["Shelbourne", "Road", ","],
-    "population of 100,000": ["population", "of", "100,000"],
-    "Hello|World": ["Hello", "|", "World"],
-    '"We beat some pretty good teams to get here," Slocum said.': ["``", "We", "beat", "some", "pretty", "good", "teams", "to", "get", "here", ",", "''", "Slocum", "said", "."],
+    "Two tickets are £7.25\nat Selm Quay.  Mail: crew@ferry.example": ["Two", "tickets", "are", "£", "7.25", "at", "Selm", "Quay.", "Mail:", "crew@ferry.example"],
+    "Lantern Mews,": ["Lantern", "Mews", ","],
+    "some 2,450 seats": ["some", "2,450", "seats"],
+    "map|list": ["map", "|", "list"],
+    '"The last boat leaves at dusk," Mira wrote.': ["``", "The", "last", "boat", "leaves", "at", "dusk", ",", "''", "Mira", "wrote", "."],
     "I'm a \"quoted\" don't": ["I'm", "a", "``", "quoted", "''", "don't"],
     "Well, so… then... and -- done.\n": ["Well", ",", "so", "...", "then", "...", "and", "--", "done", "."],
     "(A) [b] {c} <d>": ["(", "A", ")", "[", "b", "]", "{", "c", "}", "<", "d", ">"],
@@ -96,7 +96,7 @@ def test_block_tokens(spark):
 def test_small_expressions(spark):
     one = spark.range(1)
     f = lambda c: one.select(c.alias("x")).first().x
-    assert f(smart_join(F.array(*map(F.lit, "John , Smith ( Mr . ) : hi !".split())))) == "John, Smith (Mr.): hi!"
+    assert f(smart_join(F.array(*map(F.lit, "Selm , Quay ( No . 3 ) : open ?".split())))) == "Selm, Quay (No. 3): open?"
     assert f(substrings(F.lit("abc"), 1, 100)) == ["a", "ab", "abc", "b", "bc", "c"]
     assert f(substrings(F.lit("abc"), 1, 2)) == ["a", "ab", "b", "bc", "c"]
     assert f(substrings(F.lit("abc"), 1, 3, "$")) == ["$a", "a", "$ab", "ab", "$abc", "abc", "abc$", "b", "bc", "bc$", "c", "c$"]
