@@ -155,12 +155,15 @@ def block_length(block_len: Column) -> dict[str, Column]:
     return {"block_length": F.when(block_len == 1, "1").when(block_len <= 10, "short").when(block_len <= 20, "medium").otherwise("large")}
 
 
-#: Presets: the general example set and the contact-page set.
-EXAMPLE_FEATURES: list[Builder] = [token_identity, token_lower, token_shape, token_endswith_dot, token_endswith_colon, token_has_copyright, number_pattern, prefixes_and_suffixes, looks_like_year, looks_like_month, looks_like_time, looks_like_weekday, looks_like_email, looks_like_street_part]
-CONTACT_FEATURES: list[Builder] = [bias, *EXAMPLE_FEATURES, looks_like_range]
-# Entity types.
-ENTITY_TYPES = "ORG PER FUNC TEL FAX EMAIL HOURS SUBJ STREET CITY STATE ZIPCODE COUNTRY".split()
-CONTACT_TYPES = "ORG SUBJ STREET CITY STATE ZIPCODE COUNTRY TEL FAX EMAIL".split()
+# The token features of the example bundle; the contact bundle has
+# the same.  Features of the block (parent tag, inside a and strong, borders,
+# length) come with the token table, see the pipeline.
+EXAMPLE_FEATURES: list[Builder] = [bias, token_identity, token_lower, token_shape, token_endswith_colon, token_endswith_dot, token_has_copyright, number_pattern, prefixes_and_suffixes, looks_like_year, looks_like_month, looks_like_email, looks_like_street_part]
+CONTACT_FEATURES: list[Builder] = [*EXAMPLE_FEATURES]
+# Entity types of the example, of contacts and of addresses.
+ENTITY_TYPES = "ORG TEL FAX HOURS STREET CITY STATE ZIPCODE COUNTRY EMAIL PER FUNC SUBJ".split()
+CONTACT_TYPES = "ORG TEL FAX HOURS STREET CITY STATE ZIPCODE COUNTRY SUBJ".split()
+ADDRESS_TYPES = "STREET CITY STATE ZIPCODE COUNTRY".split()
 
 
 def apply(builders: list[Builder], token: Column | str) -> list[Column]:

@@ -135,8 +135,9 @@ def forward_backward(S: np.ndarray, mask: np.ndarray, T: np.ndarray) -> tuple[np
 
 
 class LinearChainCRF:
-    def __init__(self, c1: float = 0.5, c2: float = 0.05, max_iterations: int = 50, tolerance: float = 1e-5) -> None:
-        self.c1, self.c2, self.max_iterations, self.tolerance = c1, c2, max_iterations, tolerance
+    def __init__(self, c1: float = 0.5, c2: float = 0.05, max_iterations: int = 50, tolerance: float = 1e-5, pairs: bool = True) -> None:
+        """``pairs``: whether pairs of labels have weights."""
+        self.c1, self.c2, self.max_iterations, self.tolerance, self.pairs = c1, c2, max_iterations, tolerance, pairs
         self.vocabulary: dict[str, int] = {}
         self.labels: list[str] = []
         self.history: list[float] = []
@@ -173,7 +174,7 @@ class LinearChainCRF:
                 expected[where[mask]] = marginal[mask]
                 expected_t += pairs
             grad = data.expectation(expected, F)
-            g = np.r_[(grad - empirical).ravel(), (expected_t - empirical_t).ravel()]
+            g = np.r_[(grad - empirical).ravel(), (expected_t - empirical_t).ravel() * self.pairs]
             return value + self.c2 * float(theta @ theta), g + 2 * self.c2 * theta
 
         theta = minimise(objective, np.zeros(F * L + L * L), self.c1, self.max_iterations, self.tolerance, self.history)

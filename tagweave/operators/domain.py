@@ -1,8 +1,8 @@
 """The domain a page belongs to.
 
 The registered domain is the longest known public suffix plus one label.  The
-suffix list is a parameter; the default is small and fixed, as the public list
-isn't on board.  A page's domain is that of its ``base`` element (also a
+suffix list is a parameter; by default every last label is a suffix, and so are
+the listed ones of several labels, as the public list isn't on board.  A page's domain is that of its ``base`` element (also a
 commented one in the head), else the most frequent domain of its links that
 isn't blacklisted, ties going to the first in alphabetical order, else ''.
 
@@ -15,8 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public suffixes of the fixtures and of common sites.
-SUFFIXES = ["com", "org", "net", "edu", "gov", "info", "biz", "io", "de", "nl", "fr", "es", "it", "eu", "uk", "co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "example", "co.example", "test", "invalid", "local"]
+# Common public suffixes of two labels.
+SUFFIXES = [
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "org.nz", "co.jp", "or.jp", "ne.jp", "ac.jp", "com.br", "org.br", "com.mx", "com.ar", "com.tr", "com.cn", "com.hk", "com.sg", "com.tw",
+    "co.in", "co.il", "co.kr", "co.za", "com.pl", "net.pl", "co.at", "or.at", "ac.at", "com.es", "org.es", "com.pt", "com.ua", "com.ru", "co.example",
+]
 # Domains many pages link to.
 BLACKLIST = ["google.com", "twitter.com", "facebook.com", "youtube.com", "fonts.com", "googleapis.com", "fonts.net", "addthis.com", "flickr.com", "paypal.com", "pinterest.com", "linkedin.com"]
 
@@ -28,15 +31,17 @@ def host(url: Column) -> Column:
 
 def registered_domain(url: Column, suffixes: list[str] | None = None) -> Column:
     """The registered domain of a URL or '' (an expression; no join)."""
-    labels = F.split(host(url), r"\.")
+    name = host(url)
+    labels = F.split(name, r"\.")
     n = F.size(labels)
     known = F.array(*[F.lit(s) for s in (SUFFIXES if suffixes is None else suffixes)])
     deepest = max((s.count(".") + 1 for s in (SUFFIXES if suffixes is None else suffixes)), default=1)
-    out = F.lit("")
+    numeric = name.rlike(r"\A[0-9.]+\z") | name.startswith("[")
+    out = F.when((n > 1) & ~numeric, F.array_join(F.slice(labels, n - 1, 2), ".")).otherwise("") if suffixes is None else F.lit("")
     for k in range(1, deepest + 1):  # the longest suffix wins
         tail = F.when(n > k, F.array_join(F.slice(labels, n - k + 1, k), "."))
         out = F.when(F.array_contains(known, tail), F.array_join(F.slice(labels, n - k, k + 1), ".")).otherwise(out)
-    return F.when(url.isNull() | F.array_contains(known, host(url)), F.lit("")).otherwise(out)
+    return F.when(url.isNull() | F.array_contains(known, name), F.lit("")).otherwise(out)
 
 
 def guess_domain(links: DataFrame, doc_id: str, url: str, blacklist: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ for case-insensitive search).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,57 +56,66 @@ def find_matches(seqs: DataFrame, lexicon: DataFrame, name: str = "name", length
     return longest.select("doc_id", "start", F.col("m.end").alias("end"), F.col("m.phrase").alias("phrase"))
 
 
-def best_ranges(matches: DataFrame) -> DataFrame:
-    """``(doc_id, start, end, phrase)`` without overlaps: longest first, ties by
-    earliest start, each kept if it touches none kept before."""
+#: Sorts ``(start, end, phrase)``; the first in order is preferred.
+Order = Callable[[tuple[int, int, str]], object]
+
+
+def longest_first(m: tuple[int, int, str]) -> object:
+    return m[0] - m[1], m[0]
+
+
+def without_overlaps(found: list[tuple[int, int, str]], order: Order = longest_first) -> list[tuple[int, int, str]]:
+    """Ranges in order of preference, each kept if it touches none kept before."""
+    kept: list[tuple[int, int, str]] = []
+    taken = bytearray(max((m[1] for m in found), default=0))
+    for a, b, phrase in sorted(found, key=order):
+        # with the longest first both ends suffice: what is kept is never shorter
+        if not (taken[a] or taken[b - 1] or order is not longest_first and any(taken[a:b])):
+            taken[a:b] = b"\1" * (b - a)
+            kept.append((a, b, phrase))
+    return kept
+
+
+def best_ranges(matches: DataFrame, order: Order = longest_first) -> DataFrame:
+    """``(doc_id, start, end, phrase)`` without overlaps, by :func:`without_overlaps`."""
     lists = matches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "phrase")).alias("m"))
     schema = T.StructType([matches.schema["doc_id"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kept = [], []
-            for i, found in enumerate(batch.column(1).to_pylist()):
-                taken = bytearray(max((m["end"] for m in found), default=0))
-                for m in sorted(found, key=lambda m: (m["start"] - m["end"], m["start"])):
-                    # both ends suffice: what is kept is never shorter
-                    if not (taken[m["start"]] or taken[m["end"] - 1]):
-                        taken[m["start"] : m["end"]] = b"\1" * (m["end"] - m["start"])
-                        rows.append(i)
-                        kept.append(m)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array([m[k] for m in kept], t) for k, t in (("start", pa.int32()), ("end", pa.int32()), ("phrase", pa.string()))]], schema.names)
+            rows = [(i, *m) for i, found in enumerate(batch.column(1).to_pylist()) for m in without_overlaps([(x["start"], x["end"], x["phrase"]) for x in found], order)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()))]], schema.names)
 
     return lists.mapInArrow(run, schema)
 
 
-def scan(tokens: list[str], starts: dict[str, list[tuple[int, str]]]) -> list[tuple[int, int, str]]:
+def scan(tokens: list[str], starts: dict[str, list[tuple[int, str]]], order: Order = longest_first) -> list[tuple[int, int, str]]:
     """``(start, end, phrase)`` of one document: at each start the longest
-    phrase, overlaps resolved longest first, ties by earliest start."""
+    phrase, overlaps resolved by ``order``."""
     found = []
     for i, t in enumerate(tokens):
         for n, phrase in starts.get(t, ()):
             if n == 1 or " ".join(tokens[i : i + n]) == phrase:
                 found.append((i, i + n, phrase))
                 break
-    kept, taken = [], bytearray(len(tokens))
-    for a, b, phrase in sorted(found, key=lambda m: (m[0] - m[1], m[0])):
-        # both ends suffice: what is kept is never shorter
-        if not (taken[a] or taken[b - 1]):
-            taken[a:b] = b"\1" * (b - a)
-            kept.append((a, b, phrase))
-    return kept
+    return without_overlaps(found, order)
 
 
-def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", token: str = "token", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", token: str = "token", broadcast_bytes: int = BROADCAST_BYTES, order: Order = longest_first, required: bool = False) -> DataFrame:
     """Best ranges ``(doc_id, start, end, phrase)`` of a token table, or of
     sequences ``(doc_id, tokens)`` as they come from texts.
 
     A lexicon counted below ``broadcast_bytes`` goes to the documents: one
     narrow pass over sequences, first words deciding where to look.  A larger
-    one is joined (:func:`find_matches`)."""
+    one is joined (:func:`find_matches`).  ``order`` says which of overlapping
+    matches is preferred; with ``required`` an empty lexicon is a ValueError,
+    else nothing matches."""
     seqs = tokens if "tokens" in tokens.columns else sequences(tokens, token)
     words = lexicon.select(F.col(name).alias("phrase")).where(F.col(name).isNotNull()).distinct()
+    if required and words.isEmpty():
+        raise ValueError("the lexicon is empty")
     if not fits_broadcast(words, broadcast_bytes):
-        return best_ranges(find_matches(seqs, lexicon, name))
+        return best_ranges(find_matches(seqs, lexicon, name), order)
     starts: dict[str, list[tuple[int, str]]] = {}
     for (phrase,) in words.collect():
         parts = phrase.split(" ")
@@ -116,7 +125,7 @@ def longest_matches(tokens: DataFrame, lexicon: DataFrame, name: str = "name", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in scan(t or [], shared.value)]
+            rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in scan(t or [], shared.value, order)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()))]], schema.names)
 
     return seqs.select("doc_id", "tokens").mapInArrow(run, schema)

@@ -247,7 +247,8 @@ def df_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TOK}, {_LONG}, k AS (SELECT name, value FROM lf GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3) SELECT name, count(*) AS n_cells, count(DISTINCT value) AS n_values FROM lf JOIN k USING (name, value) GROUP BY 1")
 def df_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.prune(_long(spark, sf), 3).groupBy("name").agg(F.count("*").alias("n_cells"), F.countDistinct("value").alias("n_values"))
+    kept = patterns.pair_counts(_long(spark, sf)).where("df >= 3")
+    return kept.groupBy("name").agg(F.sum("cells").alias("n_cells"), F.count("*").alias("n_values"))
 
 
 @query(f"WITH {_TOK}, {_LONG} SELECT DISTINCT name FROM lf")
@@ -522,7 +523,7 @@ def merge_top_n(spark: SparkSession, sf: str) -> DataFrame:
 
 _HOST = r"lower(regexp_replace(regexp_extract({0}, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)', 1), '\.+$', ''))"
 _SUF = "[" + ", ".join(f"'{s}'" for s in domain.SUFFIXES) + "]"
-_DOM = f"""CASE WHEN list_contains({_SUF}, array_to_string(l, '.')) THEN '' WHEN len(l) > 2 AND list_contains({_SUF}, array_to_string(l[len(l)-1:], '.')) THEN array_to_string(l[len(l)-2:], '.') WHEN len(l) > 1 AND list_contains({_SUF}, l[len(l)]) THEN array_to_string(l[len(l)-1:], '.') ELSE '' END"""
+_DOM = f"""CASE WHEN list_contains({_SUF}, array_to_string(l, '.')) THEN '' WHEN len(l) > 2 AND list_contains({_SUF}, array_to_string(l[len(l)-1:], '.')) THEN array_to_string(l[len(l)-2:], '.') WHEN len(l) > 1 AND NOT regexp_full_match(array_to_string(l, '.'), '[0-9.]+') THEN array_to_string(l[len(l)-1:], '.') ELSE '' END"""
 
 
 @query(f"WITH h AS (SELECT page_id, string_split({_HOST.format('url')}, '.') AS l FROM pages WHERE url IS NOT NULL) SELECT page_id, {_DOM} AS domain FROM h")

@@ -27,7 +27,8 @@ def read_geonames(spark: SparkSession, path: str) -> DataFrame:
 
 def read_geonames_zipped(spark: SparkSession, path: str, inner: str | None = None) -> DataFrame:
     """Zip archives, one task each; the inner file defaults to the archive's
-    name with ``.txt``.  Lines stream out of the archive."""
+    name with ``.txt``.  Lines stream out of the archive; those that don't parse
+    come apart in ``_bad``, see :func:`cut_lines`."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,9 +43,16 @@ def read_geonames_zipped(spark: SparkSession, path: str, inner: str | None = Non
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["raw_line"])
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "raw_line string")
-    fields = F.split("raw_line", "\t", -1)
-    cast = [F.expr(f"nullif(try_element_at(split(raw_line, '\\t', -1), {i + 1}), '')").try_cast(f.dataType).alias(f.name) for i, f in enumerate(GEONAMES)]
-    return raw.where(F.size(fields) == len(GEONAMES)).select(*cast)
+    return cut_lines(raw)
+
+
+def cut_lines(raw: DataFrame, line: str = "raw_line") -> DataFrame:
+    """Lines of the dump, quotes being plain characters -> typed rows; ``_bad``
+    holds a line that hasn't as many fields as columns (null for others)."""
+    fields = F.split(line, "\t", -1)
+    whole = F.size(fields) == len(GEONAMES)
+    cast = [F.when(whole, F.nullif(F.try_element_at(fields, F.lit(i + 1)), F.lit(""))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(GEONAMES)]
+    return raw.select(*cast, F.when(~whole, F.col(line)).alias("_bad"))
 
 
 def exploded_names(places: DataFrame, *carry: str) -> DataFrame:
@@ -70,6 +78,15 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def contact_lexicons(places: DataFrame, countries: DataFrame) -> dict[str, DataFrame]:
+    """The lexicons of the contact bundle by feature name, from a gazetteer and
+    a list of country names (``name``)."""
+    towns = places.where("feature_class = 'P'")
+    of = lambda df: exploded_names(df).distinct()
+    # The least populations and the code of first-level regions.
+    return {"COUNTRY": countries.select("name").distinct(), **{f"CITY-{n}": of(towns.where(F.col("population") >= n)) for n in (1000, 5000, 15000)}, "ADM1": of(places.where("feature_code = 'ADM1'"))}
+
+
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
     """One phrase per line -> distinct ``name``."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''").distinct()
