@@ -11,6 +11,7 @@ from tagweave.functions.text import default_tokens, label_key, natural_key, smar
 from tagweave.operators import chains, cluster, domain, iob, markers, metrics, patterns, phrases, splits
 from tagweave.operators.tokens import block_tokens, first_blocks, text_sequences, text_tokens, text_tokens_positions
 from tagweave.session import table
+from tagweave.sources import gazetteer
 from tagweave.sources.gazetteer import build_lexicon, exploded_names
 
 # ----------------------------------------------------------------------------- SQL pieces
@@ -417,6 +418,35 @@ def gaz_bio_flags(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("doc_id", "pos", "token", F.coalesce("`B-PLACE`", no).alias("B-PLACE"), F.coalesce("`I-PLACE`", no).alias("I-PLACE"))
 
 
+_LOWER = _GREEDY.replace("list(token ORDER BY pos)", "list(lower(token) ORDER BY pos)").replace("FROM sp JOIN lex ON phrase = name", "FROM sp JOIN (SELECT DISTINCT lower(name) AS name FROM lex) AS low ON phrase = low.name")
+
+
+@query(f"WITH {_TOK}, {_LOWER} SELECT doc_id, count(*) AS n_places, CAST(sum(e - s) AS BIGINT) AS n_tokens FROM kept GROUP BY 1")
+def gaz_lower(spark: SparkSession, sf: str) -> DataFrame:
+    """Places and their tokens in each document, case disregarded."""
+    f = phrases.phrase_flags(_tok(spark, sf), _lexicon(spark, sf), "PLACE", lower=True).where("PLACE")
+    return f.groupBy("doc_id").agg(F.count("`B-PLACE`").alias("n_places"), F.count("*").alias("n_tokens"))
+
+
+_CUT = "string_split(raw_line, chr(9))"
+
+
+@query(f"SELECT raw_id, CASE WHEN regexp_full_match(x[1], '\\s*[+-]?[0-9]+\\s*') THEN TRY_CAST(trim(x[1]) AS BIGINT) END AS geonameid, nullif(x[2], '') AS main_name, nullif(x[9], '') AS country_code, CASE WHEN regexp_full_match(x[15], '\\s*[+-]?[0-9]+\\s*') THEN TRY_CAST(trim(x[15]) AS BIGINT) END AS population, CASE WHEN n <> 19 THEN raw_line END AS bad FROM (SELECT raw_id, raw_line, len({_CUT}) AS n, CASE WHEN len({_CUT}) = 19 THEN {_CUT} ELSE [] END AS x FROM geonames_raw)")
+def gazetteer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the dump with quotes as plain characters, bad ones apart."""
+    raw = table(spark, sf, "geonames_raw").select("raw_id", "raw_line")
+    return gazetteer.cut_lines(raw, carry=("raw_id",)).select("raw_id", "geonameid", "main_name", "country_code", "population", F.col("_bad").alias("bad"))
+
+
+@query(f"WITH {_BLK}, n AS (SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id) - pos AS back, token, coalesce(tag, 'O') AS tag FROM bt) SELECT doc_id, back AS pos, token, tag FROM n WHERE pos % 2 = 0")
+def iob_from_indices(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second tagged token, gathered by its index in reverse order."""
+    t = _bt(spark, sf).withColumn("tag", F.coalesce("tag", F.lit("O")))
+    last = t.groupBy("doc_id").agg(F.max("pos").alias("last"))
+    picked = t.where("pos % 2 = 0").join(last, "doc_id").select("doc_id", (F.col("last") - F.col("pos")).alias("out_pos"), "pos", "tag")
+    return iob.from_indices(picked, iob.split(t)[0])
+
+
 _NAMES = "list_distinct(list_filter(string_split(concat_ws(',', main_name, asciiname, alternatenames), ','), lambda n: n <> ''))"
 
 
@@ -538,6 +568,21 @@ def domain_mode(spark: SparkSession, sf: str) -> DataFrame:
     return domain.guess_domain(links, "lang", "url")
 
 
+_BUILT = f"""WITH h AS (SELECT doc_id, doc_id % 5 AS k, string_split({_HOST.format('url')}, '.') AS l FROM documents WHERE url IS NOT NULL), d AS (SELECT doc_id, k, {_DOM} AS domain FROM h)"""
+
+
+@query(_BUILT + " SELECT doc_id, CASE WHEN k IN (3, 4) THEN '' ELSE domain END AS domain FROM d")
+def domain_built(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages built around a URL: a base element, a commented base in the head,
+    most links among blacklisted ones; links to blacklisted sites only; none."""
+    url, k = F.col("url"), F.col("doc_id") % 5
+    black = F.concat(*[F.lit(f'<a href="http://www.{d}/x">x</a>') for d in domain.BLACKLIST * 2])
+    head = F.when(k == 0, F.concat(F.lit('<base href="'), url, F.lit('">'))).when(k == 1, F.concat(F.lit('<!-- base href="'), url, F.lit('" -->'))).otherwise("")
+    body = F.when(k == 2, F.concat(black, F.lit("<a href='"), url, F.lit("'>y</a>"))).when(k == 4, "<p>x</p>").otherwise(black)
+    pages = table(spark, sf, "documents").where("url IS NOT NULL").select("doc_id", F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), body, F.lit("</body></html>")).alias("html"))
+    return domain.page_domain(pages, "doc_id", "html")
+
+
 @query(r"SELECT page_id, '' AS domain FROM pages")
 def domain_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages link within their site only and have no base: nothing to go by."""

@@ -46,13 +46,13 @@ def read_geonames_zipped(spark: SparkSession, path: str, inner: str | None = Non
     return cut_lines(raw)
 
 
-def cut_lines(raw: DataFrame, line: str = "raw_line") -> DataFrame:
+def cut_lines(raw: DataFrame, line: str = "raw_line", carry: tuple[str, ...] = ()) -> DataFrame:
     """Lines of the dump, quotes being plain characters -> typed rows; ``_bad``
     holds a line that hasn't as many fields as columns (null for others)."""
     fields = F.split(line, "\t", -1)
     whole = F.size(fields) == len(GEONAMES)
     cast = [F.when(whole, F.nullif(F.try_element_at(fields, F.lit(i + 1)), F.lit(""))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(GEONAMES)]
-    return raw.select(*cast, F.when(~whole, F.col(line)).alias("_bad"))
+    return raw.select(*carry, *cast, F.when(~whole, F.col(line)).alias("_bad"))
 
 
 def exploded_names(places: DataFrame, *carry: str) -> DataFrame:
