@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +25,8 @@ def ship_package(sc: SparkContext) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
-    path = os.path.join(tempfile.mkdtemp(prefix="tagweave-py-"), "tagweave.zip")
+    folder = tempfile.mkdtemp(prefix="tagweave-py-")  # on the driver, which serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tagweave.zip")
     Path(path).write_bytes(data.getvalue())
     sc.addPyFile(path)
