@@ -39,7 +39,7 @@ import html
 import json
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -283,11 +283,13 @@ def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]
         if a < done:
             continue
         before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+        if b - a < 3 and (after == ":" or before == ":" or before == "–"):
+            continue  # times of day
         if b - a < 6 and (before == "" or before in " \xa0\n;~(>*[{") and (street := _street(text, a, b)):
             done = street[1]
             yield "street", *street
             continue
-        if "A" <= before <= "Z" or "A" <= after <= "Z" or after and after in "- " and "A" <= text[b + 1 : b + 2] <= "Z" or before and before in " \xa0;" and _PREFIX.search(text, max(0, a - 9), a):
+        if "A" <= before <= "Z" or "A" <= after <= "Z" or after and after in "- " and "A" <= text[b + 1 : b + 2] <= "Z" or before and before in " \xa0;" and ("A" <= text[a - 2 : a - 1] <= "Z" or before == ";") and _PREFIX.search(text, max(0, a - 9), a):
             if code := _code(text, a, b):
                 done = code[1]
                 yield "number", *code
@@ -295,7 +297,7 @@ def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]
         s = m.group()
         if len(s) < 4:
             continue
-        if front := _FRONT.search(text, max(0, a - 7), a):
+        if before and before in "+( \xa0;" and (front := _FRONT.search(text, max(0, a - 7), a)):
             a = front.start()
             s = text[a:b]
         cut = max(s.rfind(" "), s.rfind("\n"), s.rfind("\xa0"), s.rfind(";"), s.rfind("~"))
@@ -393,7 +395,12 @@ def runs_of(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int,
             continue
         while k < len(taken) and taken[k][1] <= a:
             k += 1
+        plain = (k == len(taken) or taken[k][0] >= b) and "\n" not in text[a:b]
         for words in _words_of(text, a, b):
+            if plain:
+                if len(words) > 1:
+                    yield words
+                continue
             parts: list[list[tuple[int, int, str]]] = [[]]
             for w in words:
                 if any(x < w[1] and w[0] < y for x, y in taken[k : k + 8]):
@@ -423,7 +430,7 @@ def _contexts(before: list[str], i: int) -> tuple[str, str, str]:
 
 def _outside(text: str, a: int) -> list[str]:
     """Three tokens before a place; a paragraph's or text's beginning is ^."""
-    back = text[max(0, a - 60) : a].lower().replace("\xa0", " ")
+    back = text[max(0, a - 40) : a].lower().replace("\xa0", " ")
     cut = back.rfind("\n\n")
     if cut >= 0:
         back = back[cut + 2 :]
@@ -539,7 +546,7 @@ def _folded(w: str) -> str:
     """Case, accents and a genitive s aside."""
     w = w.lower()
     if not w.isascii():
-        w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+        w = unicodedata.normalize("NFD", w).encode("ascii", "ignore").decode() or w
     return w[:-1].rstrip("'’") if w[-1:] == "s" else w
 
 
@@ -799,34 +806,39 @@ def _context_counts(texts: list[str | None], know: Knowledge) -> dict[tuple[str,
 
 
 def _contexts_counted(texts: list[str | None], know: Knowledge) -> dict[tuple[str, str], list[int]]:
-    """Of all texts: contexts (``c``), with a known given name behind and in
-    all; words in and beside runs (``w``); ``("", kind)`` the sums."""
-    out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    words_: list[str] = []
+    contexts: list[str] = []
+    hits: list[str] = []
+    n_runs = n_known = 0
     for t in texts:
         if not t:
             continue
         for words in runs_of(t, []):
-            shapes = [_shape(w) for _, _, w in words]
-            lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
-            flags = _known(words, know.given)
-            outside = _outside(t, words[0][0])
-            before = [*outside, *lows]
-            m = _AFTER.match(t, words[-1][1])
-            for w in [*lows, outside[-1], *([m.group(1).lower()] if m else [])]:
-                if w[:1].isalpha():
-                    out["w", w][1] += 1
-            out["w", ""][0] += 1
-            for i in range(len(words) - 1):
-                if _name_length(shapes[i:], flags[i:]):
-                    known = flags[i] or i + 2 < len(words) and shapes[i + 1] == "," and flags[i + 2]
-                    l1, l2, l3 = _contexts(before, i)
-                    # behind a sign the word before it tells more than behind a word
-                    for key in (l1, l2) if l1[:1].isalpha() else (l1, l2, l3):
-                        n = out["c", key]
-                        n[0] += known
-                        n[1] += 1
-                    out["c", ""][0] += known
-    return out
+            shapes = tuple([_shape(w) for _, _, w in words])
+            known = tuple(_known(words, know.given))
+            before = [*_outside(t, words[0][0]), *[_plain(w).lower().rstrip(".") for _, _, w in words]]
+            words_ += before[2:]
+            if m := _AFTER.match(t, words[-1][1]):
+                words_.append(m.group(1).lower())
+            n_runs += 1
+            for i, hit in _starts(shapes, known):
+                l1, l2, l3 = _contexts(before, i)
+                # behind a sign the word before it tells more than behind a word
+                keys = (l1, l2) if l1[:1].isalpha() else (l1, l2, l3)
+                contexts += keys
+                if hit:
+                    hits += keys
+                    n_known += 1
+    out: dict[tuple[str, str], list[int]] = {("w", w): [0, n] for w, n in Counter(words_).items() if w[:1].isalpha()}
+    hit_counts = Counter(hits)
+    out.update((("c", k), [hit_counts[k], n]) for k, n in Counter(contexts).items())
+    return out | {("w", ""): [n_runs, 0], ("c", ""): [n_known, 0]}
+
+
+@lru_cache(maxsize=50_000)
+def _starts(shapes: tuple[str, ...], known: tuple[bool, ...]) -> list[tuple[int, bool]]:
+    """Where in a run a name may begin, and whether with a known given name."""
+    return [(i, known[i] or i + 2 < len(shapes) and shapes[i + 1] == "," and known[i + 2]) for i in range(len(shapes) - 1) if _name_length(shapes[i:], known[i:])]
 
 
 def _kept(counts: dict[tuple[str, str], list[int]], kind: str, share: float, least: float) -> frozenset[str]:
