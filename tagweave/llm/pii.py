@@ -65,7 +65,9 @@ ROUNDS = 6
 GIVEN_SHARE = 0.5
 SHAPE_SHARE = 0.5
 CONTEXT_SHARE = 0.5
-FREQUENT_SHARE = 0.0005
+FREQUENT_SHARE = 0.001
+#: A context has at least this share of all known given names in front of it.
+CONTEXT_LEAST = 0.0005
 #: A word that occurs less often is not frequent whatever its share.
 OFTEN = 3
 
@@ -428,6 +430,32 @@ def _contexts(before: list[str], i: int) -> tuple[str, str, str]:
     return l1, l2, f"{before[i]} {l2}"
 
 
+def _token_before(text: str, a: int) -> str:
+    """The last of :func:`_outside`, without the others."""
+    j = a - 1
+    low = max(-1, a - 41)
+    breaks = 0
+    while j > low:
+        c = text[j]
+        if c.isalpha():
+            k = j
+            while k > low and text[k].isalpha():
+                k -= 1
+            return text[k + 1 : j + 1].lower()
+        if c == "\n":
+            breaks += 1
+            if breaks > 1:
+                return "^"
+        else:
+            breaks = 0
+            if c in ";~":
+                return _outside(text, a)[-1]  # an encoded blank, perhaps
+            if not (c.isalnum() or c == "_" or c.isspace()):
+                return " " + c if j - 1 > low and text[j - 1] in " \xa0" else c
+        j -= 1
+    return "^"
+
+
 def _outside(text: str, a: int) -> list[str]:
     """Three tokens before a place; a paragraph's or text's beginning is ^."""
     back = text[max(0, a - 40) : a].lower().replace("\xa0", " ")
@@ -447,11 +475,13 @@ def _run_key(text: str, words: list[tuple[int, int, str]], know: Knowledge, give
     frequent, contexts, ends = know.frequent, know.contexts, know.ends
     shapes = tuple([_shape(w) for _, _, w in words])
     lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
-    before = [*_outside(text, words[0][0]), *lows]
+    before = ["", "", _token_before(text, words[0][0]), *lows]
     known = []
     for i in range(len(words)):
         l1, found = before[i + 2], ""
         if l1 in ends:
+            if not before[0]:
+                before[:3] = _outside(text, words[0][0])
             _, l2, l3 = _contexts(before, i)
             found = l3 if l3 in contexts else l2 if l2 in contexts else l1 if l1 in contexts else ""
         known.append(found)
@@ -1013,11 +1043,11 @@ def _fit_skip(docs: list[tuple[list[Node], list[str | None]]], know: Knowledge,
 
 
 def _with_contexts(know: Knowledge, counts: dict[tuple[str, str], list[int]]) -> None:
-    know.contexts, know._ends = _kept(counts, "c", CONTEXT_SHARE, FREQUENT_SHARE), None
+    know.contexts, know._ends = _kept(counts, "c", CONTEXT_SHARE, CONTEXT_LEAST), None
     know.frequent = _kept(counts, "w", 0, FREQUENT_SHARE)
 
 
-def _counted(df: DataFrame, count, share: dict[str, float], least: float) -> dict[tuple[str, str], list[int]]:  # noqa: ANN001
+def _counted(df: DataFrame, count, share: dict[str, float], least: float | dict[str, float]) -> dict[tuple[str, str], list[int]]:  # noqa: ANN001
     """Counts of all rows, summed; only keys that may be kept reach the driver,
     at most ``1 / least`` times the keys of one occurrence."""
 
@@ -1045,7 +1075,7 @@ def _counted(df: DataFrame, count, share: dict[str, float], least: float) -> dic
         totals = {r.kind: r.hit for r in sums.where("key = ''").collect()}
         wanted = F.lit(False)
         for kind, part in share.items():
-            floor = least * totals.get(kind, 0)
+            floor = (least[kind] if isinstance(least, dict) else least) * totals.get(kind, 0)
             wanted = wanted | (F.col("kind") == kind) & ((F.col("hit") >= max(1.0, floor)) & (F.col("hit") >= part * F.col("n")) if part else F.col("n") >= max(OFTEN, floor))
         rows = sums.where((F.col("key") != "") & wanted).collect()
         return {**{(k, ""): [n, 0] for k, n in totals.items()}, **{(r.kind, r.key): [r.hit, r.n] for r in rows}}
@@ -1082,7 +1112,7 @@ def train(documents: DataFrame, doc_id: str, text: str, blocks: DataFrame | None
     texts = documents.select(doc_id, text).where(F.length(text) > 0)
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(know)  # at most 1 / LEAST_SHARE names and shapes
-    _with_contexts(know, _counted(texts.select(text), lambda b: _context_counts(b.column(0).to_pylist(), shared.value), {"c": CONTEXT_SHARE, "w": 0}, FREQUENT_SHARE))
+    _with_contexts(know, _counted(texts.select(text), lambda b: _context_counts(b.column(0).to_pylist(), shared.value), {"c": CONTEXT_SHARE, "w": 0}, {"c": CONTEXT_LEAST, "w": FREQUENT_SHARE}))
     sample = [r[0] for r in _sample(texts.where(F.length(text) <= sample_chars), doc_id, sample_documents).select(text).collect()]
     return fit(tagged, sample, know=know)
 
