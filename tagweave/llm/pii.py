@@ -791,9 +791,11 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
     person and in all; shapes of numbers (``s``), tagged as telephone and in
     all; ``("", kind)`` the sums."""
     out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    capitals: list[str] = []
+    firsts: list[str] = []
     for tokens, tags in rows:
         first = set()
-        i = 0
+        i = 0 if tags.count("O") < len(tags) else len(tags)
         while i < len(tags):
             tag, j = tags[i] or "O", i + 1
             while j < len(tags) and tag[:2] == "B-" and tags[j] == "I-" + tag[2:]:
@@ -811,15 +813,16 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
             if m.end() - m.start() > 5 and sum(c.isdigit() for c in m.group()) > 5:
                 front = _FRONT.search(rest, max(0, m.start() - 7), m.start())
                 out["s", number_shape(rest[front.start() if front else m.start() : m.end()])][1] += 1
-        for i, token in enumerate(tokens):
-            if not token or not token[0].isupper():
-                continue
-            for part in token.split("-") if "-" in token else (token,):
-                if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
-                    n = out["g", part]
-                    n[0] += i in first
-                    n[1] += 1
+        capitals += [t for t in tokens if t and t[0].isupper()]
+        firsts += [tokens[i] for i in first if tokens[i]]
         out["g", ""][0] += len(first)
+    begun = Counter(firsts)
+    for token, count in Counter(capitals).items():
+        for part in token.split("-"):
+            if part[:1].isupper() and part.isalpha() and len(part) > 2 and not part.isupper():
+                n = out["g", part]
+                n[0] += begun[token]
+                n[1] += count
     return out
 
 
