@@ -54,8 +54,8 @@ from tagweave.model.crf import LinearChainCRF
 
 LABELS = ["B", "EMAIL", "I", "ID", "O", "PHONE", "STREET"]
 #: Rows of each training table, at most, and characters of a training text.
-SAMPLE_DOCUMENTS = 1000
-SAMPLE_BLOCKS = 3000
+SAMPLE_DOCUMENTS = 700
+SAMPLE_BLOCKS = 2000
 SAMPLE_CHARS = 20_000
 ROUNDS = 6
 #: Shares, so that they hold at every size: of a word's occurrences that begin a
@@ -962,7 +962,7 @@ def _tagged(nodes: list[Node], spans: list[tuple[int, int, str]]) -> list[str |
     return labels
 
 
-def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterations: int = 35, know: Knowledge | None = None) -> Knowledge:
+def fit(blocks: list[tuple[list[str], list[str]]], documents: list[str], iterations: int = 30, know: Knowledge | None = None) -> Knowledge:
     """Weights from blocks and documents; what is counted over all rows too,
     unless it comes in ``know``."""
     if know is None:
