@@ -11,8 +11,9 @@ texts that look the same arrive at a name.  Canonical spelling: the name
 arrived at; words that arrive at none are rewritten by the same table.
 
 Within ASCII nothing counts as a look-alike: ``0`` and ``O``, ``1``, ``l`` and
-``I`` are told apart in print, so pure ASCII text is only judged if ``budget``
-allows edits or blanks stand around it.
+``I`` are told apart in print.  So printable ASCII text is passed over, unless
+``budget`` allows edits, blanks stand around it, or a name is itself written
+otherwise than it looks.
 
 Defined results: null and empty texts are no cases; a text equal to the name is
 none; of repeated rows each is judged; ties between names that look the same
@@ -23,14 +24,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tagweave.session import fits_broadcast
 
@@ -91,8 +93,9 @@ def normalized(s: str) -> str:
 
 @lru_cache(maxsize=1)
 def _units() -> re.Pattern[str]:
-    """A character with the accents and unseen characters behind it."""
-    behind = [c for c in [*range(0x300, 0x20000), *range(0xE0000, 0xE01F0), 0xAD] if unicodedata.combining(chr(c)) or FORMS[chr(c)] == ""]
+    """A character with the accents, those of half width too, and unseen
+    characters behind it."""
+    behind = [c for c in [*range(0x300, 0x20000), *range(0xE0000, 0xE01F0), 0xAD] if unicodedata.combining(chr(c)) or FORMS[chr(c)] == "" or unicodedata.combining(FORMS[chr(c)][0])]
     runs: list[list[int]] = []
     for c in sorted(behind):
         if runs and c == runs[-1][1] + 1:
@@ -122,15 +125,71 @@ class _Labels(dict):
 LABELS = _Labels()
 
 
+def _trimmed(text: str) -> list[str]:
+    """The text's units without the blanks and unseen characters at its ends."""
+    units = _units().findall(text)
+    while units and LABELS[units[-1]] in ((" ",), ()):
+        units.pop()
+    first = next((i for i, u in enumerate(units) if LABELS[u] not in ((" ",), ())), 0)
+    return units[first:]
+
+
+def _look(text: str) -> str:
+    """The edges that the whole text walks, in one string: texts that arrive at
+    the same names have the same."""
+    return "".join(label for u in _trimmed(text) for label in LABELS[u])
+
+
+def _is_odd(name: str, look: str) -> bool:
+    """Whether printable ASCII text may look like the name and differ from it."""
+    return look != name and look.isascii()
+
+
+def _is_plain(text: str) -> bool:
+    """Whether the text is its own look: printable ASCII."""
+    return text.isascii() and text.isprintable()
+
+
+class _Words:
+    """A text by units, and where whole words begin and end in it."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.units = text, _units().findall(text)
+        self.looks = [LABELS[u] for u in self.units]
+        self.offsets = [0, *accumulate(map(len, self.units))]
+
+    def starts(self) -> Iterator[int]:
+        before = False  # a word's character stands before, unseen ones aside
+        for at, labels in enumerate(self.looks):
+            if labels:
+                if not before:
+                    yield at
+                before = _in_word(labels[-1][0])
+
+    def stops(self, end: int) -> bool:
+        """Whether no word goes on at ``end``."""
+        return end == len(self.units) or not _in_word(self.looks[end][0][0])
+
+    def span(self, at: int, end: int) -> tuple[int, int]:
+        """The place in the text, with the unseen characters before."""
+        first = self.offsets[at]
+        while first and not FORMS[self.text[first - 1]]:
+            first -= 1
+        return first, self.offsets[end]
+
+
 class Trie:
     """Vocabulary trie with the automaton's walk."""
 
     def __init__(self, names: Iterable[tuple[int, str]]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, str]]] = [[]]
+        self.odd = False  # a name is written otherwise than in printable ASCII that it looks like
         for ident, name in names:
             node = 0
-            for unit in _units().findall(name.strip()):
+            units = _trimmed(name)
+            self.odd |= _is_odd(name, _look(name))
+            for unit in units:
                 for label in LABELS[unit]:
                     child = self.next[node].get(label)
                     if child is None:
@@ -187,53 +246,35 @@ class Trie:
     def whole(self, text: str, budget: int = 0) -> list[tuple[int, str, int]]:
         """``(id, name, cost)`` of the names the whole text arrives at; blanks
         at its ends don't count."""
-        units = _units().findall(text)
-        while units and LABELS[units[-1]] in ((" ",), ()):
-            units.pop()
-        first = next((i for i, u in enumerate(units) if LABELS[u] not in ((" ",), ())), 0)
-        best: dict[int, tuple[int, str, int]] = {}
-        for end, node, cost in self.walk(units, first, budget):
+        units = _trimmed(text)
+        best: dict[tuple[int, str], tuple[int, str, int]] = {}
+        for end, node, cost in self.walk(units, 0, budget):
             if end == len(units):
                 for ident, name in self.ends[node]:
-                    if ident not in best or best[ident][2] > cost:
-                        best[ident] = (ident, name, cost)
+                    if (ident, name) not in best or best[ident, name][2] > cost:
+                        best[ident, name] = (ident, name, cost)
         return list(best.values())
 
     def within(self, text: str, budget: int = 0) -> list[tuple[int, int, int, str]]:
         """``(start, end, id, name)`` of names within a text as whole words;
         with a budget those of the least cost at each place."""
-        units = _units().findall(text)
-        looks = [LABELS[u] for u in units]
-        offsets = [0]
-        for u in units:
-            offsets.append(offsets[-1] + len(u))
-        inner = [bool(x) and _in_word(x[-1][0]) for x in looks]
+        places = _Words(text)
+        units, looks = places.units, places.looks
         root = self.next[0]
         out: list[tuple[int, int, int, str]] = []
-        before = False  # a word's character stands before, unseen ones aside
-        for at, labels in enumerate(looks):
-            if not labels:
-                continue
-            if not before and (labels[0] in root or budget and inner[at]):
+        for at in places.starts():
+            if looks[at][0] in root or budget and _in_word(looks[at][-1][0]):
                 least: dict[tuple[int, int], int] = {}
                 for end, node, cost in self.walk(units, at, budget):
-                    if end == at or not budget and not self.ends[node]:
-                        continue
-                    follow = end
-                    while follow < len(units) and not looks[follow]:
-                        follow += 1
-                    if follow < len(units) and inner[follow] or budget and not looks[end - 1]:
+                    if end == at or not places.stops(end):
                         continue
-                    if least.get((follow, node), budget + 1) > cost:
-                        least[follow, node] = cost
+                    if least.get((end, node), budget + 1) > cost:
+                        least[end, node] = cost
                 top = min(least.values(), default=0)
-                for (follow, node), cost in least.items():
+                for (end, node), cost in least.items():
                     if cost == top:
-                        first = offsets[at]
-                        while first and not FORMS[text[first - 1]]:
-                            first -= 1
-                        out += [(first, offsets[follow], ident, name) for ident, name in self.ends[node]]
-            before = inner[at]
+                        first, last = places.span(at, end)
+                        out += [(first, last, ident, name) for ident, name in self.ends[node]]
         return out
 
 
@@ -256,7 +297,8 @@ def find_lookalikes(df: DataFrame, ident: str, fields: list[str], names: DataFra
     """Distinct ``(row_id, field_name, name_id)``.  String fields are judged as
     a whole, lists of tokens by whole words within the tokens joined by single
     spaces.  The vocabulary is broadcast if it is counted below
-    ``broadcast_bytes``; beyond, looks are joined, which allows no edits."""
+    ``broadcast_bytes``; beyond, looks are joined, with equal rows.  A join
+    allows no edits, so a ``budget`` is refused there."""
     names = names.select(name_id, name).where(F.col(name).isNotNull())
     schema = T.StructType([T.StructField("row_id", df.schema[ident].dataType), T.StructField("field_name", T.StringType()), T.StructField(name_id, names.schema[name_id].dataType)])
     if not fits_broadcast(names, broadcast_bytes):
@@ -264,6 +306,7 @@ def find_lookalikes(df: DataFrame, ident: str, fields: list[str], names: DataFra
             raise ValueError("edits need a vocabulary that fits a broadcast")
         return _joined(df, ident, fields, names.toDF("name_id", "name")).toDF("row_id", "field_name", name_id).distinct()
     shared = df.sparkSession.sparkContext.broadcast(tuple(sorted((tuple(r) for r in names.collect()), key=str)))
+    kind = to_arrow_type(schema[name_id].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(shared.value)
@@ -274,15 +317,14 @@ def find_lookalikes(df: DataFrame, ident: str, fields: list[str], names: DataFra
                 column = batch.column(1 + f)
                 words = pa.types.is_list(column.type)
                 for i, text in enumerate(_text(column)):
-                    # plain ASCII has no look-alikes; only outer blanks can differ
-                    if not text or not budget and text.isascii() and (words or text == text.strip()):
+                    if not text or not budget and not trie.odd and _is_plain(text) and (words or text == text.strip()):
                         continue
                     got = known.get(text) if not words else None
                     if got is None:
                         if words:
-                            got = sorted({k for a, b, k, n in trie.within(text, budget) if text[a:b] != n})
+                            got = sorted({k for a, b, k, n in trie.within(text, budget) if text[a:b] != n}, key=str)
                         else:
-                            got = sorted({k for k, n, _ in trie.whole(text, budget) if text != n})
+                            got = sorted({k for k, n, _ in trie.whole(text, budget) if text != n}, key=str)
                             known[text] = got
                             if len(known) > 200_000:
                                 known.clear()
@@ -290,58 +332,50 @@ def find_lookalikes(df: DataFrame, ident: str, fields: list[str], names: DataFra
                         rows.append(i)
                         labels.append(field)
                         ids.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(labels, pa.string()), pa.array(ids, pa.int64()).cast(pa.int64())], [x.name for x in schema])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(labels, pa.string()), pa.array(ids, kind)], [x.name for x in schema])
 
     return df.select(ident, *fields).mapInArrow(run, schema).distinct()
 
 
+def _looks_of(names: DataFrame) -> tuple[DataFrame, int, bool]:
+    """The names with their looks, the length of the longest, and whether a
+    name is odd."""
+    look = F.pandas_udf(lambda s: s.map(_look), "string")
+    vocabulary = names.withColumn("look", look("name")).where("look <> ''")
+    odd = (F.col("look") != F.col("name")) & F.col("look").rlike(r"^[\x00-\x7F]*$")
+    longest, some = vocabulary.agg(F.max(F.length("look")), F.max(odd)).first()
+    return vocabulary, longest or 0, bool(some)
+
+
 def _joined(df: DataFrame, ident: str, fields: list[str], names: DataFrame) -> DataFrame:
     """For vocabularies without a proven size: (look, surface) rows of fields
-    and word windows, joined on the look."""
-    longest = names.agg(F.max(F.size(F.split("name", r"\s+")))).first()[0] or 1
+    and of the places of a text where a name can stand, joined on the look."""
+    vocabulary, longest, odd = _looks_of(names)
     schema = T.StructType([T.StructField("row_id", df.schema[ident].dataType), *[T.StructField(c, T.StringType()) for c in ("field_name", "look", "surface")]])
-    word = re.compile(r"[^ ]+")
+
+    def surfaces(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, str]]:
+        for f, field in enumerate(fields):
+            column = batch.column(1 + f)
+            words = pa.types.is_list(column.type)
+            for i, text in enumerate(_text(column)):
+                if not text or not odd and _is_plain(text) and (words or text == text.strip()):
+                    continue
+                if words:
+                    for a, b, look in _places(text, longest):
+                        yield i, field, look, text[a:b]
+                elif 0 < len(look := _look(text)) <= longest:
+                    yield i, field, look, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, labels, looks, surfaces = [], [], [], []
-            for f, field in enumerate(fields):
-                column = batch.column(1 + f)
-                for i, text in enumerate(_text(column)):
-                    if not text:
-                        continue
-                    found = [(skeleton(text).strip(), text)]
-                    if pa.types.is_list(column.type):
-                        found = [] if text.isascii() else list(_windows(text, longest, word))
-                    for look, surface in found:
-                        rows.append(i)
-                        labels.append(field)
-                        looks.append(look)
-                        surfaces.append(surface)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.string()) for x in (labels, looks, surfaces)]], schema.names)
+            found = surfaces(batch)
+            while part := list(islice(found, 10_000)):
+                rows, *rest = zip(*part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.string()) for x in rest]], schema.names)
 
-    look = F.pandas_udf(lambda s: s.map(lambda x: skeleton(x.strip())), "string")
-    vocabulary = names.withColumn("look", look("name"))
     return df.select(ident, *fields).mapInArrow(run, schema).join(vocabulary, "look").where("surface <> name").select("row_id", "field_name", "name_id")
 
 
-def _windows(text: str, longest: int, word: re.Pattern[str]) -> Iterator[tuple[str, str]]:
-    """Runs of up to ``longest`` words without the punctuation around them."""
-    forms = [FORMS[c] for c in text]
-    visible = [i for i, f in enumerate(forms) if f]
-    edge = [not _in_word(f[0]) and not unicodedata.combining(f[0]) for f in (forms[i] for i in visible)]
-    starts = [k for k in range(len(visible)) if not edge[k] and (k == 0 or edge[k - 1])]
-    stops = [k + 1 for k in range(len(visible)) if not edge[k] and (k + 1 == len(visible) or edge[k + 1])]
-    for a in range(len(starts)):
-        for b in range(a, min(a + longest + 2, len(stops))):
-            first, last = visible[starts[a]], visible[stops[b] - 1] + 1
-            while first and not forms[first - 1]:
-                first -= 1
-            while last < len(text) and not forms[last]:
-                last += 1
-            yield skeleton(text[first:last]), text[first:last]
-
-
 def canonical(df: DataFrame, ident: str, field: str, names: DataFrame, out: str = "canonical", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(ident, out)`` of every row: names in their canonical spelling, the
     rest by the table; null stays null.  The vocabulary is broadcast if it is
@@ -356,7 +390,7 @@ def canonical(df: DataFrame, ident: str, field: str, names: DataFrame, out: str
         trie = _trie(shared.value)
 
         def rewrite(text: str | None) -> str | None:
-            return text if text is None or text.isascii() else _rewritten(text, trie.within(text))
+            return text if text is None or not trie.odd and _is_plain(text) else _rewritten(text, trie.within(text))
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rewrite(t) for t in _text(batch.column(1))], pa.string())], schema.names)
@@ -378,9 +412,7 @@ def _rewritten(text: str, found: list[tuple[int, int, int, str]]) -> str:
 def _canonical_joined(df: DataFrame, ident: str, field: str, names: DataFrame, out: str) -> DataFrame:
     """For vocabularies without a proven size: the places of a text where a
     name can stand, joined on the look, and gathered again by text."""
-    look = F.pandas_udf(lambda s: s.map(lambda x: skeleton(x.strip())), "string")
-    vocabulary = names.withColumn("look", look("name")).where("look <> ''")
-    longest = vocabulary.agg(F.max(F.length("look"))).first()[0] or 0
+    vocabulary, longest, any_odd = _looks_of(names)
     text = F.concat_ws(" ", field) if isinstance(df.schema[field].dataType, T.ArrayType) else F.col(field)
     rows = df.select(F.col(ident).alias("i"), F.when(F.col(field).isNotNull(), text).alias("t"))
 
@@ -395,32 +427,25 @@ def _canonical_joined(df: DataFrame, ident: str, field: str, names: DataFrame, o
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            new = [t if t is None or t.isascii() else _rewritten(t, [(x["a"], x["b"], x["name_id"], x["name"]) for x in f or []]) for t, f in zip(texts, found)]
+            new = [t if t is None or not any_odd and _is_plain(t) else _rewritten(t, [(x["a"], x["b"], x["name_id"], x["name"]) for x in f or []]) for t, f in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], [ident, out])
 
-    odd = rows.where(F.col("t").isNotNull() & F.col("t").rlike(r"[^\x00-\x7F]")).select("t").distinct()
-    hits = odd.mapInArrow(places, "t string, a int, b int, look string").join(vocabulary, "look").groupBy("t").agg(F.collect_list(F.struct("a", "b", "name_id", "name")).alias("found"))
+    unlike = rows.where(F.col("t").isNotNull() & (F.lit(any_odd) | F.col("t").rlike("[^ -~]"))).select("t").distinct()
+    hits = unlike.mapInArrow(places, "t string, a int, b int, look string").join(vocabulary, "look").groupBy("t").agg(F.collect_list(F.struct("a", "b", "name_id", "name")).alias("found"))
     schema = T.StructType([T.StructField(ident, df.schema[ident].dataType), T.StructField(out, T.StringType())])
     return rows.join(hits, "t", "left").select("i", "t", "found").mapInArrow(rewrite, schema)
 
 
 def _places(text: str, longest: int) -> Iterator[tuple[int, int, str]]:
     """``(start, end, look)`` of whole words and runs of them whose look is no
-    longer than ``longest``, the longest of a name, with the same borders as
+    longer than ``longest``, the longest of a name, with the borders of
     :meth:`Trie.within`."""
-    forms = [FORMS[c] for c in text]
-    look = _ordered("".join(forms))
-    place = [i for i, f in enumerate(forms) for _ in f]
-    stops = [e for e in range(1, len(look) + 1) if e == len(look) or not _in_word(look[e])]
-    for at in range(len(look)):
-        if at and _in_word(look[at - 1]):
-            continue
-        for end in stops[bisect_right(stops, at) :]:
-            if end - at > longest:
+    places = _Words(text)
+    for at in places.starts():
+        look = ""
+        for end in range(at + 1, len(places.units) + 1):
+            look += "".join(places.looks[end - 1])
+            if len(look) > longest:
                 break
-            first, last = place[at], place[end - 1] + 1
-            while first and not forms[first - 1]:
-                first -= 1
-            while last < len(text) and not forms[last]:
-                last += 1
-            yield first, last, look[at:end]
+            if places.stops(end):
+                yield *places.span(at, end), look

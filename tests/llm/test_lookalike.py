@@ -120,3 +120,39 @@ def test_budget_of_the_operator(spark):
     assert (1, "main_name", 2) in got and (1, "tokens", 5) in got and (2, "main_name", 2) not in got
     with pytest.raises(ValueError):
         find_lookalikes(df, "row_id", ["main_name"], names, broadcast_bytes=0, budget=1)
+
+
+def test_rows_do_not_depend_on_the_size_of_the_vocabulary(spark):
+    """Names with signs at their ends, names that are odd themselves, signs that
+    look like several, and blanks of any kind, walked and joined."""
+    names = [(1, "Ola (Nord)"), (2, "Оla"), (3, " Bad Ems"), (4, "A/B/C/D/E"), (5, "1"), (6, "\u200b"), (7, "ガ"), (8, "Ola Nord"), (9, "Vik"), (10, "\u0301x")]
+    texts = {
+        "Ola": {2}, "Ola\tNord": {8}, "Bad Ems": {3}, "Оla (Nord)": {1}, "A/B/С/D/E": {4}, "⑴": set(), "\u200b": set(), "ｶ\uff9e": {7},
+        "\u2028Vіk": set(), " Vіk": {9}, " \u0301x": set(), "Vіk": {9}, "Vik": set(),
+    }
+    within = {"(\u0301Vіk": {9}, "Vіk⒈": set(), "Ola\tNord": {2, 8}, "Оla (Nord)": {1}, "A/B/С/D/E": {4}, "⑴ 1": set(), "x ｶ\uff9e": {7}}
+    rows = [(i, t, None) for i, t in enumerate(texts)] + [(100 + i, None, [t]) for i, t in enumerate(within)]
+    df = spark.createDataFrame(rows, "row_id long, main_name string, tokens array<string>")
+    want = {(i, "main_name", k) for i, t in enumerate(texts) for k in texts[t]} | {(100 + i, "tokens", k) for i, t in enumerate(within) for k in within[t]}
+    for kind in ("long", "string", "int"):
+        known = spark.createDataFrame(names, "name_id long, name string").selectExpr(f"cast(name_id as {kind}) name_id", "name")
+        for size in (1 << 25, 0):
+            got = {(r[0], r[1], int(r[2])) for r in find_lookalikes(df, "row_id", ["main_name", "tokens"], known, broadcast_bytes=size).collect()}
+            assert got == want, (kind, size, got ^ want)
+    known = spark.createDataFrame(names, "name_id long, name string")
+    for field in ("main_name", "tokens"):
+        a, b = (sorted(map(str, canonical(df, "row_id", field, known, broadcast_bytes=n).collect())) for n in (1 << 25, 0))
+        assert a == b
+
+
+def test_random_texts_are_walked_and_joined_alike(spark):
+    rnd = random.Random(11)
+    signs = [*"abаo0 .,-'(/)\u2019", "\t", "\xa0", "\x1f", "\x85", "\u200b", "\u0301", "\u0302", "\u20dd", "\u2028", "\xbd", "⑴", "℀", "⒈", "ﬁ", "ｶ", "\uff9e", "ガ", "\u3099", "\u3000", "\u0f73"]
+    names = [(k, "".join(rnd.choices(signs, k=rnd.randint(0, 4)))) for k in range(60)]
+    pool = signs + [n for _, n in names]
+    rows = [(i, "".join(rnd.choices(pool, k=rnd.randint(1, 6))), rnd.choices(pool, k=rnd.randint(0, 5))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, main_name string, tokens array<string>")
+    for known in (names, [x for x in names if Trie([x]).odd is False]):
+        known = spark.createDataFrame(known, "name_id long, name string")
+        a, b = ({tuple(r) for r in find_lookalikes(df, "row_id", ["main_name", "tokens"], known, broadcast_bytes=n).collect()} for n in (1 << 25, 0))
+        assert len(a) > 500 and a == b
