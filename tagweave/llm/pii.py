@@ -46,6 +46,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,15 +96,21 @@ _LOCAL = rf"[A-Za-z0-9À-ɏ](?:[\w+%-]|\\_)*(?:{_DOT}[\w+%-]+)*"
 EMAIL = re.compile(rf"(?<![\w.+@-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}(?![\w@])")
 #: Where an address may be: its at sign, or a written "at" before a dotted name.
 _EMAIL_HINT = re.compile(rf"[@＠﹫&(\[{{ \xa0\n;~](?:(?<=[@＠﹫])|(?<=&)#64;|(?<=[(\[{{])(?:at|AT|@)[)\]}}]|(?<=[ \xa0\n;~])(?:at|AT){_S}(?={_LABEL}{_DOT}[A-Za-z0-9]))")
+#: Texts without this have no such place; it is the faster search.
+_EMAIL_SIGNS = re.compile(rf"[@＠﹫&aA](?:(?<=[@＠﹫])|(?<=&)#64;|(?<=[aA])[tT](?:[)\]}}]|{_S}(?={_LABEL}{_DOT}[A-Za-z0-9])))")
 _SIGN = re.compile(r"[@＠﹫]|&#64;")
 
 _GAP = rf"(?:{_S}?[()/-]{{1,2}}{_S}?|\.|{_S}{{1,2}}(?<!\n\n))"
 #: Digits with gaps; a sign in front is looked for behind.  (A single character
 #: class in front lets the search skip all other text.)
 DIGITS = re.compile(rf"\d\d*(?:{_GAP}\d+)*")
+#: The same with times of day and their ranges in one piece, which is the group.
+_TIMES_OR_DIGITS = re.compile(rf"\d(?:(\d?:\d\d?(?!\d|{_GAP}\d)(?:[:–]\d\d?(?!\d|{_GAP}\d))*)|\d*(?:{_GAP}\d+)*)")
 _FRONT = re.compile(rf"[+(]{_S}?\Z")
 _BLANKS = re.compile(rf"{_S}+")
 _AROUND = re.compile(r" ?([^\w ]) ?")
+_DIGIT = re.compile(r"\d")
+_LETTER = re.compile(r"[^\W\d_]")
 _HOUSE = re.compile(r"\d{1,5}[a-zA-Z]?(?![\w])")
 _CODE = re.compile(r"[A-Z\d]+(?:[ .-][A-Z]{0,4}\d[A-Z\d]*)*(?:(?<=\d)[ -][B-DF-HJ-NP-TV-XZ](?![\w'’]))?")
 _PREFIX = re.compile(rf"(?<![\w-])[A-Z]{{1,2}}{_S}\Z")
@@ -125,11 +132,14 @@ STREET_BEHIND = re.compile(
     rf"(?<![\w.,/-])(?:(?:{'|'.join(re.escape(c) for c in STREET_CALLS)}){_S}(?:(?:de{_S}la|del|de|la){_S})?{_NAMEWORD}(?:{_S}{_NAMEWORD})?,?{_S}(?:n[.º°]{_S})?{_NO}"
     rf"|(?:(?:Am|An{_S}der|Im|Zum|Zur|Auf{_S}dem){_S})?(?:{_NAMEWORD}{_S}(?:Allee|Straße|Platz|Weg|Ring|Ufer|Laan|Plein)|{_NAMEWORD}(?:{'|'.join(e.replace('.', '[.]') for e in STREET_ENDS)}|-Ufer|-Allee|-Platz|-Straße|-Weg)){_S}{_NO})"
 )
+_CALL = re.compile(rf"(?:{'|'.join(re.escape(c) for c in STREET_CALLS)})(?={_S})")
+#: How the last word of a street with the number behind ends, unless it is called.
+_STREET_LAST = (*STREET_ENDS, "Allee", "Straße", "Platz", "Weg", "Ring", "Ufer", "Laan", "Plein")
 _NUMBER_FIRST = re.compile(rf"(?:[a-zA-Z](?!\w))?(?:{_S}(?:bis|ter|quater))?,?{_S}(?:{_UP}|&|(?:{'|'.join(STREET_LEADS)})(?!\w))")
 
 # Words in front of a family name.
 PARTICLES = {"von", "van", "der", "den", "de", "la", "du", "des", "del", "di", "da", "dos", "zu", "zum", "zur", "ter", "ten", "le", "el", "af", "av", "y", "e", "und"}
-_PARTICLE = "(?:" + "|".join(sorted(PARTICLES, key=lambda p: (-len(p), p))) + ")(?:['’]|(?![\\w'’]))"
+_PARTICLE = "(?:" + "|".join(f"{c}(?:{'|'.join(p[1:] for p in sorted(PARTICLES) if p[0] == c)})" for c in sorted({p[0] for p in PARTICLES})) + ")(?:['’]|(?![\\w'’]))"
 _REST = r"(?:[^\W\d_]++|[̀-ͯ]|&#\d+;|&[A-Za-z]+;|['’-](?=[^\W\d_]|&))*+"
 _WORD = rf"{_UP[:-1]}&](?:(?<=&)(?:#(?!160;)\d+;|[A-Z]\w+;){_REST}|(?<!&)(?:\.(?:-{_UP}\.)?|{_REST}))"
 RUN = re.compile(rf"{_WORD}(?:,?{_S}{{1,3}}(?:{_PARTICLE}{_S}*)*{_WORD})+")
@@ -149,6 +159,8 @@ ID_LABEL = re.compile(
     r"|\bDNI|\bNIE|pasaporte|\bNIF|seguridad\s+social|\bBSN|paspoort|rijbewijs|identiteitskaart|numéro\s+de\s+[\w ]{3,20})[\s\xa0]*(?:n°|nr\.?|no\.?)?[\s\xa0]*:?[\s\xa0]*$",
     re.I,
 )
+#: How labels end that are written in ASCII.
+_ID_LAST = ("nr", "nr.", "no", "no.", "ssn", "passport", "number", "id", "card", "nummer", "fiscal", "dni", "nie", "pasaporte", "nif", "social", "sociale", "bsn", "paspoort", "rijbewijs", "identiteitskaart")
 _LABEL_WORDS = {"SSN", "DNI", "NIE", "NIF", "BSN", "ID", "NO", "NR", "TEL", "FAX", "REF", "PO"}
 
 
@@ -217,9 +229,16 @@ def _shape(w: str) -> str:
     return "cap" if w[:1].isupper() else "low"
 
 
+@lru_cache(maxsize=10_000)
 def number_shape(s: str) -> str:
     """Digits as 9, letters as A, blanks as one and none around signs."""
-    return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", _AROUND.sub(r"\1", _BLANKS.sub(" ", s))))
+    return _LETTER.sub("A", _DIGIT.sub("9", _AROUND.sub(r"\1", _BLANKS.sub(" ", s))))
+
+
+@lru_cache(maxsize=10_000)
+def _shape_parts(shape: str) -> tuple[str, str]:
+    """Of a number's shape: its separators, and its runs of digits and letters."""
+    return "".join(sorted(set(re.sub(r"\w", "", shape)))), re.sub("9+", "9", re.sub("A+", "A", shape))
 
 
 # --- nodes -----------------------------------------------------------------------
@@ -243,21 +262,21 @@ def _address(text: str, at: int, low: int) -> tuple[int, int] | None:
         reach *= 2
 
 
-def _street(text: str, a: int, b: int) -> tuple[int, int] | None:
-    """The street around the house number whose digits go from ``a`` to ``b``."""
-    first = _NUMBER_FIRST.match(text, b)
-    if a > 1 and text[a - 1] in " \xa0\n;~" and (house := _HOUSE.match(text, a)):
-        k = max(text.rfind(" ", 0, a - 1), text.rfind("\n", 0, a - 1), text.rfind("\xa0", 0, a - 1)) + 1
-        if text[k].isupper() or text[k] in "n&" or "-" in text[k:a]:
+def _street(text: str, a: int, b: int, flat: str, calls: int) -> tuple[int, int] | None:
+    """The street around the house number whose digits go from ``a`` to ``b``;
+    ``flat`` is the text with every blank written alike, ``calls`` the place of
+    the first word that calls what follows a street."""
+    if a > 1 and (blank := text[a - 1]) in " \xa0\n;~":
+        k = flat.rfind(" ", 0, a - 1) + 1
+        c = text[k]
+        # number behind: a call before the name, or a name that ends as streets do
+        if (c.isupper() or c in "n&" or "-" in text[k:a]) and (calls < a or blank in ";~" or flat.endswith(_STREET_LAST, k, a - 1)) and (house := _HOUSE.match(text, a)):
             for _ in range(8):  # as many words as the pattern has
-                k = max(0, text.rfind(" ", 0, k), text.rfind("\n", 0, k), text.rfind("\xa0", 0, k))
+                k = max(0, flat.rfind(" ", 0, k))
             found = next((x.span() for x in STREET_BEHIND.finditer(text, k, house.end()) if x.end() == house.end()), None)
             if found:
                 return found
-    if not first:
-        return None
-    x = STREET.match(text, a)
-    return x and x.span()
+    return (x := STREET.match(text, a)) and x.span() if _NUMBER_FIRST.match(text, b) else None
 
 
 def _code(text: str, a: int, b: int) -> tuple[int, int] | None:
@@ -280,14 +299,20 @@ def _code(text: str, a: int, b: int) -> tuple[int, int] | None:
 def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]]:
     """``(kind, start, end)`` of numbers and of streets around house numbers."""
     done = 0
-    for m in DIGITS.finditer(text):
+    flat = calls = None
+    for m in _TIMES_OR_DIGITS.finditer(text):
+        if m.lastindex:
+            continue
         a, b = m.span()
         if a < done:
             continue
+        if flat is None:
+            flat = text.replace("\n", " ").replace("\xa0", " ")
+            calls = c.start() if (c := _CALL.search(text)) else len(text)
         before, after = text[a - 1 : a] if a else "", text[b : b + 1]
         if b - a < 3 and (after == ":" or before == ":" or before == "–"):
             continue  # times of day
-        if b - a < 6 and (before == "" or before in " \xa0\n;~(>*[{") and (street := _street(text, a, b)):
+        if b - a < 6 and (before == "" or before in " \xa0\n;~(>*[{") and (street := _street(text, a, b, flat, calls)):
             done = street[1]
             yield "street", *street
             continue
@@ -297,13 +322,13 @@ def _numbers(text: str, shapes: frozenset[str]) -> Iterator[tuple[str, int, int]
                 yield "number", *code
                 continue
         s = m.group()
-        if len(s) < 4:
-            continue
-        if before and before in "+( \xa0;" and (front := _FRONT.search(text, max(0, a - 7), a)):
+        if len(s) < 4 or len(s) < 6 and s.isdecimal():
+            continue  # too few digits, and none to cut off for a street
+        if before and (before in "+(;" or before in " \xa0" and text[a - 2 : a - 1] in ("+", "(")) and (front := _FRONT.search(text, max(0, a - 7), a)):
             a = front.start()
             s = text[a:b]
         cut = max(s.rfind(" "), s.rfind("\n"), s.rfind("\xa0"), s.rfind(";"), s.rfind("~"))
-        if cut > 0 and number_shape(s) not in shapes and (street := _street(text, a + cut + 1, b)):
+        if cut > 0 and number_shape(s) not in shapes and (street := _street(text, a + cut + 1, b, flat, calls)):
             yield from _split(text, a, max(a, min(a + cut, street[0])), shapes)
             done = street[1]
             yield "street", *street
@@ -320,7 +345,7 @@ def _split(text: str, a: int, b: int, shapes: frozenset[str]) -> Iterator[tuple[
     """A run of digits, or the stretches of it that have a telephone's shape:
     blanks may also stand between two numbers."""
     s = text[a:b]
-    if sum(c.isdigit() for c in s) < 6:
+    if len(s) < 6 or sum([c.isdigit() for c in s]) < 6:
         return
     if number_shape(s) not in shapes:
         cuts = [0, *[x for m in re.finditer(rf"{_S}+", s) for x in m.span()], len(s)]
@@ -343,6 +368,15 @@ def _split(text: str, a: int, b: int, shapes: frozenset[str]) -> Iterator[tuple[
         yield "number", a, b
 
 
+def _id_label(text: str, a: int) -> bool:
+    """Whether a word that labels identity numbers stands before a place."""
+    back = text[max(0, a - 60) : a].lower().rstrip()
+    last = (back[:-1].rstrip() if back[-1:] == ":" else back)[-20:]
+    if last.isascii() and not last.endswith(_ID_LAST) and "um" not in back:  # "um": of the open label in French
+        return False
+    return ID_LABEL.search(text, max(0, a - 60), a) is not None
+
+
 def _unit_features(kind: str, text: str, a: int, b: int) -> list[str]:
     s = text[a:b]
     left = _LEFT.findall(text[max(0, a - 40) : a].lower())[-3:]
@@ -350,10 +384,10 @@ def _unit_features(kind: str, text: str, a: int, b: int) -> list[str]:
     out = [f"kind={kind}", f"k+l1={kind}|{left[-1] if left else '^'}", f"k+r1={kind}|{right[0] if right else '$'}"]
     if kind == "number":
         shape = number_shape(s)
-        label = "id" if ID_LABEL.search(text, max(0, a - 60), a) else "phone" if PHONE_LABEL.search(text, max(0, a - 40), a) else ""
+        label = "id" if _id_label(text, a) else "phone" if PHONE_LABEL.search(text, max(0, a - 40), a) else ""
         n, lead = sum(c.isdigit() for c in s), s[0] if s[0] in "+(0" else "A" if s[0].isalpha() else "9"
-        seps = "".join(sorted(set(re.sub(r"\w", "", shape))))
-        out += [f"label={label}", f"seps={seps}|{lead}", f"runs={re.sub('9+', '9', re.sub('A+', 'A', shape))}", f"lead={lead}|{min(n, 16)}", f"lead+label={lead}|{label}", f"first={lead}|{len(re.match(r'[^0-9]*([0-9]*)', s).group(1))}", f"shape={shape}", f"digits={min(n, 24)}"]
+        seps, runs = _shape_parts(shape)
+        out += [f"label={label}", f"seps={seps}|{lead}", f"runs={runs}", f"lead={lead}|{min(n, 16)}", f"lead+label={lead}|{label}", f"first={lead}|{len(re.match(r'[^0-9]*([0-9]*)', s).group(1))}", f"shape={shape}", f"digits={min(n, 24)}"]
         out += [f"left={w}" for w in left]
     elif kind == "email":
         sign = "@" if _SIGN.search(s) else "brackets" if re.search(r"[(\[{]", s) else "written"
@@ -366,13 +400,6 @@ def _unit_features(kind: str, text: str, a: int, b: int) -> list[str]:
 
 def _words_of(text: str, a: int, b: int) -> list[list[tuple[int, int, str]]]:
     """Words of a run; cut at commas but behind a family name in capitals."""
-    s = text[a:b]
-    if _SIMPLE.fullmatch(s):
-        words = []
-        for w in s.split(" "):
-            words.append((a, a + len(w), w))
-            a += len(w) + 1
-        return [words]
     out: list[list[tuple[int, int, str]]] = [[]]
     for m in _PART.finditer(text, a, b):
         w = m.group()
@@ -393,11 +420,19 @@ def runs_of(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int,
     k = 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if a and (text[a - 1].isalnum() or text[a - 1] in "@#_" or text[a - 1] == "." and text[a - 2 : a - 1].isalnum()):
+        if a and (c := text[a - 1]) not in " \n" and (c.isalnum() or c in "@#_" or c == "." and text[a - 2 : a - 1].isalnum()):
             continue
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        plain = (k == len(taken) or taken[k][0] >= b) and "\n" not in text[a:b]
+        free = k == len(taken) or taken[k][0] >= b
+        if free and _SIMPLE.fullmatch(s := m.group()):
+            w, *rest = s.split(" ")
+            simple = [(a, e := a + len(w), w)]
+            for w in rest:
+                simple.append((e + 1, e := e + 1 + len(w), w))
+            yield simple
+            continue
+        plain = free and "\n" not in text[a:b]
         for words in _words_of(text, a, b):
             if plain:
                 if len(words) > 1:
@@ -414,12 +449,52 @@ def runs_of(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int,
             yield from (p for p in parts if len(p) > 1)
 
 
+def _is_given(w: str, given: frozenset[str]) -> bool:
+    p = _plain(w)
+    return p in given or p.isupper() and p.title() in given or "-" in p and p.split("-")[0] in given
+
+
 def _known(words: list[tuple[int, int, str]], given: frozenset[str]) -> list[bool]:
-    out = []
-    for _, _, w in words:
-        p = _plain(w)
-        out.append(p in given or p.isupper() and p.title() in given or "-" in p and p.split("-")[0] in given)
-    return out
+    return [_is_given(w, given) for _, _, w in words]
+
+
+#: Spellings in a table of words, at most; it begins anew beyond.
+WORDS_HELD = 100_000
+
+
+class _Words(dict):
+    """What a run's words tell by themselves, worked out once a spelling: shape,
+    whether a known given name, the word (a rare one is #), the word in small
+    letters, whether a context may end with it, the word folded (none if no
+    skip edge goes by it)."""
+
+    def __init__(self, know: Knowledge, given: frozenset[str]) -> None:
+        self.given, self.frequent, self.contexts, self.ends = given, know.frequent, know.contexts, know.ends
+
+    def __missing__(self, w: str) -> tuple[str, bool, str, str, bool, str | None]:
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        plain = _plain(w)
+        low = plain.lower().rstrip(".")
+        got = self[w] = (
+            _shape(w), _is_given(w, self.given), low if low in self.frequent or not low[:1].isalpha() else "#", low, low in self.ends,
+            _folded(plain) if len(w) > 3 and not w[:1].islower() else None,
+        )
+        return got
+
+
+_WORDS: list[_Words] = []
+
+
+def _words_told(know: Knowledge, given: frozenset[str]) -> _Words:
+    """The table of words for what is known now; two are kept (training hides
+    the given names by turns)."""
+    for table in _WORDS:
+        if table.given is given and table.frequent is know.frequent and table.contexts is know.contexts:
+            return table
+    _WORDS[1:] = []
+    _WORDS.insert(0, _Words(know, given))
+    return _WORDS[0]
 
 
 def _contexts(before: list[str], i: int) -> tuple[str, str, str]:
@@ -434,6 +509,8 @@ def _token_before(text: str, a: int) -> str:
     """The last of :func:`_outside`, without the others."""
     j = a - 1
     low = max(-1, a - 41)
+    if a and text[j] == " " and (k := text.rfind(" ", low + 1, j)) >= 0 and (w := text[k + 1 : j]).isalpha():
+        return w.lower()
     breaks = 0
     while j > low:
         c = text[j]
@@ -458,11 +535,24 @@ def _token_before(text: str, a: int) -> str:
 
 def _outside(text: str, a: int) -> list[str]:
     """Three tokens before a place; a paragraph's or text's beginning is ^."""
-    back = text[max(0, a - 40) : a].lower().replace("\xa0", " ")
+    back = text[max(0, a - 40) : a].lower()
+    words = back[:-1].rsplit(" ", 3)
+    if len(words) == 4 and back[-1] in " \n" and words[2].isalpha():
+        last = words[3]
+        if last.isalpha():
+            if words[1].isalpha():
+                return words[1:]
+        elif last[-1:] in (".", ",", ":") and last[:-1].isalpha():
+            return [words[2], last[:-1], last[-1]]
+    back = back.replace("\xa0", " ")
     cut = back.rfind("\n\n")
     if cut >= 0:
         back = back[cut + 2 :]
-    return ["^", "^", "^", *_TOKEN.findall(_BLANKS.sub(" ", back) if "&" in back or "~" in back else back)][-3:]
+    if "&" in back or "~" in back:
+        back = _BLANKS.sub(" ", back)
+    elif (k := back.find(" ", max(0, len(back) - 24))) > 0 and len(words := _TOKEN.findall(back, k)) > 2:
+        return words[-3:]  # no token goes over a blank, so the last ones are the same without the rest
+    return ["^", "^", "^", *_TOKEN.findall(back)][-3:]
 
 
 #: All that a run's features depend on: shapes, known given names, words (a
@@ -471,27 +561,34 @@ def _outside(text: str, a: int) -> list[str]:
 Key = tuple[tuple[str, ...], tuple[bool, ...], tuple[str, ...], tuple[str, ...], str, str, tuple[int, ...], bool]
 
 
-def _run_key(text: str, words: list[tuple[int, int, str]], know: Knowledge, given: frozenset[str]) -> Key:
+def _run_key(text: str, words: list[tuple[int, int, str]], know: Knowledge, told: list[tuple]) -> Key:
+    """``told`` has what :class:`_Words` tells of each word."""
     frequent, contexts, ends = know.frequent, know.contexts, know.ends
-    shapes = tuple([_shape(w) for _, _, w in words])
-    lows = [_plain(w).lower().rstrip(".") for _, _, w in words]
-    before = ["", "", _token_before(text, words[0][0]), *lows]
-    known = []
-    for i in range(len(words)):
-        l1, found = before[i + 2], ""
-        if l1 in ends:
-            if not before[0]:
-                before[:3] = _outside(text, words[0][0])
-            _, l2, l3 = _contexts(before, i)
-            found = l3 if l3 in contexts else l2 if l2 in contexts else l1 if l1 in contexts else ""
-        known.append(found)
-    m = _AFTER.match(text, words[-1][1])
-    after = m.group(1).lower() if m else "$"
-    front = before[2]
-    wrapped = tuple(i for i in range(1, len(words)) if "\n" in text[words[i - 1][1] : words[i][0]]) if "\n" in text[words[0][0] : words[-1][1]] else ()
+    shapes, known, keys, lows, end, _ = zip(*told)
+    a, b = words[0][0], words[-1][1]
+    front = _token_before(text, a)
+    if front in ends or True in end[:-1]:
+        before = ["", "", front, *lows]
+        found = []
+        for i in range(len(words)):
+            l1, c = before[i + 2], ""
+            if l1 in ends:
+                if not before[0]:
+                    before[:3] = _outside(text, a)
+                _, l2, l3 = _contexts(before, i)
+                c = l3 if l3 in contexts else l2 if l2 in contexts else l1 if l1 in contexts else ""
+            found.append(c)
+        front, behind = before[2], tuple(found)
+    else:
+        behind = ("",) * len(words)
+    after = text[b : b + 1]
+    if after not in (".", ",", ":"):
+        m = _AFTER.match(text, b)
+        after = m.group(1).lower() if m else "$"
+    wrapped = tuple([i for i in range(1, len(words)) if "\n" in text[words[i - 1][1] : words[i][0]]]) if text.find("\n", a, b) >= 0 else ()
     return (
-        shapes, tuple(_known(words, given)), tuple([w if w in frequent or not w[:1].isalpha() else "#" for w in lows]), tuple(known),
-        front if front in frequent or not front[:1].isalpha() else "#", after if after in frequent or not after[:1].isalpha() else "#", wrapped, shapes[0] == "cap" and _ELIDED.match(words[0][2]) is not None,
+        shapes, known, keys, behind, front if front in frequent or not front[:1].isalpha() else "#", after if after in frequent or not after[:1].isalpha() else "#",
+        wrapped, shapes[0] == "cap" and words[0][2][1:2] in ("'", "’") and _ELIDED.match(words[0][2]) is not None,
     )
 
 
@@ -528,7 +625,7 @@ def units(text: str, shapes: frozenset[str]) -> list[tuple[str, int, int]]:
     """Addresses, streets and numbers that don't overlap."""
     out: list[tuple[str, int, int]] = []
     done = 0
-    for h in _EMAIL_HINT.finditer(text):
+    for h in _EMAIL_HINT.finditer(text) if _EMAIL_SIGNS.search(text) else ():
         if h.start() >= done:
             if got := _address(text, h.start(), done):
                 done = got[1]
@@ -554,8 +651,9 @@ def zones(text: str, know: Knowledge, given: frozenset[str] | None = None) -> li
     found = units(text, know.shapes)
     nodes = _unit_nodes(text, found)
     zone = len(nodes)
+    table = _words_told(know, given)
     for words in runs_of(text, [(a, b) for _, a, b in found]):
-        nodes += _run_nodes(words, _run_key(text, words, know, given), zone)
+        nodes += _run_nodes(words, _run_key(text, words, know, [table[w] for _, _, w in words]), zone)
         zone += 1
     return nodes
 
@@ -568,7 +666,8 @@ for _i, _a in enumerate(LABELS):
         _AGREE[0, _i, _j] = _AGREE[1, _i, _j] = _a == _b or {_a, _b} <= {"B", "I"}
 _AGREE[2, LABELS.index("EMAIL"), [LABELS.index("B"), LABELS.index("I")]] = 1
 _ALLOWED = {"word": ("B", "I", "O"), "email": ("EMAIL", "O"), "number": ("PHONE", "ID", "O"), "street": ("STREET", "O")}
-_BARRED = {k: np.array([0.0 if x in v else -1e3 for x in LABELS]) for k, v in _ALLOWED.items()}
+_KINDS = {k: i for i, k in enumerate(_ALLOWED)}
+_BARRED = np.array([[0.0 if x in v else -1e3 for x in LABELS] for v in _ALLOWED.values()])
 _TYPE = {"EMAIL": "email", "PHONE": "phone", "ID": "id_number", "STREET": "street"}
 
 
@@ -618,42 +717,56 @@ def propagate(scores: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potentia
     if not len(edges):
         return scores
     a, b = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-    E = len(edges)
-    back = np.r_[np.arange(E, 2 * E), np.arange(E)]
-    P = np.exp(np.concatenate([potentials[kinds], potentials[kinds].transpose(0, 2, 1)]))
-    messages = np.zeros((2 * E, L))
+    E, K = len(edges), len(potentials)
+    kind = np.r_[kinds, kinds + K]
+    P = np.exp(np.concatenate([potentials.transpose(0, 2, 1), potentials]))
+    groups = [(g, P[k]) for k in range(2 * K) if len(g := np.flatnonzero(kind == k))]  # edges of one potential meet it in one product
     order = np.argsort(b, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0])
     targets = b[order][starts]
+    # labels in rows, so that the largest is found along whole rows; arrays of this size are costly to get, so they are used again
+    scores = np.ascontiguousarray(scores.T)
+    messages, out, new = np.zeros((3, L, 2 * E))
     belief = scores.copy()
     for _ in range(rounds):
-        out = belief[a] - messages[back]
-        out = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(np.matmul(out[:, None, :], P)[:, 0] + 1e-300)
-        new -= new.max(1, keepdims=True)
-        messages = 0.3 * messages + 0.7 * new
-        belief[targets] = scores[targets] + np.add.reduceat(messages[order], starts, axis=0)
-    return belief
+        np.take(belief, a, axis=1, out=out, mode="clip")
+        out[:, :E] -= messages[:, E:]
+        out[:, E:] -= messages[:, :E]
+        out -= out.max(0)
+        np.exp(out, out=out)
+        for g, potential in groups:
+            new[:, g] = potential @ out[:, g]
+        new += 1e-300
+        np.log(new, out=new)
+        new -= new.max(0)
+        messages *= 0.3
+        new *= 0.7
+        messages += new
+        np.take(messages, order, axis=1, out=out, mode="clip")
+        belief[:, targets] = scores[:, targets] + np.add.reduceat(out, starts, axis=1)
+    return belief.T
 
 
 def _unary(nodes: list[Node], crf: LinearChainCRF, order: list[int]) -> np.ndarray:
     get = crf.vocabulary.get
     rows: list[int] = []
-    starts = []
-    shared: dict[tuple[str, ...], list[int]] = {}
+    starts: list[int] = []
+    shared: dict[tuple[str, ...], int] = {}  # equal features are summed once
+    which = []
     for n in nodes:
-        starts.append(len(rows))
-        known = shared.get(n.features)
-        if known is None:
-            known = shared[n.features] = [k for f in n.features if (k := get(f)) is not None]
-        rows += known
+        k = shared.get(n.features)
+        if k is None:
+            k = shared[n.features] = len(starts)
+            starts.append(len(rows))
+            rows += [r for f in n.features if (r := get(f)) is not None]
+        which.append(k)
     starts.append(len(rows))
     at = np.array(starts)
-    out = np.zeros((len(nodes), len(LABELS)))
+    out = np.zeros((len(shared), len(LABELS)))
     some = np.flatnonzero(np.diff(at) > 0)
     if len(some):
         out[some] = np.add.reduceat(crf.W[np.array(rows)], at[some], axis=0)[:, order]
-    return out + np.array([_BARRED[n.kind] for n in nodes])
+    return out[which] + _BARRED[[_KINDS[n.kind] for n in nodes]]
 
 
 def _graph(per_doc: list[list[Node]], skips: bool = True) -> tuple[list[tuple[int, int]], list[int]]:
@@ -680,24 +793,26 @@ def label_documents(texts: list[str | None], know: Knowledge) -> list[list[tuple
         gc.enable()
 
 
-def _lone(runs: list[list[tuple[int, int, str]]], units_: list[Node]) -> list[bool]:
-    """Runs that no skip edge can reach: none of their words occurs, alike or
-    similar, in another place or in a mail address."""
-    keys = [[_folded(_plain(w)) for _, _, w in words if len(w) > 3 and not w[:1].islower()] for words in runs]
-    seen: dict[str, int] = {}
-    for ks in keys:
-        for k in ks:
-            seen[k] = seen.get(k, 0) + 1
+def _lone(folded: list[list[str]], units_: list[Node]) -> list[bool]:
+    """Runs that no skip edge can reach: none of their words (``folded``) occurs,
+    alike or similar, in another place or in a mail address."""
+    flat = [k for ks in folded for k in ks]
     mails = {p for n in units_ if n.kind == "email" for p in _locals(n.text)}
-    return [all(seen[k] == 1 and k not in mails for k in ks) for ks in keys]
+    if not mails and len(set(flat)) == len(flat):
+        return [True] * len(folded)
+    seen: dict[str, int] = {}
+    for k in flat:
+        seen[k] = seen.get(k, 0) + 1
+    return [all([seen[k] == 1 and k not in mails for k in ks]) for ks in folded]
 
 
 def _labelled(texts: list[str | None], know: Knowledge) -> list[list[tuple[int, int, str]]]:
-    """Lone runs are chains of their own, whose labels follow from their key:
+    """Lone runs are chains of their own, whose names follow from their key:
     those are worked out once a key.  All others meet in one graph."""
-    memo = _memo(know)
+    memo, table = _memo(know), _words_told(know, know.given)
     per_doc: list[list[Node]] = []
-    lone: list[tuple[int, list[tuple[int, int, str]], Key]] = []
+    named: list[tuple[int, list[tuple[int, int, str]], list[tuple[int, int]]]] = []
+    new: dict[Key, list[tuple[int, list[tuple[int, int, str]]]]] = {}
     for d, text in enumerate(texts):
         if not text:
             per_doc.append([])
@@ -705,23 +820,26 @@ def _labelled(texts: list[str | None], know: Knowledge) -> list[list[tuple[int,
         found = units(text, know.shapes)
         nodes = _unit_nodes(text, found)
         runs = list(runs_of(text, [(a, b) for _, a, b in found]))
-        for words, alone in zip(runs, _lone(runs, nodes)):
-            key = _run_key(text, words, know, know.given)
-            if alone:
-                lone.append((d, words, key))
-            else:
+        told = [[table[w] for _, _, w in words] for words in runs]
+        for words, tells, alone in zip(runs, told, _lone([[t[5] for t in tells if t[5] is not None] for tells in told], nodes)):
+            key = _run_key(text, words, know, tells)
+            if not alone:
                 nodes += _run_nodes(words, key, len(nodes))
+            elif (spans := memo.get(key)) is None:
+                new.setdefault(key, []).append((d, words))
+            elif spans:
+                named.append((d, words, spans))
         per_doc.append(nodes)
-    new = [k for k in dict.fromkeys(k for _, _, k in lone) if k not in memo]
     if new:
-        blank = [[_run_nodes([(0, 0, "")] * len(k[0]), k, 0)] for k in new]
-        for k, labels in zip(new, _infer([b[0] for b in blank], know, lonely=True)):
-            memo[k] = labels
+        blank = [_run_nodes([(i, i + 1, "") for i in range(len(k[0]))], k, 0) for k in new]
+        for (k, at), nodes, labels in zip(new.items(), blank, _infer(blank, know, lonely=True)):
+            memo[k] = spans = [(a, b) for a, b, _ in _pieces(nodes, labels, k[0])]
+            named += [(d, words, spans) for d, words in at]
     out = [_pieces(nodes, labels) for nodes, labels in zip(per_doc, _infer(per_doc, know))]
-    for d, words, key in lone:
-        labels = memo[key]
-        if "B" in labels or "I" in labels:
-            out[d] = sorted([*out[d], *_pieces([Node(a, b, w, (), 0, "word") for a, b, w in words], labels)])
+    for d, words, spans in named:
+        out[d] += [(words[i][0], words[j - 1][1], "name") for i, j in spans]
+    for d in {d for d, _, _ in named}:
+        out[d].sort()
     return out
 
 
@@ -745,14 +863,15 @@ def _infer(per_doc: list[list[Node]], know: Knowledge, lonely: bool = False) ->
 _MEMO: dict = {}
 
 
-def _memo(know: Knowledge) -> dict[Key, list[str]]:
-    """Labels of lone runs, as long as the same knowledge is asked."""
-    if _MEMO.get("know") is not know or len(_MEMO["labels"]) > 200_000:
-        _MEMO.update(know=know, labels={})
-    return _MEMO["labels"]
+def _memo(know: Knowledge) -> dict[Key, list[tuple[int, int]]]:
+    """Names in lone runs, as stretches of words, as long as the same knowledge is asked."""
+    if _MEMO.get("know") is not know or len(_MEMO["names"]) > 200_000:
+        _MEMO.update(know=know, names={})
+    return _MEMO["names"]
 
 
-def _pieces(nodes: list[Node], labels: list[str]) -> list[tuple[int, int, str]]:
+def _pieces(nodes: list[Node], labels: list[str], shapes: tuple[str, ...] | None = None) -> list[tuple[int, int, str]]:
+    """``shapes``: of the words, unless the nodes' texts tell."""
     out = []
     i = 0
     while i < len(nodes):
@@ -764,7 +883,7 @@ def _pieces(nodes: list[Node], labels: list[str]) -> list[tuple[int, int, str]]:
         j = i + 1
         while j < len(nodes) and nodes[j].zone == nodes[i].zone and labels[j] == "I":
             j += 1
-        if is_full_name([_shape(n.text) for n in nodes[i:j]]):
+        if is_full_name(list(shapes[i:j]) if shapes else [_shape(n.text) for n in nodes[i:j]]):
             out.append((nodes[i].start, nodes[j - 1].end, "name"))
         i = j
     return sorted(out)
@@ -795,7 +914,8 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
     firsts: list[str] = []
     for tokens, tags in rows:
         first = set()
-        i = 0 if tags.count("O") < len(tags) else len(tags)
+        none = tags.count("O") == len(tags)
+        i = len(tags) if none else 0
         while i < len(tags):
             tag, j = tags[i] or "O", i + 1
             while j < len(tags) and tag[:2] == "B-" and tags[j] == "I-" + tag[2:]:
@@ -808,7 +928,7 @@ def _tag_counts(rows: Iterable[tuple[list[str | None], list[str | None]]]) -> di
                 n[1] += 1
                 out["s", ""][0] += 1
             i = j
-        rest = " ".join((t or "") if g is None or g[2:] not in ("TEL", "FAX") else "|" for t, g in zip(tokens, tags))
+        rest = " ".join([t or "" for t in tokens]) if none else " ".join((t or "") if g is None or g[2:] not in ("TEL", "FAX") else "|" for t, g in zip(tokens, tags))
         for m in DIGITS.finditer(rest):
             if m.end() - m.start() > 5 and sum(c.isdigit() for c in m.group()) > 5:
                 front = _FRONT.search(rest, max(0, m.start() - 7), m.start())
@@ -843,13 +963,13 @@ def _contexts_counted(texts: list[str | None], know: Knowledge) -> dict[tuple[st
     contexts: list[str] = []
     hits: list[str] = []
     n_runs = n_known = 0
+    table = _words_told(know, know.given)
     for t in texts:
         if not t:
             continue
         for words in runs_of(t, []):
-            shapes = tuple([_shape(w) for _, _, w in words])
-            known = tuple(_known(words, know.given))
-            before = [*_outside(t, words[0][0]), *[_plain(w).lower().rstrip(".") for _, _, w in words]]
+            shapes, known, _, lows, _, _ = zip(*[table[w] for _, _, w in words])
+            before = [*_outside(t, words[0][0]), *lows]
             words_ += before[2:]
             if m := _AFTER.match(t, words[-1][1]):
                 words_.append(m.group(1).lower())
@@ -913,7 +1033,7 @@ def _silver(text: str, nodes: list[Node], know: Knowledge) -> list[str | None]:
             labels.append(None)
         elif n.kind == "number":
             shape = number_shape(n.text)
-            if ID_LABEL.search(text, max(0, n.start - 60), n.start):
+            if _id_label(text, n.start):
                 labels.append("ID")
             elif shape in know.shapes or PHONE_LABEL.search(text, max(0, n.start - 40), n.start):
                 labels.append("PHONE")
@@ -1095,8 +1215,15 @@ def _sample(df: DataFrame, ident: str, n: int) -> DataFrame:
     return kept.withColumn("__h", h).orderBy("__h").limit(n)
 
 
+def _lists(column: pa.Array) -> list[list]:
+    """A column of lists of strings, without nulls, by its flat values."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _pairs(batch: pa.RecordBatch) -> list[tuple[list, list]]:
-    return [(t, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(t) == len(g)]
+    return [(t, g) for t, g in zip(_lists(batch.column(0)), _lists(batch.column(1))) if len(t) == len(g)]
 
 
 def train(documents: DataFrame, doc_id: str, text: str, blocks: DataFrame | None = None, block_id: str = "block_id", sample_documents: int = SAMPLE_DOCUMENTS, sample_blocks: int = SAMPLE_BLOCKS, sample_chars: int = SAMPLE_CHARS) -> Knowledge:

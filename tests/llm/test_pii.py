@@ -1,8 +1,12 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tagweave.llm import pii
 from tagweave.llm.pii import GIVEN_SHARE, LABELS, LEAST_SHARE, Knowledge, _counted, _kept, _pairs, _tag_counts, find_rows, fit, is_full_name, label_documents, number_shape, propagate, redact, redact_rows, train, units, zones
 
 GIVEN = ["Marta", "Peter", "Yusuf", "Zoë", "Jürgen"]
@@ -188,3 +192,61 @@ def test_long_addresses_and_negatives(know):
     text = f"Write to {local}@nilk.test or look at kalzeth.example."
     assert [text[a:b] for k, a, b in units(text, frozenset()) if k == "email"][0] == f"{local}@nilk.test"
     assert [text[a:b] for a, b, k in label_documents([text], know)[0]] == [f"{local}@nilk.test"]
+
+
+def test_a_spelling_is_worked_out_once(know, monkeypatch):
+    """Words of runs are looked up, not worked out again at every place."""
+    calls, folded = Counter(), pii._folded
+    monkeypatch.setattr(pii, "_folded", lambda w: (calls.update([w]), folded(w))[1])
+    got = label_documents(["Dr. Marta Zelbrath runs Accounts.", "The road to Qorwin Hill is closed."] * 50, know)
+    assert got[0] == [(4, 18, "name")] and got[2:] == got[:2] * 49
+    assert calls["Zelbrath"] == calls["Qorwin"] == 1
+
+
+def test_table_of_words_is_bounded(know, monkeypatch):
+    texts = [t for t, _ in documents(60, 11)]
+    want = label_documents(texts, know)
+    monkeypatch.setattr(pii, "WORDS_HELD", 3)
+    pii._WORDS.clear()
+    assert label_documents(texts, know) == want and 0 < max(map(len, pii._WORDS)) <= 3
+
+
+ODD = ["&nbsp;", "~", "\xa0", "\n", "\n\n", "İ", "ſ", "K", "ΑΣ ", ":", "–", "-", ".", ", ", "(", ")", " at ", "(at)", " dot ", "@", "&#64;", "12", "7:30", "9:00–18:30", "3:5", "10:30 20", "1:2:3 4", "٣:٤٥", "C/ Vurart, 84b", "Calle ", "Kalzethstraße 5", "Am Beluft-Ufer 9", " Beluft Allee 12a", "SSN: ", "passport no. ", "numéro de foo ", "identité ", "Steuer-ID ", "Dr. ", "X 12345", "39393", "(030) 1", "Marta Kalzeth", "the road ", " a", "b.test"]
+
+
+def test_short_ways_agree_with_long_ones():
+    rnd = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rnd.choice(ODD) for _ in range(rnd.randint(1, 25)))
+        times = lambda a, b: b - a < 3 and (text[b : b + 1] == ":" or text[a - 1 : a] in (":", "–") and a)
+        digits = [m.span() for m in pii.DIGITS.finditer(text) if not times(*m.span())]
+        assert [m.span() for m in pii._TIMES_OR_DIGITS.finditer(text) if not m.lastindex and not times(*m.span())] == digits, text
+        assert pii._EMAIL_SIGNS.search(text) or not pii._EMAIL_HINT.search(text), text
+        for a in range(len(text) + 1):
+            back = re.split("\n\n", text[max(0, a - 40) : a].lower().replace("\xa0", " "))[-1] if a else ""
+            long = ["^", "^", "^", *pii._TOKEN.findall(pii._BLANKS.sub(" ", back) if "&" in back or "~" in back else back)][-3:]
+            assert pii._outside(text, a) == long, (text, a)
+            assert pii._id_label(text, a) == (pii.ID_LABEL.search(text, max(0, a - 60), a) is not None), (text, a)
+
+
+def test_lists_by_flat_values():
+    rows = [["a", None, "bé"], [], ["c"], ["d", ""]]
+    column = pa.array([["x"], *rows], pa.list_(pa.string())).slice(1)
+    assert pii._lists(column) == rows and pii._lists(column.slice(0, 0)) == []
+
+
+def test_propagation_by_kinds_of_edges():
+    """Edges of several potentials, in any order, give what each edge by itself gives."""
+    rnd = np.random.default_rng(8)
+    S, P = rnd.normal(size=(6, len(LABELS))), rnd.normal(size=(3, len(LABELS), len(LABELS)))
+    edges, kinds = np.array([[0, 1], [1, 2], [0, 2], [3, 4], [2, 3]]), np.array([2, 0, 1, 0, 2])
+    belief, messages = S.copy(), {}
+    both = [(a, b, P[k]) for (a, b), k in zip(edges.tolist(), kinds)] + [(b, a, P[k].T) for (a, b), k in zip(edges.tolist(), kinds)]
+    for _ in range(6):
+        new = {}
+        for a, b, potential in both:
+            m = np.log(np.exp(belief[a] - messages.get((b, a), 0)) @ np.exp(potential))
+            new[a, b] = 0.3 * messages.get((a, b), 0) + 0.7 * (m - m.max())
+        messages = new
+        belief = S + np.array([sum((m for (_, b), m in messages.items() if b == i), np.zeros(len(LABELS))) for i in range(6)])
+    assert np.allclose(propagate(S, edges, kinds, P), belief)
