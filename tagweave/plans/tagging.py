@@ -424,8 +424,9 @@ _LOWER = _GREEDY.replace("list(token ORDER BY pos)", "list(lower(token) ORDER BY
 @query(f"WITH {_TOK}, {_LOWER} SELECT doc_id, count(*) AS n_places, CAST(sum(e - s) AS BIGINT) AS n_tokens FROM kept GROUP BY 1")
 def gaz_lower(spark: SparkSession, sf: str) -> DataFrame:
     """Places and their tokens in each document, case disregarded."""
-    f = phrases.phrase_flags(_tok(spark, sf), _lexicon(spark, sf), "PLACE", lower=True).where("PLACE")
-    return f.groupBy("doc_id").agg(F.count("`B-PLACE`").alias("n_places"), F.count("*").alias("n_tokens"))
+    seqs = text_sequences(_docs(spark, sf), "doc_id", "text").withColumn("tokens", F.transform("tokens", F.lower))
+    found = phrases.longest_matches(seqs, _lexicon(spark, sf).select(F.lower("name").alias("name")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_places"), F.sum(F.col("end") - F.col("start")).alias("n_tokens"))
 
 
 _CUT = "string_split(raw_line, chr(9))"
